@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("catalog",)
+_AREAS = ("catalog", "backups", "precedents")
 
 
 def _load():

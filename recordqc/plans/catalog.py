@@ -177,7 +177,7 @@ def _(t):
     FROM ({SHEETS}) WHERE regexp_matches(sheet_number, '^[A-Z]+\d+$')),
   r AS (SELECT prefix, min(num) AS lo, max(num) AS hi, max(w) AS w FROM n GROUP BY prefix),
   a AS (SELECT prefix, w, unnest(range(lo, hi + 1)) AS num FROM r)
-  SELECT prefix, prefix || lpad(CAST(num AS VARCHAR), greatest(CAST(w AS INT), length(CAST(num AS VARCHAR))), '0') AS sheet_number
+  SELECT prefix, prefix || lpad(CAST(num AS VARCHAR), CAST(greatest(w, length(CAST(num AS VARCHAR))) AS INT), '0') AS sheet_number
   FROM a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.prefix = a.prefix AND n.num = a.num)""")
 def _(t):
     return K.missing_sequences(K.enrich_sheet_files(t.sheet_files))

@@ -77,13 +77,73 @@ VIEWS: dict[str, str] = {
                   ELSE CASE l_suppkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'A' WHEN 2 THEN 'G' WHEN 3 THEN 'S' ELSE 'M' END
                     || (100 + l_partkey % 400) END AS sheet_number
       FROM @lineitem WHERE NOT (l_returnflag = 'R' AND l_partkey % 3 = 0)""",
+    "sheet_pages": """
+      SELECT source AS set_id, CAST(floor(doc_id / 20) AS BIGINT) + 1 AS page_number, doc_id,
+             CASE WHEN doc_id % 40 < 20 THEN 'A' WHEN doc_id % 3 = 0 THEN 'G' ELSE 'S' END || (100 + doc_id % 90)
+               || CASE WHEN doc_id % 7 = 0 THEN '.1' ELSE '' END AS sheet_number,
+             CASE WHEN doc_id % 9 = 0 THEN '' ELSE 'PROJECT 2024-' || (100 + doc_id % 900) || ' OWNER ' || upper(lang) || chr(10) || 'DRAWN BY X' END AS title_block_text,
+             CASE WHEN doc_id % 9 = 0 OR doc_id % 5 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'ROOF PLAN' ELSE 'FLOOR PLAN ' || (doc_id % 30) END AS sheet_title,
+             doc_id % 4 = 0 AS seal_present, doc_id % 8 = 0 AS graphic_present,
+             CASE doc_id % 6
+               WHEN 0 THEN '3 FLOOR PLAN 1/8" = 1''-0"' || chr(10) || 'A4 SECTION NTS' || chr(10) || 'SCALE' || chr(10) || '12/A101 REFER' || chr(10)
+               WHEN 1 THEN '1' || chr(10) || '2' || chr(10) || '7 FLOOR PLAN NTS' || chr(10) || 'SHEET KEYNOTES' || chr(10) || '1. GYPSUM BOARD (TYP)' || chr(10) || '2) PAINT WALL' || chr(10)
+                     || CASE WHEN doc_id % 4 = 1 THEN '3: GYPSUM  BOARD' ELSE '3: WALL BASE' END || chr(10) || 'GENERAL NOTES' || chr(10)
+               WHEN 2 THEN 'SHEET INDEX' || chr(10) || 'A' || (100 + doc_id % 90) || ' FLOOR PLAN' || chr(10) || 'REVISION HISTORY' || chr(10)
+               WHEN 3 THEN '100% PERMIT SET 01/15/2024 SIGNED AND SEALED' || chr(10) || 'PROJECT NAME' || chr(10) || 'DETAIL 4/S12' || chr(10)
+               WHEN 4 THEN 'NOT FOR CONSTRUCTION' || chr(10) || 'accomodate seperation of waterproofng at enviroment' || chr(10) || 'TBD' || chr(10)
+               ELSE 'COVER SHEET' || chr(10) || 'SHEET INDEX' || chr(10) || 'DESIGN CONSULTANT TEAM' || chr(10) || 'OWNER: ACME' || chr(10)
+                     || CASE WHEN doc_id % 4 = 1 THEN 'NO SHEET KEYNOTES' ELSE 'VICINITY MAP' END || chr(10) END || text AS text
+      FROM @documents""",
+    "projects": """
+      SELECT o_orderkey AS project_id, o_orderkey AS seq,
+             CAST(year(o_orderdate) AS BIGINT) || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR(4)), 4, '0') AS project_number,
+             'Project ' || (o_orderkey % 700) AS project_name, c_mktsegment AS building_type,
+             CASE o_custkey % 9 WHEN 0 THEN 'ACME MEP' WHEN 1 THEN 'acme  mep' WHEN 2 THEN 'Acme Mep ' WHEN 3 THEN 'Delta Engineers' WHEN 4 THEN 'DELTA ENGINEERS'
+               WHEN 5 THEN 'Hvac Partners LLC' WHEN 6 THEN 'Unknown' WHEN 7 THEN '' ELSE 'North Group' END AS consultant,
+             CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE floor(o_totalprice / 10) END AS square_feet,
+             o_orderstatus = 'P' AND o_orderkey % 5 = 0 AS excluded, o_orderkey % 13 = 0 AS review_required,
+             CASE WHEN o_orderkey % 4 = 0 THEN 'tonnage by others' WHEN o_orderkey % 4 = 1 THEN 'custom unit' ELSE '' END AS note
+      FROM @orders JOIN @customer ON o_custkey = c_custkey""",
+    "units": """
+      SELECT l_orderkey AS project_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS seq,
+             CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_quantity / 2 END AS tonnage, 1 + l_linenumber % 3 AS quantity, p_type AS type,
+             CASE WHEN l_partkey % 19 = 0 THEN '' ELSE p_brand END AS manufacturer, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE 'M' || l_suppkey END AS model,
+             floor(l_extendedprice / 100) AS duct_feet, CASE l_suppkey % 10 WHEN 0 THEN 'custom' ELSE 'standard' END AS classification
+      FROM @lineitem JOIN @part ON l_partkey = p_partkey WHERE l_returnflag <> 'N'""",
+    "panels": """
+      SELECT l_orderkey AS project_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS seq,
+             'P' || l_linenumber AS name, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_quantity * 10 END AS amps,
+             CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE floor(l_extendedprice / 1000) END AS load_kva,
+             CASE WHEN l_partkey % 4 = 0 THEN 'D' || (l_suppkey % 30) ELSE '' END AS disconnect_name,
+             CASE WHEN l_partkey % 4 = 0 THEN l_quantity * 8 END AS disconnect_amps, 1 + l_linenumber % 2 AS quantity
+      FROM @lineitem WHERE l_returnflag = 'N'""",
+    "stated_totals": """
+      SELECT project_id, 'tonnage' AS metric, seq, tons * CASE WHEN project_id % 7 = 0 THEN 1.2 ELSE 1.0 END AS stated
+      FROM (SELECT project_id, min(seq) AS seq, sum(tonnage * quantity) AS tons FROM @units GROUP BY project_id) q WHERE project_id % 3 <> 0
+      UNION ALL SELECT project_id, 'tonnage', seq + 1, tons + 5.0
+      FROM (SELECT project_id, min(seq) AS seq, sum(tonnage * quantity) AS tons FROM @units GROUP BY project_id) r WHERE project_id % 19 = 1""",
+    "requests": """
+      SELECT CAST(r * 100 + ascii(segment) AS BIGINT) AS request_id, 5000.0 + 7000.0 * r + 90.0 * ascii(segment) AS square_feet, segment AS building_type,
+             CASE r WHEN 0 THEN 'acme mep' WHEN 1 THEN 'Delta Engineers' WHEN 2 THEN 'Nobody' WHEN 3 THEN 'Hvac Partners LLC' ELSE '' END AS consultant,
+             CASE ascii(segment) % 3 WHEN 0 THEN 'Mechanical' WHEN 1 THEN 'Electrical' ELSE 'Mechanical + Electrical' END AS scope
+      FROM (SELECT c_mktsegment AS segment, EXPLODE(SEQUENCE(0, 4)) AS r FROM (SELECT DISTINCT c_mktsegment FROM @customer) d) s""",
+    "issue_log": """
+      SELECT event_id AS seq, user_id AS project_id,
+             CASE event_type WHEN 'click' THEN 'Mechanical' WHEN 'view' THEN 'Electrical' ELSE 'General' END AS discipline,
+             CASE event_type WHEN 'error' THEN 'Equipment values incomplete' ELSE 'Conflicting values' END AS category,
+             'Check value ' || (event_id % 7) || ' of the ' || event_type || CASE WHEN event_id % 3 = 0 THEN ' schedule again' ELSE ' schedule' END AS message,
+             CASE event_type WHEN 'error' THEN 'Blocking' WHEN 'click' THEN 'Warning' ELSE 'Note' END AS severity,
+             CASE WHEN event_id % 4 = 0 THEN 'Resolved' ELSE 'Unresolved' END AS status, event_id % 2 = 0 AS auto, value
+      FROM @events WHERE event_id % 5 < 3""",
 }
 
 
 def _dialect(sql: str, spark_dir: str | None) -> str:
     if spark_dir is not None:
+        sql = sql.replace("EXPLODE(SEQUENCE(0, 4))", "explode(sequence(0, 4))")
         sql = re.sub(r"SHA256\(([^()]+)\)", r"sha2(\1, 256)", sql)
         return re.sub(r"date_diff_days\((\w+)\)", r"datediff(\1, DATE'1992-01-01')", sql)
+    sql = sql.replace("EXPLODE(SEQUENCE(0, 4))", "unnest(range(0, 5))")
     return re.sub(r"date_diff_days\((\w+)\)", r"date_diff('day', DATE '1992-01-01', CAST(\1 AS DATE))", sql)
 
 
