@@ -100,7 +100,7 @@ VIEWS: dict[str, str] = {
              'Project ' || (o_orderkey % 700) AS project_name, c_mktsegment AS building_type,
              CASE o_custkey % 9 WHEN 0 THEN 'ACME MEP' WHEN 1 THEN 'acme  mep' WHEN 2 THEN 'Acme Mep ' WHEN 3 THEN 'Delta Engineers' WHEN 4 THEN 'DELTA ENGINEERS'
                WHEN 5 THEN 'Hvac Partners LLC' WHEN 6 THEN 'Unknown' WHEN 7 THEN '' ELSE 'North Group' END AS consultant,
-             CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE floor(o_totalprice / 10) END AS square_feet,
+             CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 10) AS DOUBLE) END AS square_feet,
              o_orderstatus = 'P' AND o_orderkey % 5 = 0 AS excluded, o_orderkey % 13 = 0 AS review_required,
              CASE WHEN o_orderkey % 4 = 0 THEN 'tonnage by others' WHEN o_orderkey % 4 = 1 THEN 'custom unit' ELSE '' END AS note
       FROM @orders JOIN @customer ON o_custkey = c_custkey""",
@@ -108,12 +108,12 @@ VIEWS: dict[str, str] = {
       SELECT l_orderkey AS project_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS seq,
              CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_quantity / 2 END AS tonnage, 1 + l_linenumber % 3 AS quantity, p_type AS type,
              CASE WHEN l_partkey % 19 = 0 THEN '' ELSE p_brand END AS manufacturer, CASE WHEN l_partkey % 7 = 0 THEN '' ELSE 'M' || l_suppkey END AS model,
-             floor(l_extendedprice / 100) AS duct_feet, CASE l_suppkey % 10 WHEN 0 THEN 'custom' ELSE 'standard' END AS classification
+             CAST(floor(l_extendedprice / 100) AS DOUBLE) AS duct_feet, CASE l_suppkey % 10 WHEN 0 THEN 'custom' ELSE 'standard' END AS classification
       FROM @lineitem JOIN @part ON l_partkey = p_partkey WHERE l_returnflag <> 'N'""",
     "panels": """
       SELECT l_orderkey AS project_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS seq,
              'P' || l_linenumber AS name, CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_quantity * 10 END AS amps,
-             CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE floor(l_extendedprice / 1000) END AS load_kva,
+             CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE CAST(floor(l_extendedprice / 1000) AS DOUBLE) END AS load_kva,
              CASE WHEN l_partkey % 4 = 0 THEN 'D' || (l_suppkey % 30) ELSE '' END AS disconnect_name,
              CASE WHEN l_partkey % 4 = 0 THEN l_quantity * 8 END AS disconnect_amps, 1 + l_linenumber % 2 AS quantity
       FROM @lineitem WHERE l_returnflag = 'N'""",
