@@ -67,14 +67,14 @@ for _scope, _cond in (("Mechanical", "has_mech"), ("Electrical", "has_elec"), ("
         return P.eligible(facts(t), s).select("project_id", "building_type")
 
 RANKED = f"""ranked AS (SELECT * FROM (SELECT request_id, project_id, score, reasons, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, delta, project_name, project_id) AS rank FROM (
-  SELECT r.request_id, f.project_id, f.project_name, abs(coalesce(f.square_feet, 0) - r.square_feet) AS delta,
-    floor((CASE WHEN same_t THEN 50 ELSE 0 END + CASE WHEN same_c THEN 30 ELSE 0 END
-      + CASE WHEN f.square_feet > 0 THEN greatest(0.0, 30 * (1 - least(abs(f.square_feet - r.square_feet) / r.square_feet, 1.0))) ELSE 0 END
-      + CASE WHEN r.scope = 'Mechanical + Electrical' AND f.has_mech AND f.has_elec THEN 5 ELSE 0 END) * 10 + 0.5) / 10 AS score,
-    lower({CLEAN('f.building_type')}) = lower({CLEAN('r.building_type')}) AS same_t, r.consultant <> '' AND f.ckey = lower({CLEAN('r.consultant')}) AS same_c,
+  SELECT *, floor((CASE WHEN same_t THEN 50 ELSE 0 END + CASE WHEN same_c THEN 30 ELSE 0 END
+      + CASE WHEN sf > 0 THEN greatest(0.0, 30 * (1 - least(delta / want, 1.0))) ELSE 0 END + CASE WHEN plus THEN 5 ELSE 0 END) * 10 + 0.5) / 10 AS score,
     concat_ws('; ', CASE WHEN same_t THEN 'same building type' END, CASE WHEN same_c THEN 'same consultant' END,
-      CASE WHEN f.square_feet > 0 THEN CASE WHEN delta / r.square_feet <= 0.15 THEN 'very similar square footage' WHEN delta / r.square_feet <= 0.35 THEN 'similar square footage' ELSE 'closest available size' END END) AS reasons
-  FROM @requests r JOIN {SCOPED} f ON f.scope = r.scope AND NOT f.review_required)) WHERE rank <= 5)"""
+      CASE WHEN sf > 0 THEN CASE WHEN delta / want <= 0.15 THEN 'very similar square footage' WHEN delta / want <= 0.35 THEN 'similar square footage' ELSE 'closest available size' END END) AS reasons
+  FROM (SELECT r.request_id, f.project_id, f.project_name, abs(coalesce(f.square_feet, 0) - r.square_feet) AS delta, f.square_feet AS sf, r.square_feet AS want,
+    r.scope = 'Mechanical + Electrical' AND f.has_mech AND f.has_elec AS plus,
+    lower({CLEAN('f.building_type')}) = lower({CLEAN('r.building_type')}) AS same_t, r.consultant <> '' AND f.ckey = lower({CLEAN('r.consultant')}) AS same_c
+  FROM @requests r JOIN {SCOPED} f ON f.scope = r.scope AND NOT f.review_required))) WHERE rank <= 5)"""
 
 
 @query("p5_rank_similar", f"{WF}, {RANKED} SELECT * FROM ranked")
