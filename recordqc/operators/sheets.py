@@ -342,21 +342,22 @@ def similar_references(queries: DataFrame, refs: DataFrame, k: int = 3, block_ro
     def side(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
         return df.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(mine),
                          F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
-    q, r = side(queries, "qb", nq, "rb", nr), side(refs, "rb", nr, "qb", nq)
+    q = side(queries, "qb", nq, "rb", nr)
+    r = side(refs, "rb", nr, "qb", nq).select(C("vec_id").alias("ref_id"), C("embedding").alias("ref_vec"), C("qb").alias("qb2"), C("rb").alias("rb2"))
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            unit = lambda d: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30))(np.stack(d["embedding"].to_numpy()).astype("float64"))
-            b, ids = unit(right), right["vec_id"].to_numpy()
+            unit = lambda col: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30))(np.stack(col.to_numpy()).astype("float64"))
+            b, ids = unit(right["ref_vec"]), right["ref_id"].to_numpy()
             for at in range(0, len(left), 1024):
                 part = left.iloc[at:at + 1024]
-                sims = unit(part) @ b.T
+                sims = unit(part["embedding"]) @ b.T
                 for row, vec in zip(sims, part["vec_id"]):
                     best = np.lexsort((ids, -np.round(row, 9)))[:k]
                     out += [(int(vec), int(ids[j]), float(row[j])) for j in best]
         return pd.DataFrame(out, columns=["vec_id", "ref_id", "cosine"])
-    cells = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(cell, "vec_id bigint, ref_id bigint, cosine double")
+    cells = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInPandas(cell, "vec_id bigint, ref_id bigint, cosine double")
     return top_k(cells.withColumn("c", F.round("cosine", 9)), ["vec_id"], ["-c", "ref_id"], k, "rank").select("vec_id", "rank", "ref_id", C("cosine"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("catalog", "backups", "precedents", "issues", "sheets")
+_AREAS = ("catalog", "backups", "precedents", "issues", "sheets", "streams")
 
 
 def _load():
