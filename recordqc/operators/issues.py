@@ -67,11 +67,15 @@ def duplicate_issues(existing: DataFrame, incoming: DataFrame, share: float = 0.
     """Incoming issues that repeat an existing one of the same project and discipline.
 
     Texts are reduced to distinct token sets first, and two sets meet only over
-    a token that any partner must share (the first tokens in sorted order, as
-    many as the threshold leaves room to miss, plus one).
+    a token that any partner must share: the rarest tokens, as many as the
+    threshold leaves room to miss, plus one.
     """
     group = ["project_id", "discipline"]
-    tok = lambda df: df.withColumn("tokens", F.array_sort(_note_tokens(C("message"))))
+    texts = existing.select("message").union(incoming.select("message")).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
+    long = written(texts.select("message", "n", F.explode(_note_tokens(C("message"))).alias("t")), "tokens")
+    common = long.groupBy("t").agg(F.sum("n").alias("f"))
+    rare = long.join(common, "t").groupBy("message").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("tokens"))
+    tok = lambda df: df.join(rare, "message", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     e, i = tok(existing), tok(incoming)
     keys = lambda df, name: df.select(*group, "category", F.lower("message").alias("text"), "tokens", C("seq").alias(name))
     same = keys(i, "incoming_seq").join(keys(e, "existing_seq").groupBy(*group, "category", "text").agg(F.min("existing_seq").alias("existing_seq")),
@@ -231,8 +235,8 @@ def unique_headers(headers: DataFrame) -> DataFrame:
 def split_blocks(rows: DataFrame) -> DataFrame:
     """Block number per row: a new block begins where the project number changes."""
     key = ["workbook", "sheet"]
-    filled = running(rows, key, ["row"], project=("last", F.nullif(C("number"), F.lit(""))))
-    before = running(filled, key, ["row"], prev=("lag", "project"))
+    number = F.nullif(C("number"), F.lit(""))
+    before = running(rows, key, ["row"], project=("last", number), prev=("last_before", number))
     starts = before.withColumn("new", F.when(C("project").isNotNull() & (C("prev").isNull() | (C("prev") != C("project"))), 1).otherwise(0))
     return running(starts, key, ["row"], block=("sum", "new")).drop("new", "prev")
 

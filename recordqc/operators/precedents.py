@@ -127,10 +127,12 @@ def similar_consultants(ranked: DataFrame, facts: DataFrame, n: int = 3) -> Data
     return top_k(counts, ["request_id"], ["-projects", "consultant"], n, "rank").select("request_id", "rank", "consultant", "projects")
 
 
-RATIOS = {"sf_ton": F.when((C("square_feet") > 0) & (C("tonnage") > 0), C("square_feet") / C("tonnage")),
-          "duct_sf": F.when((C("square_feet") > 0) & C("duct_feet").isNotNull(), C("duct_feet") / C("square_feet")),
-          "sf_unit": F.when((C("square_feet") > 0) & (C("unit_rows") > 0), C("square_feet") / C("unit_rows")),
-          "sf_panel": F.when((C("square_feet") > 0) & (C("panel_count") > 0), C("square_feet") / C("panel_count"))}
+def ratios() -> dict[str, Column]:
+    """The four planning ratios; null where a part is missing."""
+    sf = C("square_feet")
+    per = lambda ok, value: F.when((sf > 0) & ok, value)
+    return {"sf_ton": per(C("tonnage") > 0, sf / C("tonnage")), "duct_sf": per(C("duct_feet").isNotNull(), C("duct_feet") / sf),
+            "sf_unit": per(C("unit_rows") > 0, sf / C("unit_rows")), "sf_panel": per(C("panel_count") > 0, sf / C("panel_count"))}
 
 
 def comparable_groups(facts: DataFrame) -> DataFrame:
@@ -159,10 +161,10 @@ def estimate(requests: DataFrame, facts: DataFrame) -> DataFrame:
     """
     chosen = comparable_set(requests, facts)
     g = comparable_groups(facts).join(chosen.select("scope", "gt", "gc").distinct(), ["scope", "gt", "gc"], "left_semi")
-    long = g.select("scope", "gt", "gc", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in RATIOS.items()])).alias("m")) \
+    long = g.select("scope", "gt", "gc", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in ratios().items()])).alias("m")) \
             .select("scope", "gt", "gc", "m.*")
     q = percentiles(long, ["scope", "gt", "gc", "metric"], "value", {"p0": 0, "p25": .25, "p50": .5, "p75": .75, "p100": 1}, "n")
-    wide = q.groupBy("scope", "gt", "gc").agg(*[F.max(F.when(C("metric") == m, F.struct("n", "p0", "p25", "p50", "p75", "p100"))).alias(m) for m in RATIOS])
+    wide = q.groupBy("scope", "gt", "gc").agg(*[F.max(F.when(C("metric") == m, F.struct("n", "p0", "p25", "p50", "p75", "p100"))).alias(m) for m in ratios()])
     e = chosen.join(wide, ["scope", "gt", "gc"], "left")
     sf = C("square_feet")
     lo = lambda m: F.when(C(f"{m}.n") >= 4, C(f"{m}.p25")).otherwise(C(f"{m}.p0"))
@@ -194,7 +196,7 @@ def consultant_stats(facts: DataFrame, units: DataFrame) -> DataFrame:
         F.sum("custom_units").alias("custom_units"), (F.sum(missing) * 100.0 / (F.count(F.lit(1)) * 6)).alias("missing_percent"))
     long = facts.select("ckey", F.explode(F.array(
         F.struct(F.lit("sf").alias("m"), C("square_feet").alias("v")), F.struct(F.lit("ton").alias("m"), C("tonnage").alias("v")),
-        F.struct(F.lit("ratio").alias("m"), RATIOS["sf_ton"].alias("v")))).alias("x")).select("ckey", "x.m", "x.v")
+        F.struct(F.lit("ratio").alias("m"), ratios()["sf_ton"].alias("v")))).alias("x")).select("ckey", "x.m", "x.v")
     med = percentiles(long, ["ckey", "m"], "v", {"p": .5}).groupBy("ckey").agg(
         *[F.max(F.when(C("m") == m, C("p"))).alias(f"median_{m}") for m in ("sf", "ton", "ratio")])
     u = units.join(facts.select("project_id", "ckey"), "project_id")
@@ -226,7 +228,7 @@ def consultant_summary(facts: DataFrame) -> DataFrame:
 
 
 def portfolio(facts: DataFrame) -> DataFrame:
-    one = facts.withColumn("one", F.lit(1)).withColumn("ratio", RATIOS["sf_ton"])
+    one = facts.withColumn("one", F.lit(1)).withColumn("ratio", ratios()["sf_ton"])
     base = one.groupBy("one").agg(F.count(F.lit(1)).alias("projects"), F.sum("square_feet").alias("total_sf"),
                                   F.count_distinct(F.when(C("canonical") != "Unknown", C("ckey"))).alias("consultants"))
     return base.join(percentiles(one, ["one"], "ratio", {"median_sf_ton": .5}), "one", "left").drop("one")
