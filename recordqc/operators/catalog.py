@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from recordqc.functions import files as X
 from recordqc.operators.scale import first_per, join_back, multiset_digest, ranked, top_k, with_totals
@@ -326,15 +327,17 @@ def resolve_collisions(plan: DataFrame, suffix: str = "_duplicate-") -> DataFram
     stem, ext = F.regexp_extract(path, r"^(.*/[^/]+?|[^/]+?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*/[^/]+?|[^/]+?)(\.[^./]*)?$", 2)
     plain = plain.withColumn("new_path", F.when(C("k") == 1, path).otherwise(
         F.concat(stem, F.lit(suffix), C("k").cast("string"), ext))).select("seq", "base_path", "new_path")
+    # the window makes "one family in one task, in order" a requirement of the plan; a bare repartition is
+    # only a request that adaptive execution may drop when it turns the join above into a broadcast
     knotted = p.join(tangled, "family", "left_semi").select("family", "seq", "base_path") \
-        .repartition("family").sortWithinPartitions("family", "seq")
+        .withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("seq")))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family, used, nxt = None, set(), {}
         for pdf in batches:
             out = []
-            for fam, seq, base in zip(pdf["family"], pdf["seq"], pdf["base_path"]):
-                if fam != family:
+            for fam, seq, base, place in zip(pdf["family"], pdf["seq"], pdf["base_path"], pdf["place"]):
+                if fam != family or place == 1:
                     family, used, nxt = fam, set(), {}
                 pick, key = base, base.lower()
                 if key in used:

@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from recordqc.operators import sheets as S
 from recordqc.operators.issues import sync_issues
 from recordqc.operators.precedents import canonicalize
@@ -78,7 +80,7 @@ def test_snapshot_over_batches_equals_one_batch(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     for n in range(3):
         rows.where(f"event_id % 3 = {n}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = (spark.readStream.schema(T.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", rows["ts"].cast("timestamp")))
+    stream = (spark.readStream.schema(T.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp")))
     got = T.run_snapshot(T.catalog_arrivals(stream), ["path"], ["modified_us", "seq"], "parity")
-    want = T.newest(T.catalog_arrivals(rows.withColumn("ts", rows["ts"].cast("timestamp"))), ["path"], ["modified_us", "seq"])
+    want = T.newest(T.catalog_arrivals(rows.withColumn("ts", F.col("ts").cast("timestamp"))), ["path"], ["modified_us", "seq"])
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in got.columns) for r in want.collect())
