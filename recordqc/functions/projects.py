@@ -54,5 +54,12 @@ def one_decimal(c: Column) -> Column:
     return js_round(c * 10) / 10
 
 
+def normalize_project_number(c: Column) -> Column:
+    """Upper case, plain hyphens, no blanks around them."""
+    dashed = F.translate(F.upper(F.trim(F.coalesce(c, F.lit("")))), "\u2010\u2011\u2012\u2013\u2014\u2212", "------")
+    return F.regexp_replace(F.regexp_replace(dashed, r"\s*-\s*", "-"), r"\s+", " ")
+
+
 def project_key(number: Column, name: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(F.nullif(number, F.lit("")), name)))
+    num = normalize_project_number(number)
+    return F.when(num != "", F.concat(F.lit("number:"), num)).otherwise(F.concat(F.lit("name:"), F.lower(F.trim(F.coalesce(name, F.lit(""))))))

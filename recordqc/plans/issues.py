@@ -135,7 +135,7 @@ EX = "(SELECT * FROM @projects WHERE project_id % 2 = 0)"
 INCO = """(SELECT project_id + 1 AS project_id, seq, project_number, CASE WHEN project_id % 3 = 0 THEN upper(project_name) ELSE project_name || ' rev' END AS project_name,
   CASE WHEN project_id % 5 = 0 THEN 'OTHER' ELSE building_type END AS building_type, CASE WHEN project_id % 7 = 0 THEN 'North Group' ELSE consultant END AS consultant,
   CASE WHEN project_id % 22 = 0 THEN 1234.0 ELSE square_feet END AS square_feet, excluded FROM @projects WHERE project_id % 4 < 2)"""
-KEY = "lower(trim(project_number))"
+KEY = "'number:' || upper(trim(project_number))"
 
 
 def _existing(t):

@@ -127,6 +127,16 @@ VIEWS: dict[str, str] = {
              CASE r WHEN 0 THEN 'acme mep' WHEN 1 THEN 'Delta Engineers' WHEN 2 THEN 'Nobody' WHEN 3 THEN 'Hvac Partners LLC' ELSE '' END AS consultant,
              CASE ascii(segment) % 3 WHEN 0 THEN 'Mechanical' WHEN 1 THEN 'Electrical' ELSE 'Mechanical + Electrical' END AS scope
       FROM (SELECT c_mktsegment AS segment, EXPLODE(SEQUENCE(0, 4)) AS r FROM (SELECT DISTINCT c_mktsegment FROM @customer) d) s""",
+    # spreadsheet-like cells whose numbers come from the order lines
+    "cells": """
+      SELECT 'W' || (l_orderkey % 50) AS workbook, l_orderkey AS project_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS row,
+        CASE (l_partkey + l_linenumber) % 16
+          WHEN 0 THEN CAST(1 + l_partkey % 90 AS VARCHAR(9)) || ',' || lpad(CAST(l_suppkey % 1000 AS VARCHAR(9)), 3, '0') || ' SF'
+          WHEN 1 THEN 'SUITE 280: 2,' || lpad(CAST(l_partkey % 1000 AS VARCHAR(9)), 3, '0') || ' sq. ft.' WHEN 2 THEN (1000 + l_partkey) || ' : ' || (l_suppkey % 40) || '.5 : ' || (l_partkey % 900)
+          WHEN 3 THEN 'RTU-' || (l_suppkey % 9) WHEN 4 THEN 'AHU ' || l_linenumber WHEN 5 THEN 'n/a' WHEN 6 THEN 'Total tonnage' WHEN 7 THEN '20' || (10 + l_partkey % 15) || ' - 0' || (100 + l_suppkey % 900) || 'b'
+          WHEN 8 THEN 'Trane' WHEN 9 THEN (1 + l_linenumber) || ' existing RTU units, no mechanical CD' WHEN 10 THEN 'Mini-split by VAV' WHEN 11 THEN 'Phase ' || (1 + l_suppkey % 3)
+          WHEN 12 THEN 'Harlingen ' || lower(p_name) || ' medical office' WHEN 13 THEN '-' || (l_partkey % 70) || '.25 tons' WHEN 14 THEN 'County ' || lower(p_name) || ' storage' ELSE 'partial equipment schedule' END AS cell
+      FROM @lineitem JOIN @part ON l_partkey = p_partkey""",
     "issue_log": """
       SELECT event_id AS seq, user_id AS project_id,
              CASE event_type WHEN 'click' THEN 'Mechanical' WHEN 'view' THEN 'Electrical' ELSE 'General' END AS discipline,
