@@ -16,6 +16,8 @@ KEYNOTE_LEGEND = rf"\b(?:{KEYNOTE_SECTION}|KEYNOTE\s+LEGEND)\b"
 SECTION_STOP = r"\b(?:GENERAL\s+NOTES|DEMOLITION\s+NOTES|PLAN\s+NOTES|CONSTRUCTION\s+NOTES|LEGEND|ABBREVIATIONS|SHEET\s+INDEX)\b"
 VIEW_TITLE = (r"\b([A-Z0-9.-]{1,6})\s+(REFLECTED\s+CEILING\s+PLAN|FLOOR\s+PLAN|INT\.?\s+ELEVATION|ELEVATION|SECTION|DETAIL|PERSPECTIVE|PLAN)\s+"
               r"((?:\d+/\d+|\d+(?:\.\d+)?)\s*\"\s*=\s*(?:\d+|\d+/\d+)\s*'-?\s*\d*\"?|NTS)\b")
+VIEW_SCALE = (r"\bN\.?T\.?S\.?\b|\bNOT\s+TO\s+SCALE\b|\bNO\s+SCALE\b|(?:\d+/\d+|\d+(?:\.\d+)?)\s*\"\s*=\s*"
+              r"(?:\d+\s*'\s*(?:-\s*(?:\d+(?:\s+\d+/\d+)?)\s*\"?)?|\d+(?:\s+\d+/\d+)?\s*\")")
 CALLOUT = r"\b(?:DETAIL|SECTION|ELEVATION)?\s*([A-Z0-9.-]{1,6})\s*/\s*([A-Z]{1,4}-?\d+(?:\.\d+)?)\b"
 WORD = r"[A-Za-z][A-Za-z'-]{2,}"
 TITLE_LABEL = (r"\b(?:ARCHITECT|CONSULTANT|ENGINEER|CLIENT|OWNER|CONTRACTOR|PROJECT|MANUFACTURER|COMPANY|ADDRESS|PHONE|EMAIL|WEBSITE|PERMIT|TDLR|"

@@ -444,3 +444,28 @@ def cleanup_summary(files: DataFrame, folders: DataFrame, plan: DataFrame) -> Da
         F.count_if(needs & C("excluded")).alias("needs_removed"), F.count_if(needs & C("by_folder")).alias("needs_by_folder"),
         F.count_if(needs & C("by_file")).alias("needs_by_file"), F.count_if(needs & C("by_folder") & C("by_file")).alias("overlap"),
         F.count_if(C("already_processed") & C("excluded")).alias("processed_removed"))
+
+
+def folder_audit(rows: DataFrame, selected: DataFrame, source: str, definition: str, days: int) -> DataFrame:
+    """Audit rows of reviewed folders."""
+    sel = selected.select("folder").distinct().withColumn("sel", F.lit("yes"))
+    return rows.join(sel, "folder", "left").select(
+        F.lit(source).alias("source"), F.lit(definition).alias("empty_definition"), F.lit(days).alias("age_filter_days"), C("folder").alias("folder_path"),
+        F.get(F.split("folder", "/"), F.lit(1)).alias("parent_folder"), "last_modified", F.lit("ready").alias("status"),
+        F.coalesce("sel", F.lit("no")).alias("selected"), "reason")
+
+
+def rename_file_detail(plan: DataFrame) -> DataFrame:
+    """One report row per record of the rename plan."""
+    yes = lambda c: F.when(c, "Yes").otherwise("No")
+    r = record_status(rename_plan(plan))
+    return r.select("path", "parent_name", "secondary", "export_secondary", "file_name", "extension", "size", yes(C("extension").isin(X.RENAME_SUPPORTED)).alias("supported"),
+                    yes(C("extension").isin(X.HEIC_FAMILY)).alias("heic"), yes(C("already_processed")).alias("processed"), C("base_path").alias("new_path"), "status",
+                    F.when(C("excluded"), "Remove from ZIP").otherwise("Keep in ZIP").alias("zip_action"), yes(C("would_rename") & ~C("excluded")).alias("renamed"))
+
+
+def rename_parent_summary(files: DataFrame) -> DataFrame:
+    r = enrich_files(files).where(~C("is_system") & (C("depth") >= 4))
+    per = r.groupBy("parent_name", "secondary").agg(F.count(F.lit(1)).alias("n"), F.count_if(C("extension").isin(X.HEIC_FAMILY)).alias("h"))
+    sums = per.groupBy("parent_name").agg(F.count(F.lit(1)).alias("secondary_folders"), F.sum("n").alias("files"), F.sum("h").alias("heic"))
+    return sums.join(parent_status(files).drop("processed"), "parent_name")

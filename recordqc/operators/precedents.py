@@ -327,3 +327,24 @@ def projects_export(facts: DataFrame, units: DataFrame) -> DataFrame:
 
 def write_projects_csv(export: DataFrame, path: str) -> None:
     export.write.mode("overwrite").option("header", True).option("quoteAll", True).option("lineSep", "\r\n").csv(path)
+
+
+def export_tables(facts: DataFrame, units: DataFrame, panels: DataFrame, issues: DataFrame) -> dict[str, DataFrame]:
+    """Denormalised tables of an export: projects, equipment, electrical, errors, consultants, notes."""
+    head = facts.select("project_id", "project_number", "project_name", C("canonical").alias("consultant"))
+    q = F.greatest(F.lit(1), F.coalesce(C("quantity"), F.lit(1)))
+    return {
+        "Projects": projects_export(facts, units),
+        "Mechanical Equipment": units.join(head, "project_id").select(
+            "project_number", "project_name", "consultant", C("seq").alias("unit_seq"), "type", "manufacturer", "model", q.cast("bigint").alias("quantity"), "tonnage",
+            (C("tonnage") * q).alias("total_tonnage"), "duct_feet", "classification"),
+        "Electrical": panels.join(head, "project_id").select("project_number", "project_name", "consultant", C("seq").alias("panel_seq"), C("name").alias("panel"), "amps", "load_kva",
+                                                             "disconnect_name", "disconnect_amps"),
+        "Errors": issues.join(head, "project_id").select("project_number", "project_name", "discipline", "category", "severity", "status", "message"),
+        "Consultant Summary": consultant_summary(facts),
+        "Notes": facts.where("note <> ''").select("project_number", "project_name", "note")}
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name.lower().replace(' ', '_')}")

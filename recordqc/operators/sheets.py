@@ -384,3 +384,33 @@ def sheet_register(pages: DataFrame, types: DataFrame) -> DataFrame:
 def run_history(runs: DataFrame, n: int = 25) -> DataFrame:
     """The newest runs; display shows reviewed runs as passed."""
     return runs.orderBy(C("modified").desc(), C("run_id")).limit(n).withColumn("shown", F.regexp_replace("status", "Needs Review", "Pass"))
+
+
+def exclude_covers(index: DataFrame, physical: DataFrame, covers: DataFrame) -> DataFrame:
+    """Index entries with the ones that stand for ignored secondary covers marked: the first k unmatched ``COVER SHEET`` entries of a set."""
+    from recordqc.operators.scale import ranked
+    k = covers.where((C("cover_type") == "secondary") & _ignorable(C("sheet_number"))).groupBy("set_id").agg(F.count(F.lit(1)).alias("k"))
+    i = index.withColumn("number", X.normalize_number(C("sheet_number")))
+    have = physical.select("set_id", X.normalize_number(C("sheet_number")).alias("number")).distinct()
+    loose = i.where(X.has(C("sheet_name"), r"\bCOVER\s+SHEET\b")).join(have, ["set_id", "number"], "left_anti").join(k, "set_id", "left_semi")
+    first = join_back(ranked(loose, ["set_id"], ["index_position"], "nth"), k, ["set_id"]).where("nth <= k").select("set_id", "index_position", F.lit(True).alias("hit"))
+    return i.join(first, ["set_id", "index_position"], "left").withColumn("ignored", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def scope_index(index: DataFrame, scoped_pages: DataFrame) -> DataFrame:
+    """Index entries of reviewed sheets, renumbered in index order."""
+    from recordqc.operators.scale import ranked
+    i = index.withColumn("number", X.normalize_number(C("sheet_number")))
+    have = scoped_pages.select("set_id", X.normalize_number(C("sheet_number")).alias("number")).distinct().withColumn("in_scope", F.lit(True))
+    cover = C("number").rlike(r"^(CS\d*|G0+\.?0*)$") & ~F.upper("sheet_number").startswith("CS-")
+    kept = i.join(have, ["set_id", "number"], "left").where(C("in_scope") | cover | C("number").startswith("A"))
+    return ranked(kept.drop("in_scope"), ["set_id"], ["index_position"], "position")
+
+
+def page_scales(pages: DataFrame) -> DataFrame:
+    """Every scale or not-to-scale mark of a page, normalised."""
+    glyphs = F.translate("text", "\u2018\u2019\u2032\u201c\u201d\u2033", "'''\"\"\"")
+    p = pages.select("set_id", "page_number", F.explode(F.regexp_extract_all(glyphs, F.lit(X.any_case("(" + X.VIEW_SCALE + ")")), F.lit(1))).alias("raw"))
+    flat = F.btrim(F.regexp_replace(F.upper("raw"), r"\s+", " "), F.lit(" ."))
+    return p.select("set_id", "page_number", F.when(flat.rlike(r"^(N\.?T\.?S\.?|NOT TO SCALE|NO SCALE)$"), "NTS").otherwise(flat).alias("scale")) \
+            .groupBy("set_id", "page_number", "scale").agg(F.count(F.lit(1)).alias("marks"))

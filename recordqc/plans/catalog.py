@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recordqc.functions import files as X
 from recordqc.operators import catalog as K
 from recordqc.plans.registry import query
+from recordqc.session import written
 
 C = F.col
 NOW = 1735689600000  # the clock is a parameter of every operator
@@ -321,8 +322,9 @@ PLAN = f"""WITH rf AS ({REMOVED.replace('@files_all', '@files')}), df AS (SELECT
 
 
 def _plan(t):
-    folders, files = K.exact_mode_removals(t.files, t.folders_extra)
-    return K.removal_plan(t.files, folders, files)
+    rows = written(t.files, "files")  # feeds six branches
+    folders, files = K.exact_mode_removals(rows, t.folders_extra)
+    return K.removal_plan(rows, folders, files)
 
 
 @query("f17_removal_plan", f"SELECT path, by_folder, by_file, by_folder OR by_file AS excluded FROM ({PLAN})")
@@ -433,3 +435,24 @@ def _(t):
     f = t.files
     m = f.select(C("parent").alias("root"), F.concat(F.lit("run"), (C("seq") % 4).cast("string")).alias("run"), "path")
     return K.restore_plan(m, f.where("seq % 3 = 0").select("path"))
+
+
+@query("a8_folder_audit", f"""SELECT 'catalog' AS source, 'lenient' AS empty_definition, CAST(0 AS INT) AS age_filter_days, folder AS folder_path, string_split(folder, '/')[2] AS parent_folder,
+  last_modified, 'ready' AS status, CASE WHEN depth % 2 = 0 THEN 'yes' ELSE 'no' END AS selected, {EMPTY['browser', 'lenient'][1]} AS reason FROM ({STATS}) WHERE usable_files = 0 AND depth >= 2""")
+def _(t):
+    rows = K.empty_folders(K.folder_stats(t.files_all, t.folders_extra))
+    return K.folder_audit(rows, rows.where("depth % 2 = 0").select("folder"), "catalog", "lenient", 0)
+
+
+@query("a9_file_detail", f"""SELECT path, parent_name, secondary, export_secondary, file_name, extension, size, CASE WHEN extension IN {SUP} THEN 'Yes' ELSE 'No' END AS supported,
+  CASE WHEN extension IN ('heic', 'heif') THEN 'Yes' ELSE 'No' END AS heic, CASE WHEN already_processed THEN 'Yes' ELSE 'No' END AS processed, base_path AS new_path, {RSTATUS} AS status,
+  CASE WHEN excluded THEN 'Remove from ZIP' ELSE 'Keep in ZIP' END AS zip_action, CASE WHEN would_rename AND NOT excluded THEN 'Yes' ELSE 'No' END AS renamed FROM ({RENAMED.replace('PLANSRC', PLANSRC)})""")
+def _(t):
+    return K.rename_file_detail(_plan(t))
+
+
+@query("a9_parent_summary", f"""SELECT parent_name, count(DISTINCT secondary) AS secondary_folders, count(*) AS files, count(*) FILTER (extension IN {SUP}) AS supported,
+  count(*) FILTER (extension IN ('heic', 'heif')) AS heic, CASE WHEN supported = 0 THEN 'Skipped' WHEN count(*) FILTER (already_processed) = supported THEN 'Already Processed'
+  WHEN count(*) FILTER (already_processed) > 0 THEN 'Partially Processed' ELSE 'Needs Processing' END AS status FROM {R} GROUP BY 1""")
+def _(t):
+    return K.rename_parent_summary(t.files_all)

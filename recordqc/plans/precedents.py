@@ -240,3 +240,16 @@ def _(t):
     from recordqc.functions import projects as X
     return t.projects.select("project_id", X.consultant_name(C("consultant")).alias("display"), X.consultant_key(X.consultant_name(C("consultant"))).alias("ckey"),
                              X.round_ten(C("square_feet")).cast("double").alias("tens"), X.round_half(C("square_feet") / 300).cast("double").alias("halves"))
+
+
+_HEAD = "JOIN facts f USING (project_id)"
+_TABLES = {
+    "Mechanical Equipment": f"""SELECT project_number, project_name, canonical AS consultant, u.seq AS unit_seq, type, manufacturer, model, CAST(greatest(1, quantity) AS BIGINT) AS quantity, u.tonnage, u.tonnage * greatest(1, quantity) AS total_tonnage,
+      u.duct_feet, classification FROM @units u {_HEAD}""",
+    "Electrical": f"SELECT project_number, project_name, canonical AS consultant, p.seq AS panel_seq, name AS panel, amps, load_kva, disconnect_name, disconnect_amps FROM @panels p {_HEAD}",
+    "Errors": f"SELECT project_number, project_name, discipline, category, severity, status, message FROM @issue_log i {_HEAD}",
+    "Notes": "SELECT project_number, project_name, note FROM facts WHERE note <> ''"}
+for _name, _sql in _TABLES.items():
+    @query("a10_" + _name.lower().replace(" ", "_"), f"{WF} {_sql}")
+    def _(t, n=_name):
+        return P.export_tables(facts(t), t.units, t.panels, t.issue_log)[n]

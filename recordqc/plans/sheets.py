@@ -332,3 +332,29 @@ def _(t):
     runs = t.orders.select(C("o_orderkey").alias("run_id"), C("o_orderdate").cast("timestamp").cast("bigint").alias("modified"),
                            F.when(C("o_orderstatus") == "F", "Fail").when(C("o_orderstatus") == "P", "Needs Review").otherwise("Pass").alias("status"))
     return S.run_history(runs)
+
+
+@query("s4_exclude_covers", f"""WITH k AS (SELECT set_id, count(*) AS k FROM ({COV}) WHERE cover_type = 'secondary' AND NOT regexp_matches(upper(sheet_number), '^(B[- ]?\\d+(\\.\\d+)?|C[- ]?0(\\.0+)?)$') GROUP BY 1),
+  u AS (SELECT set_id, index_position, row_number() OVER (PARTITION BY set_id ORDER BY index_position) AS nth FROM @page_index i WHERE {m('sheet_name', r'COVER\s+SHEET')}
+    AND NOT EXISTS (SELECT 1 FROM @sheet_pages p WHERE p.set_id = i.set_id AND {NUMBER('p.sheet_number')} = {NUMBER('i.sheet_number')}))
+  SELECT set_id, index_position, {NUMBER('sheet_number')} AS number, EXISTS (SELECT 1 FROM u JOIN k USING (set_id) WHERE u.set_id = i.set_id AND u.index_position = i.index_position AND nth <= k) AS ignored FROM @page_index i""")
+def _(t):
+    p = written(t.sheet_pages, "pages")
+    return S.exclude_covers(t.page_index, p, S.classify_covers(p)).select("set_id", "index_position", "number", "ignored")
+
+
+@query("s9_scope_index", f"""SELECT set_id, index_position, number, row_number() OVER (PARTITION BY set_id ORDER BY index_position) AS position FROM (SELECT *, {NUMBER('sheet_number')} AS number FROM @page_index) i
+  WHERE starts_with(number, 'A') OR (regexp_matches(number, '^(CS\\d*|G0+\\.?0*)$') AND NOT starts_with(upper(sheet_number), 'CS-'))
+    OR EXISTS (SELECT 1 FROM @sheet_pages p WHERE p.set_id = i.set_id AND {NUMBER('p.sheet_number')} = i.number AND (starts_with({NUMBER('p.sheet_number')}, 'A')
+      OR EXISTS (SELECT 1 FROM ({COV}) c WHERE c.set_id = p.set_id AND c.page_number = p.page_number)))""")
+def _(t):
+    p = written(t.sheet_pages, "pages")
+    return S.scope_index(t.page_index, S.scope_pages(p, S.classify_covers(p))).select("set_id", "index_position", "number", "position")
+
+
+@query("x18_page_scales", f"""SELECT set_id, page_number,
+   CASE WHEN regexp_matches(flat, '^(N\\.?T\\.?S\\.?|NOT TO SCALE|NO SCALE)$') THEN 'NTS' ELSE flat END AS scale, count(*) AS marks FROM (
+  SELECT set_id, page_number, trim(regexp_replace(upper(raw), '\\s+', ' ', 'g'), ' .') AS flat FROM (SELECT set_id, page_number, unnest(regexp_extract_all(text, '(?i)({esc(X.VIEW_SCALE)})', 1)) AS raw
+   FROM @sheet_pages)) GROUP BY 1, 2, 3""")
+def _(t):
+    return S.page_scales(t.sheet_pages)

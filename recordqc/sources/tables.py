@@ -94,6 +94,10 @@ VIEWS: dict[str, str] = {
                ELSE 'COVER SHEET' || chr(10) || 'SHEET INDEX' || chr(10) || 'DESIGN CONSULTANT TEAM' || chr(10) || 'OWNER: ACME' || chr(10)
                      || CASE WHEN doc_id % 4 = 1 THEN 'NO SHEET KEYNOTES' ELSE 'VICINITY MAP' END || chr(10) END || text AS text
       FROM @documents""",
+    "page_index": """
+      SELECT source AS set_id, doc_id AS index_position, CASE WHEN doc_id % 8 < 5 THEN 'A' || (100 + doc_id % 90) ELSE 'CV-' || (doc_id % 50) END AS sheet_number,
+             CASE WHEN doc_id % 8 > 4 OR doc_id % 11 = 0 THEN 'Cover  sheet ' || (doc_id % 3) ELSE 'FLOOR PLAN' END AS sheet_name
+      FROM @documents""",
     "projects": """
       SELECT o_orderkey AS project_id, o_orderkey AS seq,
              CAST(year(o_orderdate) AS BIGINT) || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR(4)), 4, '0') AS project_number,
@@ -135,7 +139,7 @@ VIEWS: dict[str, str] = {
           WHEN 1 THEN 'SUITE 280: 2,' || lpad(CAST(l_partkey % 1000 AS VARCHAR(9)), 3, '0') || ' sq. ft.' WHEN 2 THEN (1000 + l_partkey) || ' : ' || (l_suppkey % 40) || '.5 : ' || (l_partkey % 900)
           WHEN 3 THEN 'RTU-' || (l_suppkey % 9) WHEN 4 THEN 'AHU ' || l_linenumber WHEN 5 THEN 'n/a' WHEN 6 THEN 'Total tonnage' WHEN 7 THEN '20' || (10 + l_partkey % 15) || ' - 0' || (100 + l_suppkey % 900) || 'b'
           WHEN 8 THEN 'Trane' WHEN 9 THEN (1 + l_linenumber) || ' existing RTU units, no mechanical CD' WHEN 10 THEN 'Mini-split by VAV' WHEN 11 THEN 'Phase ' || (1 + l_suppkey % 3)
-          WHEN 12 THEN 'Harlingen ' || lower(p_name) || ' medical office' WHEN 13 THEN '-' || (l_partkey % 70) || '.25 tons' WHEN 14 THEN 'County ' || lower(p_name) || ' storage' ELSE 'partial equipment schedule' END AS cell
+          WHEN 12 THEN 'Riverside ' || lower(p_name) || ' medical office' WHEN 13 THEN '-' || (l_partkey % 70) || '.25 tons' WHEN 14 THEN 'County ' || lower(p_name) || ' storage' ELSE 'partial equipment schedule' END AS cell
       FROM @lineitem JOIN @part ON l_partkey = p_partkey""",
     "issue_log": """
       SELECT event_id AS seq, user_id AS project_id,
@@ -187,7 +191,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _files(spark, sf_dir)
     if name in DERIVED:
         return DERIVED[name](spark, sf_dir)
-    return spark.sql(render(f"SELECT * FROM @{name}", sf_dir))
+    df = spark.sql(render(f"SELECT * FROM @{name}", sf_dir))
+    return spread(df) if name in WIDE else df
+
+
+# text tables, on which the pattern work dwarfs a shuffle
+WIDE = {"sheet_pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that arrives as too few splits.
+
+    A large table has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
