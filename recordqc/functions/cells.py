@@ -27,6 +27,25 @@ NOTE_ISSUES = [
     ("Square footage not shown", "Blocking", r"square footage (is )?not shown|no (overall )?(sf|square footage)")]
 SUGGESTIONS = [("systemType=Variable air volume", r"\bvav\b"), ("equipmentType=Air-handling unit", r"\bair[- ]?handler|\bahu(\b|[-_\d])"),
                ("equipmentType=Packaged rooftop unit", r"\brtu(\b|[-_\d])"), ("existingCondition=true", r"\bexisting\b")]
+FIELD_ALIASES = {
+    "projectNumber": ["project number", "project no", "project #", "job number", "job no", "project id"],
+    "projectName": ["project name", "job name", "name of project"],
+    "consultant": ["mep", "mep consultant", "consultant", "electrical consultant", "engineer"],
+    "buildingType": ["building type", "project type", "facility type", "occupancy"],
+    "squareFeet": ["overall sf", "overall square footage", "square footage", "building sf", "total sf", "sf"],
+    "projectTonnage": ["project total hvac tonnage", "project total tonnage", "total hvac tonnage", "total tonnage", "combined tonnage", "grand total tons",
+                       "project tons"],
+    "projectDuctFeet": ["project total duct linear feet", "total duct linear feet", "total linear feet", "total lf", "project duct feet"],
+    "unitName": ["unit name", "equipment name", "equipment tag", "unit tag", "tag", "name"],
+    "tonnage": ["individual tonnage", "unit tonnage", "tonnage", "tons", "capacity tons"],
+    "unitType": ["unit type", "equipment type", "system type", "type"],
+    "quantity": ["quantity", "qty", "unit quantity", "equipment quantity", "count"],
+    "manufacturer": ["manufacturer", "mfr", "make"],
+    "model": ["model", "model number", "model no"],
+    "ductFeet": ["linear ft", "linear feet", "duct linear ft", "duct length", "duct ft"],
+    "classification": ["classification", "standard unusual custom", "equipment classification"],
+    "notes": ["notes", "comments", "remarks", "other information", "error note"],
+}
 UNIT_COUNT = r"\b(\d+)\s+(?:existing\s+)?(?:rtu|ahu|fcu|unit|units)\b"
 RATIO = r"^\s*(\d[\d,]*(?:\.\d+)?)\s*:\s*(\d[\d,]*(?:\.\d+)?)\s*:\s*(\d[\d,]*(?:\.\d+)?)\s*$"
 SQUARE_FEET = r"(?i)(-?\d[\d,]*(?:\.\d+)?)\s*(?:sf|sq\.?\s*ft\.?|square\s*feet)\b"

@@ -52,3 +52,49 @@ def choose_square_feet(cells: DataFrame) -> DataFrame:
     best = first_per(counts, ["project_id"], ["-n", "at"])
     total = counts.groupBy("project_id").agg(F.count(F.lit(1)).alias("values"))
     return join_back(best, total, ["project_id"]).select("project_id", C("sf").alias("square_feet"), "values", (C("values") > 1).alias("conflict"))
+
+
+TOTAL_OR_UNIT = [("projectTonnage", "tonnage", "project|total|combined|grand"), ("projectDuctFeet", "ductFeet", "project|total")]  # fixed pairs
+
+
+def suggest_mapping(headers: DataFrame, keys: list[str]) -> DataFrame:
+    """Field to header per sheet: exact alias before partial, then header order.
+
+    A total column and its unit column never share a header: the words of the
+    header decide which of the two keeps it.
+    """
+    k = X.label(C("name"))
+    aliases = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(a).alias("alias")) for f, names in X.FIELD_ALIASES.items() for a in names])
+    partial = lambda a: (F.length(a) >= 5) & (F.length(C("k")) >= 5) & (F.contains(C("k"), a) | F.contains(a, C("k")))
+    names = headers.select("name").distinct().withColumn("k", k)
+    hits = names.withColumn("h", F.explode(F.filter(aliases, lambda s: (s["alias"] == C("k")) | partial(s["alias"])))) \
+                .groupBy("name", "k", C("h.field").alias("field")).agg(F.min(F.when(C("h.alias") == C("k"), 0).otherwise(1)).alias("rank"))
+    best = headers.join(hits, "name").groupBy(*keys, "field").agg(F.min(F.struct("rank", "pos", "name", "k")).alias("b"))
+    best = best.select(*keys, "field", C("b.name").alias("header"), C("b.k").alias("k"), C("b.pos").alias("pos"))
+    out = best
+    for total, unit, words in TOTAL_OR_UNIT:
+        both = best.where(C("field").isin(total, unit)).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("d"), F.min("k").alias("hk")).where("n = 2 and d = 1")
+        lose = both.select(*keys, F.when(C("hk").rlike(words), unit).otherwise(total).alias("field"))
+        out = out.join(lose, [*keys, "field"], "left_anti")
+    return out.select(*keys, "field", "header", "pos")
+
+
+def detect_header(sheet_rows: DataFrame, first_rows: int = 30) -> DataFrame:
+    """Best header block (start row, height 1 to 3) of every sheet by mapped fields.
+
+    ``sheet_rows(workbook, sheet, row, cells)`` with rows counted from 0.
+    """
+    key = ["workbook", "sheet"]
+    top = sheet_rows.where(C("row") < first_rows).select(*key, "row", F.posexplode("cells").alias("pos", "cell"))
+    top = top.withColumn("cell", X.cleaned(C("cell"))).where("cell <> ''")
+    last = sheet_rows.where(C("row") < first_rows).groupBy(*key).agg(F.max("row").alias("last_row"))
+    blocks = top.join(last, key).withColumn("height", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))) \
+                .withColumn("start", F.explode(F.sequence(C("row") - C("height") + 1, C("row")))).where((C("start") >= 0) & (C("start") + C("height") - 1 <= C("last_row")))
+    cand = [*key, "start", "height"]
+    named = blocks.groupBy(*cand, "pos").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("row", "cell"))), lambda s: s["cell"])), " ").alias("name"))
+    m = suggest_mapping(named, cand)
+    n = lambda *fields: F.count_if(C("field").isin(*fields))
+    scored = m.groupBy(*cand).agg((F.count(F.lit(1)) * 10 + n("projectNumber", "projectName") * 8 + n("unitName", "tonnage", "unitType") * 4).alias("points"))
+    scored = scored.withColumn("score", C("points") - C("height") * 0.25)
+    return first_per(scored, key, ["-score", "start", "height"]).select(*cand, "score")

@@ -141,6 +141,11 @@ VIEWS: dict[str, str] = {
           WHEN 8 THEN 'Trane' WHEN 9 THEN (1 + l_linenumber) || ' existing RTU units, no mechanical CD' WHEN 10 THEN 'Mini-split by VAV' WHEN 11 THEN 'Phase ' || (1 + l_suppkey % 3)
           WHEN 12 THEN 'Riverside ' || lower(p_name) || ' medical office' WHEN 13 THEN '-' || (l_partkey % 70) || '.25 tons' WHEN 14 THEN 'County ' || lower(p_name) || ' storage' ELSE 'partial equipment schedule' END AS cell
       FROM @lineitem JOIN @part ON l_partkey = p_partkey""",
+    "headers": """
+      SELECT l_orderkey AS workbook, 'S' AS sheet, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS pos,
+        CASE (l_partkey + l_linenumber) % 15 WHEN 0 THEN 'Project Number' WHEN 1 THEN 'Project  Name' WHEN 2 THEN 'MEP Consultant' WHEN 3 THEN 'Overall SF' WHEN 4 THEN 'Total Tonnage' WHEN 5 THEN 'Unit Tag'
+          WHEN 6 THEN 'Tons' WHEN 7 THEN 'System Type' WHEN 8 THEN 'Qty' WHEN 9 THEN 'Mfr' WHEN 10 THEN 'Model No.' WHEN 11 THEN 'Duct Linear Ft' WHEN 12 THEN 'Remarks' WHEN 13 THEN 'Tonnage (each)' ELSE 'Linear Feet Total' END AS name
+      FROM @lineitem""",
     "issue_log": """
       SELECT event_id AS seq, user_id AS project_id,
              CASE event_type WHEN 'click' THEN 'Mechanical' WHEN 'view' THEN 'Electrical' ELSE 'General' END AS discipline,
