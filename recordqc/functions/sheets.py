@@ -38,12 +38,34 @@ KEYWORDS = [
     ("consultant_team", r"\b(?:CIVIL|STRUCTUR(?:E|AL)|MEP|MECHANICAL|ELECTRICAL|PLUMBING|LANDSCAPE|DESIGN\s+CONSULTANT\s+TEAM)\b"),
     ("placeholder", r"\b(?:PLACEHOLDER|TBD|TO\s+BE\s+DETERMINED|DUMMY|NOT\s+FOR\s+ISSUE)\b"),
     ("blank_marker", r"\b(?:INTENTIONALLY\s+BLANK|THIS\s+PAGE\s+INTENTIONALLY\s+LEFT\s+BLANK)\b"),
+    ("issue_description", r"\b(?:ISSUED?\s+FOR|ISSUE\s+DESCRIPTION|PERMIT|BID|CONSTRUCTION|ISSUE)\b"),
+    ("code_summary", r"\b(?:CODE\s+SUMMARY|CODE\s+ANALYSIS|BUILDING\s+CODE)\b"),
+    ("occupancy_load", r"\b(?:OCCUPANCY|OCCUPANT\s+LOAD|LOAD\s+DATA)\b"),
+    ("project_number", r"\b(?:PROJECT\s+NO\.?|PROJECT\s+NUMBER|JOB\s+NO\.?)\b|\b20\d{2}-\d{3,5}\b"),
+    ("north_arrow", r"\bNORTH\b|\bN\.?\s*ARROW\b"),
+    ("construction_notes", r"\bCONSTRUCTION\s+NOTES?\b"),
+    ("graphic_scale", r"\bGRAPHIC\s+SCALE\b"),
+    ("copyright", r"\b(?:COPYRIGHT|DO\s+NOT\s+REPRODUCE|ALL\s+RIGHTS\s+RESERVED)\b"),
+    ("seal_placeholder", r"\b(?:SEAL|PROFESSIONAL\s+SEAL|STAMP)\b"),
+    ("firm_information", r"\b(?:ARCHITECT|ENGINEERING|ARCHITECTURE|LLC|INC\.?|FIRM)\b"),
+    ("door_schedule", r"\bDOOR\s+SCHEDULE\b"),
+    ("room_finish_schedule", r"\bROOM\s+FINISH\s+SCHEDULE\b"),
+    ("code_analysis", r"\bCODE\s+ANALYSIS\b"),
+    ("life_safety", r"\bLIFE\s+SAFETY\b"),
+    ("accessibility", r"\bACCESSIBILITY\b|\bACCESSIBLE\b"),
     ("drawn_checked", r"\b(?:DRAWN|CHECKED|CHK|DRN|DRAWN\s+BY|CHECKED\s+BY)\b"),
 ]
 DISCIPLINES = {"G": "General", "A": "Architectural", "AD": "Architectural", "I": "Interiors", "LS": "Life Safety", "C": "Civil", "S": "Structural",
                "M": "Mechanical", "P": "Plumbing", "E": "Electrical", "FP": "Fire Protection"}
-CORRECTIONS = {"accomodate": "accommodate", "seperation": "separation", "adress": "address", "enviroment": "environment", "manuevering": "maneuvering",
-               "manuvering": "maneuvering", "penatration": "penetration", "penatrations": "penetrations", "waterproofng": "waterproofing"}
+CORRECTIONS = {
+    "accomodate": "accommodate", "accomodates": "accommodates", "accomodated": "accommodated", "accomodating": "accommodating",
+    "seperation": "separation", "seperate": "separate", "seperated": "separated", "waterproofng": "waterproofing", "firestoping": "firestopping",
+    "flasing": "flashing", "substrat": "substrate", "recieve": "receive", "recieved": "received", "occured": "occurred", "occurance": "occurrence",
+    "maintainence": "maintenance", "clearence": "clearance", "accesible": "accessible", "acessible": "accessible", "commerical": "commercial",
+    "construcion": "construction", "coordiante": "coordinate", "coordinationg": "coordinating", "requred": "required", "requirment": "requirement",
+    "requirments": "requirements", "typcial": "typical", "typicaly": "typically", "teh": "the", "windw": "window", "widnow": "window",
+    "adress": "address", "enviroment": "environment", "manuevering": "maneuvering", "manuvering": "maneuvering", "penatration": "penetration",
+    "penatrations": "penetrations"}
 
 
 def any_case(pattern: str) -> str:
