@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordqc.llm import chat, decontam, langid, mixing, quality, secrets, sharding, warc
+from recordqc.llm import chat, decontam, langid, mixing, probminhash, quality, secrets, sharding, substring, warc
 from recordqc.llm.common import stored, table
 from recordqc.llm.registry import ORACLES, QUERIES, query
 
@@ -97,3 +97,25 @@ def op9(spark, sf_dir):
 @query("op10_shard")
 def op10(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+@query("op4_near_dedup")
+def op4(spark, sf_dir):
+    return probminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+_PLAIN_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+@query("op5_substring_dedup", f"""
+WITH d AS (SELECT doc_id, {_PLAIN_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)),
+least AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM win JOIN least USING (g) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op5(spark, sf_dir):
+    kept = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
