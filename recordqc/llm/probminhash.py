@@ -7,10 +7,11 @@ of the text. Two texts agree in a register with their probability Jaccard simila
 texts that share a band are candidates, and a candidate pair is a link if the Jaccard similarity of the two shingle
 sets is ``similarity`` or more.
 
-Equal texts are one node from the start. In a band's bucket every node is first compared with three centres only, never
-with all others; links make classes (connected components), and then only nodes of one bucket whose classes still
-differ are compared with each other. So a bucket of thousands of copies costs a few pairs each, and no pair of a bucket
-stays undecided.
+Equal texts are one node from the start. In a band's bucket every node is first verified against three centres only (the node
+with most neighbours and two others); links make classes (connected components). Nodes of one bucket whose classes still
+differ are then compared in blocks of bounded size by one byte a register, inside the task; only pairs that agree in at
+least ``similarity`` less four standard errors leave it, once, and are verified. So a bucket of thousands of copies costs
+a few pairs each, and no pair of a bucket stays undecided.
 
 Texts without words, and null texts, are classes of their own. A class is named by its smallest ``doc_id``; null ids
 are larger than others, and a class of null ids only is named null. Repeated rows fall in one class. An empty table
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from recordqc.llm.common import map_batches, stored, texts_of
@@ -77,11 +78,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFrame:
-    """``doc_id, node`` (digest of the text) and ``keys``, one hash a band; null for texts without words."""
+    """``doc_id, node`` (digest of the text), ``keys``, one hash a band, and ``marks``, a byte a register; both null without words."""
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def made(batch):
-        texts, out = texts_of(batch), []
+        texts, out, marks = texts_of(batch), [], []
         for i in range(0, len(texts), block):  # bounds the registers held at once
             part = texts[i:i + block]
             found = signatures(part, bands * rows).reshape(len(part), bands, rows)
@@ -90,10 +91,64 @@ def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFr
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + found[:, :, r])
             key = (key ^ salt).view(np.int64)
             out += [k if f.any() else None for k, f in zip(key.tolist(), found)]
-        return [out]
+            marks += [x.tobytes() if f.any() else None for x, f in zip((mixed(found) & np.uint64(255)).astype(np.uint8), found)]
+        return [out, marks]
 
     named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), "text")
-    return map_batches(named, made, [("keys", ArrayType(LongType()))], ["doc_id", "node"])
+    return map_batches(named, made, [("keys", ArrayType(LongType())), ("marks", BinaryType())], ["doc_id", "node"])
+
+
+def _near_marks(rows_a_band: int, bands: int, least: float):
+    """Pairs of a block's nodes in different classes whose registers agree enough and whose first common band is this one."""
+    import pyarrow as pa
+
+    def pairs(band, nodes, roots, parts, marks):
+        m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), -1)
+        _, root, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+        part, major = np.array(parts), sizes.argmax()
+        both = part.min() != part.max()
+        for y in np.flatnonzero(root != major).tolist():
+            same = m == m[y]
+            ok = (root != root[y]) & (same.sum(1) >= least * m.shape[1])
+            ok &= (part != part[y]) if both else True
+            ok[:y] &= root[:y] == major  # the other way round those have been seen
+            for x in np.flatnonzero(ok).tolist():
+                if same[x].reshape(bands, rows_a_band).all(1).argmax() == band:
+                    yield min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+
+    def made(batches):
+        group, held = None, []
+        for b in batches:
+            out = []
+            for task, band, node, root, part, marks in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("task", "band", "node", "root", "part", "marks")]):
+                if group != (task, band):
+                    if len(held) > 1:
+                        out += pairs(group[1], *zip(*held))
+                    group, held = (task, band), []
+                held.append((node, root, part, marks))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
+        out = list(pairs(group[1], *zip(*held))) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
+
+    return made
+
+
+def _open_pairs(placed: DataFrame, facts: DataFrame, similarity: float, bands: int, rows: int, block: int = 1_000) -> DataFrame:
+    """Pairs ``a, b`` of nodes that share a bucket but no class and may be similar enough."""
+    mixed_up = placed.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("__n")) \
+        .where("__lo <> __hi").select("key", F.ceil(F.col("__n") / block).cast("int").alias("__parts"))
+    rows_in = stored(placed.join(mixed_up, "key"), "near-open")
+    wanted = rows_in.select("node", "doc_id").distinct()
+    match = (F.col("w.node") == F.col("f.node")) & F.col("w.doc_id").eqNullSafe(F.col("f.doc_id"))
+    marks = facts.select("node", "doc_id", "marks").alias("f").join(wanted.alias("w"), match, "left_semi").dropDuplicates(["node"]).select("node", "marks")
+    part = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("__parts")).cast("int")
+    dealt = rows_in.withColumn("part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))) \
+        .select("band", "node", "root", "part", F.concat_ws("/", "key", F.least("part", "__other"), F.greatest("part", "__other")).alias("task"))
+    error = (similarity * (1 - similarity) / (bands * rows)) ** 0.5
+    made = _near_marks(rows, bands, similarity - 4 * error)
+    return dealt.join(marks, "node").repartition("task").sortWithinPartitions("task", "node").mapInArrow(made, "a string, b string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -137,12 +192,14 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
     facts = stored(banded(docs, bands, rows), "near-bands")
     one = Window.partitionBy("node").orderBy(F.col("doc_id").asc_nulls_last())  # limited to one row a node before the shuffle
     reps = facts.where("keys is not null").withColumn("__k", F.row_number().over(one)).where("__k = 1").drop("__k")
-    members = reps.select("node", "doc_id", F.explode("keys").alias("key"))
-    order = lambda t: F.min(F.struct(F.xxhash64(F.lit(t), "node").alias("h"), "node"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), *[order(t).alias(f"c{t}") for t in range(3)]) \
-        .where("__n > 1").select("key", F.array(*[f"c{t}.node" for t in range(3)]).alias("centres"))
-    inside = stored(members.join(buckets, "key"), "near-buckets")
-    pairs = stored(inside.select("node", F.explode("centres").alias("c")).where("node <> c")
+    members = reps.select("node", "doc_id", F.posexplode("keys").alias("band", "key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    inside = stored(members.join(sizes, "key"), "near-buckets")
+    degree = inside.groupBy("node").agg(F.sum("__n").alias("__d"))
+    order = lambda t: F.min(F.struct((-F.col("__d") if t == 0 else F.xxhash64(F.lit(t), "node")).alias("h"), "node"))
+    centres = inside.join(degree, "node").groupBy("key").agg(*[order(t).alias(f"c{t}") for t in range(3)]) \
+        .select("key", F.array_distinct(F.array(*[f"c{t}.node" for t in range(3)])).alias("centres"))
+    pairs = stored(inside.join(centres, "key").select("node", F.explode("centres").alias("c")).where("node <> c")
                    .select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "near-pairs")
 
     wanted = inside.select("node", "doc_id").distinct()
@@ -152,11 +209,8 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
 
     links = stored(_verified(pairs, texts, similarity), "near-verified")
     roots = components(links)
-    placed = inside.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_up = placed.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi")).where("__lo <> __hi").select("key")
-    open_rows = stored(placed.join(mixed_up, "key"), "near-open")
-    x, y = open_rows.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), open_rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    placed = inside.select("key", "band", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _open_pairs(placed, facts, similarity, bands, rows).distinct().join(pairs, ["a", "b"], "left_anti")
     more = stored(_verified(rest, texts, similarity), "near-verified")
     if not more.isEmpty():
         roots = components(links.select("a", "b").union(more.select("a", "b")))

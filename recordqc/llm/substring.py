@@ -4,6 +4,7 @@ A word goes if a window of ``WINDOW`` words around it also starts in a document
 automaton of every shard of the corpus to every task would cost the square of the corpus; here a shard's automaton
 meets exactly the document parts that can match it:
 
+0. Of documents with equal texts all but the first are settled: all their words in windows go.
 1. Each window has an anchor, its six-word sequence of smallest hash. Equal windows have equal anchors, so a run of
    windows with one anchor can only match runs with the same one.
 2. Anchors that one document alone holds are dropped. Tasks settle what they see themselves and send an anchor once,
@@ -28,13 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
 from recordqc.llm.automaton import SuffixAutomaton
-from recordqc.llm.common import map_batches
+from recordqc.llm.common import map_batches, stored
 from recordqc.llm.shingles import mixed, offsets, sequences, word_hashes
 
 WINDOW, ANCHOR = 13, 6
 REACH = WINDOW - ANCHOR + 1  # anchors a window can have; 8, so that three doublings find the smallest
 SHARD = 200_000
 LAST = 2 ** 63 - 1
+#: Start that stands for all windows of a text.
+WHOLE = -1
 
 
 class _Runs:
@@ -126,6 +129,9 @@ def _runs(batches):
     """Words of the runs whose anchor is in the document's list ``anchors``."""
     for b in batches:
         words = _words(b)
+        for i, (own, copies) in enumerate(zip(_column(b, "own").to_pylist(), _column(b, "copies").to_pylist())):
+            if own in copies:
+                words[i] = []
         runs = _Runs(words)
         lists = _column(b, "anchors")
         flat = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64)
@@ -246,10 +252,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("own"))
     sent = named.select("doc", "text").mapInArrow(_anchors, ANCHORS)
     dealt = sent.repartition(F.when(F.col("settled"), F.xxhash64("doc")).otherwise(F.col("anchor")))
-    lists = dealt.mapInArrow(_shared, "doc long, anchor long").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc", "own", "text", "anchors").mapInArrow(_runs, RUNS)
+    equal = named.select("doc", "own", F.md5(F.col("text").cast("binary")).alias("digest"))
+    firsts = equal.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    copies = stored(equal.join(firsts, "digest").where("doc > first").select("doc", "own").distinct(), "substring-copies")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    lists = dealt.mapInArrow(_shared, "doc long, anchor long").select("doc", "anchor", nothing("long").alias("own")) \
+        .union(copies.select("doc", nothing("long"), "own")) \
+        .groupBy("doc").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("own").alias("copies"))
+    # both joins below read the same exchange of the texts, so they ask for the same columns
+    runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc_id", "doc", "own", "text", "anchors", "copies").mapInArrow(_runs, RUNS)
     removed = runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc").mapInArrow(_matched, REMOVED)
-    cuts = removed.groupBy("doc").agg(F.collect_list(F.struct("own", "start", "mask")).alias("cuts"))
+    whole = copies.select("doc", "own", F.lit(WHOLE).alias("start"), F.lit(0).alias("mask"))
+    cuts = removed.union(whole).groupBy("doc").agg(F.collect_list(F.struct("own", "start", "mask")).alias("cuts"))
 
     def made(batch):
         counts, gone, kept = [], [], []
@@ -258,7 +272,9 @@ def dedup(docs: DataFrame) -> DataFrame:
             counts.append(len(words))
             edge = np.zeros(len(words) + 1, np.int32)
             for c in cut or ():
-                if c["own"] == mine:
+                if c["own"] == mine and c["start"] == WHOLE:
+                    edge[0] += len(words) >= WINDOW  # from the first word to the last
+                elif c["own"] == mine:
                     for i in range(c["mask"].bit_length()):
                         if c["mask"] >> i & 1:
                             edge[c["start"] + i] += 1
