@@ -9,9 +9,10 @@ sets is ``similarity`` or more.
 
 Equal texts are one node from the start. In a band's bucket every node is first verified against three centres only (the node
 with most neighbours and two others); links make classes (connected components). Nodes of one bucket whose classes still
-differ are then compared in blocks of bounded size by one byte a register, inside the task; only pairs that agree in at
-least ``similarity`` less four standard errors leave it, once, and are verified. So a bucket of thousands of copies costs
-a few pairs each, and no pair of a bucket stays undecided.
+differ meet in blocks of bounded size and are compared inside the task: pairs that agree in fewer registers than
+``similarity`` less four standard errors are passed over, the others verified in the first band they share, and what
+leaves the task are links that join classes. So a bucket of thousands of copies costs a few pairs each, and no pair of
+a bucket stays undecided.
 
 Texts without words, and null texts, are classes of their own. A class is named by its smallest ``doc_id``; null ids
 are larger than others, and a class of null ids only is named null. Repeated rows fall in one class. An empty table
@@ -94,18 +95,31 @@ def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFr
             marks += [x.tobytes() if f.any() else None for x, f in zip((mixed(found) & np.uint64(255)).astype(np.uint8), found)]
         return [out, marks]
 
-    named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), "text")
-    return map_batches(named, made, [("keys", ArrayType(LongType())), ("marks", BinaryType())], ["doc_id", "node"])
+    named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), F.length("text").alias("chars"), "text")
+    return map_batches(named, made, [("keys", ArrayType(LongType())), ("marks", BinaryType())], ["doc_id", "node", "chars"])
 
 
-def _near_marks(rows_a_band: int, bands: int, least: float):
-    """Pairs of a block's nodes in different classes whose registers agree enough and whose first common band is this one."""
+def _block_links(rows_a_band: int, bands: int, least: float, similarity: float):
+    """Links between a block's nodes of different classes, for pairs whose first common band is this one."""
     import pyarrow as pa
 
-    def pairs(band, nodes, roots, parts, marks):
+    def links(band, nodes, roots, parts, marks, texts):
         m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), -1)
         _, root, sizes = np.unique(roots, return_inverse=True, return_counts=True)
         part, major = np.array(parts), sizes.argmax()
+        above, sets = list(range(len(sizes))), {}
+
+        def top(r):
+            while above[r] != r:
+                above[r] = above[above[r]]
+                r = above[r]
+            return r
+
+        def of(i):
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(texts[i]))
+            return sets[i]
+
         both = part.min() != part.max()
         for y in np.flatnonzero(root != major).tolist():
             same = m == m[y]
@@ -113,32 +127,36 @@ def _near_marks(rows_a_band: int, bands: int, least: float):
             ok &= (part != part[y]) if both else True
             ok[:y] &= root[:y] == major  # the other way round those have been seen
             for x in np.flatnonzero(ok).tolist():
-                if same[x].reshape(bands, rows_a_band).all(1).argmax() == band:
-                    yield min(nodes[x], nodes[y]), max(nodes[x], nodes[y])
+                ry, rx = top(root[y]), top(root[x])
+                if rx != ry and same[x].reshape(bands, rows_a_band).all(1).argmax() == band and jaccard(of(x), of(y)) >= similarity:
+                    above[rx] = ry
+                    yield nodes[x], nodes[y]
 
     def made(batches):
         group, held = None, []
         for b in batches:
             out = []
-            for task, band, node, root, part, marks in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("task", "band", "node", "root", "part", "marks")]):
+            for task, band, *row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("task", "band", "node", "root", "part", "marks", "text")]):
                 if group != (task, band):
                     if len(held) > 1:
-                        out += pairs(group[1], *zip(*held))
+                        out += links(group[1], *zip(*held))
                     group, held = (task, band), []
-                held.append((node, root, part, marks))
+                held.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
-        out = list(pairs(group[1], *zip(*held))) if len(held) > 1 else []
+        out = list(links(group[1], *zip(*held))) if len(held) > 1 else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
 
     return made
 
 
-def _open_pairs(placed: DataFrame, facts: DataFrame, similarity: float, bands: int, rows: int, block: int = 1_000) -> DataFrame:
-    """Pairs ``a, b`` of nodes that share a bucket but no class and may be similar enough."""
-    mixed_up = placed.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("__n")) \
-        .where("__lo <> __hi").select("key", F.ceil(F.col("__n") / block).cast("int").alias("__parts"))
+def _open_links(placed: DataFrame, facts: DataFrame, texts: DataFrame, similarity: float, bands: int, rows: int, block: int = 1_000,
+                block_chars: int = 8_000_000) -> DataFrame:
+    """Links ``a, b`` of nodes that share a bucket but no class; a task holds two blocks at most."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("chars") / block_chars)).cast("int")
+    mixed_up = placed.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), parts.alias("__parts")) \
+        .where("__lo <> __hi").select("key", "__parts")
     rows_in = stored(placed.join(mixed_up, "key"), "near-open")
     wanted = rows_in.select("node", "doc_id").distinct()
     match = (F.col("w.node") == F.col("f.node")) & F.col("w.doc_id").eqNullSafe(F.col("f.doc_id"))
@@ -147,8 +165,8 @@ def _open_pairs(placed: DataFrame, facts: DataFrame, similarity: float, bands: i
     dealt = rows_in.withColumn("part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))) \
         .select("band", "node", "root", "part", F.concat_ws("/", "key", F.least("part", "__other"), F.greatest("part", "__other")).alias("task"))
     error = (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    made = _near_marks(rows, bands, similarity - 4 * error)
-    return dealt.join(marks, "node").repartition("task").sortWithinPartitions("task", "node").mapInArrow(made, "a string, b string")
+    made = _block_links(rows, bands, similarity - 4 * error, similarity)
+    return dealt.join(marks.join(texts, "node"), "node").repartition("task").sortWithinPartitions("task", "node").mapInArrow(made, "a string, b string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -192,7 +210,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
     facts = stored(banded(docs, bands, rows), "near-bands")
     one = Window.partitionBy("node").orderBy(F.col("doc_id").asc_nulls_last())  # limited to one row a node before the shuffle
     reps = facts.where("keys is not null").withColumn("__k", F.row_number().over(one)).where("__k = 1").drop("__k")
-    members = reps.select("node", "doc_id", F.posexplode("keys").alias("band", "key"))
+    members = reps.select("node", "doc_id", "chars", F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     inside = stored(members.join(sizes, "key"), "near-buckets")
     degree = inside.groupBy("node").agg(F.sum("__n").alias("__d"))
@@ -209,9 +227,8 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
 
     links = stored(_verified(pairs, texts, similarity), "near-verified")
     roots = components(links)
-    placed = inside.select("key", "band", "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = _open_pairs(placed, facts, similarity, bands, rows).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, texts, similarity), "near-verified")
+    placed = inside.select("key", "band", "node", "doc_id", "chars").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = stored(_open_links(placed, facts, texts, similarity, bands, rows), "near-verified")
     if not more.isEmpty():
         roots = components(links.select("a", "b").union(more.select("a", "b")))
 

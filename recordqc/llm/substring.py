@@ -9,7 +9,8 @@ meets exactly the document parts that can match it:
    windows with one anchor can only match runs with the same one.
 2. Anchors that one document alone holds are dropped. Tasks settle what they see themselves and send an anchor once,
    so a passage that a third of all documents share sends a row for each batch, not for each document.
-3. Runs of shared anchors are dealt by anchor: a partition is a reference shard with its queries. Equal runs count once,
+3. Of equal runs in a batch the smallest document's is kept and the others are settled. Runs of shared anchors are
+   dealt by anchor: a partition is a reference shard with its queries. Equal runs count once,
    with the smallest id; windows whose hash occurs once go; over the rest one automaton is built for at most
    ``SHARD`` words, every state with the smallest id of its occurrences. Runs stream through it, and where the match is
    a window long, the state tells whether a smaller document holds it.
@@ -122,11 +123,15 @@ def _shared(batches):
             yield _batch("doc long, anchor long", doc[shared], anchor[shared].view(np.int64))
 
 
-RUNS = "anchor long, run binary, doc long, own long, start int"
+RUNS = "anchor long, run binary, doc long, own long, start int, mask int"
 
 
 def _runs(batches):
-    """Words of the runs whose anchor is in the document's list ``anchors``."""
+    """Words of the runs whose anchor is in the document's list ``anchors``.
+
+    Of equal runs in a batch only the smallest document's goes on; the others lose all of its windows at once (``mask``)
+    and are dealt out evenly without words.
+    """
     for b in batches:
         words = _words(b)
         for i, (own, copies) in enumerate(zip(_column(b, "own").to_pylist(), _column(b, "copies").to_pylist())):
@@ -141,8 +146,15 @@ def _runs(batches):
         if len(hit):
             doc, start, count = runs.doc[hit], runs.start[hit], runs.count[hit]
             text = [b" ".join(words[d][s:s + n + WINDOW - 1]) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist())]
-            yield _batch(RUNS, runs.anchor[hit].view(np.int64), text, np.array(_column(b, "doc").to_pylist(), np.int64)[doc],
-                         np.array(_column(b, "own").to_pylist(), np.int64)[doc], start.astype(np.int32))
+            ids = np.array(_column(b, "doc").to_pylist(), np.int64)[doc]
+            first: dict[bytes, int] = {}
+            for t, d in zip(text, ids.tolist()):
+                if d < first.get(t, LAST + 1):
+                    first[t] = d
+            later = ids > np.array([first[t] for t in text], np.int64)
+            anchor = np.where(later, tag(runs.anchor[hit], doc), runs.anchor[hit])
+            yield _batch(RUNS, anchor.view(np.int64), [b"" if gone else t for gone, t in zip(later.tolist(), text)], ids,
+                         np.array(_column(b, "own").to_pylist(), np.int64)[doc], start.astype(np.int32), np.where(later, (1 << count) - 1, 0).astype(np.int32))
 
 
 REMOVED = "doc long, own long, start int, mask int"
@@ -227,7 +239,10 @@ def _matched(batches):
                 shard.add(text, rows)
 
     for b in batches:
-        for a, text, *row in zip(*[_column(b, c).to_pylist() for c in ("anchor", "run", "doc", "own", "start")]):
+        for a, text, mask, *row in zip(*[_column(b, c).to_pylist() for c in ("anchor", "run", "mask", "doc", "own", "start")]):
+            if mask:
+                out.append((*row, mask))
+                continue
             if a != anchor:
                 close()
                 if shard.size >= SHARD:
