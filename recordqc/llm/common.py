@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[ \t\n\x0B\f\r]+"
 WORD = r"[^ \t\n\x0B\f\r]+"
 _OWN: dict[str, str] = {}
+#: Folders of stored tables, in the order of their making.
+STORED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +36,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: survives lost executors, is computed once."""
     path = fresh_path(df.sparkSession, label)
+    STORED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

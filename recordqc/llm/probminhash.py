@@ -7,8 +7,8 @@ of the text. Two texts agree in a register with their probability Jaccard simila
 texts that share a band are candidates, and a candidate pair is a link if the Jaccard similarity of the two shingle
 sets is ``similarity`` or more.
 
-Equal texts are one node from the start. In a band's bucket every node is first verified against three centres only (the node
-with most neighbours and two others); links make classes (connected components). Nodes of one bucket whose classes still
+Equal texts are one node from the start. In a band's bucket every node is first verified against two centres only (the node
+with most neighbours and one more); links make classes (connected components). Nodes of one bucket whose classes still
 differ meet in blocks of bounded size and are compared inside the task: pairs that agree in fewer registers than
 ``similarity`` less four standard errors are passed over, the others verified in the first band they share, and what
 leaves the task are links that join classes. So a bucket of thousands of copies costs a few pairs each, and no pair of
@@ -186,20 +186,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for nodes of ``links`` (a, b): the smallest node each can reach.
+    """``node, root`` for nodes of ``links`` (a, b): equal roots for nodes that reach each other.
 
-    Labels spread along links and are then looked up themselves, so chains shorten by half and more each round.
+    Each round sends every node to its smallest neighbour, looks that one up once more, and replaces the links by
+    those between different ends; what is joined shrinks from round to round.
     """
-    both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "near-roots")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("__near"))
-        spread = labels.join(near, "node").select("node", F.col("root").alias("__old"), F.least("root", "__near").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("__up"))
-        fresh = stored(spread.join(up, "root").select("node", "__old", F.least("root", "__up").alias("root")), "near-roots")
-        labels = fresh.select("node", "root")
-        if fresh.where("root <> __old").isEmpty():
-            return labels
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        step = stored(ends.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("to")), "near-steps")
+        far = step.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        step = stored(step.join(far, "to").select("node", F.col("far").alias("root")), "near-roots")
+        if labels is None:
+            labels = step
+        else:
+            after = step.select(F.col("node").alias("root"), F.col("root").alias("__next"))
+            labels = stored(labels.join(after, "root", "left").select("node", F.coalesce("__next", "root").alias("root")), "near-labels")
+        to = lambda end: step.select(F.col("node").alias(end), F.col("root").alias(f"__{end}"))
+        moved = edges.join(to("a"), "a").join(to("b"), "b").where("__a <> __b")
+        edges = stored(moved.select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")).distinct(), "near-links")
+    return labels
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int = 7) -> DataFrame:
@@ -215,8 +222,8 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
     inside = stored(members.join(sizes, "key"), "near-buckets")
     degree = inside.groupBy("node").agg(F.sum("__n").alias("__d"))
     order = lambda t: F.min(F.struct((-F.col("__d") if t == 0 else F.xxhash64(F.lit(t), "node")).alias("h"), "node"))
-    centres = inside.join(degree, "node").groupBy("key").agg(*[order(t).alias(f"c{t}") for t in range(3)]) \
-        .select("key", F.array_distinct(F.array(*[f"c{t}.node" for t in range(3)])).alias("centres"))
+    centres = inside.join(degree, "node").groupBy("key").agg(*[order(t).alias(f"c{t}") for t in range(2)]) \
+        .select("key", F.array_distinct(F.array(*[f"c{t}.node" for t in range(2)])).alias("centres"))
     pairs = stored(inside.join(centres, "key").select("node", F.explode("centres").alias("c")).where("node <> c")
                    .select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "near-pairs")
 
