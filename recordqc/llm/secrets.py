@@ -90,12 +90,13 @@ def ratios(counts: np.ndarray, prior: float = 200.0) -> np.ndarray:
     """Log-likelihood ratio random : ordinary of each pair.
 
     The random model's prior is uniform over the alphabet with ``prior`` samples a symbol, so that kinds of
-    random strings that no rule labels stay likely; the ordinary model's is one sample a pair.
+    random strings that no rule labels stay likely; the ordinary model's are its symbols' own frequencies.
     """
     random = counts[1] + prior / SIZE
     mixed = (random.sum(0, keepdims=True) + prior) / (random.sum() + prior * SIZE)  # symbols alone, for contexts never seen
     random = 0.5 * random / random.sum(1, keepdims=True) + 0.5 * (0.5 * mixed + 0.5 / SIZE)
-    plain = counts[0] + 1.0
+    alone = (counts[0].sum(0) + 1.0) / (counts[0].sum() + SIZE)  # for contexts that ordinary text hardly has
+    plain = counts[0] + 50.0 * alone
     plain /= plain.sum(1, keepdims=True)
     marks, other = [ALPHABET.index(c) for c in "+/_=-."], SIZE - 1
     upper, lower = slice(0, 26), slice(26, 52)  # identifiers join ordinary words by marks or by case

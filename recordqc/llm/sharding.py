@@ -64,7 +64,7 @@ def _counts(state: DataFrame, shards: int) -> dict[int, int]:
     return {s: got.get(s, 0) for s in range(shards)}
 
 
-def place(rows: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
+def place(rows: DataFrame, shards: int = 24, rounds: int = 5) -> DataFrame:
     """``rows`` (stored, with ``doc_id, __g, __row``) with ``shard, slot``."""
     total = rows.count()
     state = stored(_labelled(rows, shards, total), "shard-start")
@@ -93,7 +93,7 @@ def place(rows: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     return out.withColumn("slot", F.when(stays, F.col("__rank")).otherwise(filled).cast("long")).drop("__place", "__rank", "__single", "__label", "__part")
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 3, keep_text: bool = True) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, rounds: int = 5, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``size, text_crc32, law, shard, slot, grown_shard`` (see the module)."""
     docs = docs.drop(*MADE)
     last = [F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
