@@ -231,7 +231,8 @@ def test_substring_odd(spark):
 def test_secret_rules_and_models(spark):
     rng = random.Random(8)
     token = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789") for _ in range(40))
-    texts = [prose(rng, 400) for _ in range(40)] + [
+    cases = [str.lower, str.title, str.upper, lambda t: t.replace(" ", " 1985 ")]  # ordinary text has all of them
+    texts = [cases[i % 4](prose(rng, 400)) for i in range(40)] + [
         "é password = 'abcDEF123456=' x", "API_KEY:short", "tOkEn:\"aaaaaaaaaaaa\" AKIAABCDEFGHIJKLMN1 AKIASHORT", "0123456789abcdef 0123456789abcde", f"see {token} now",
         "ſecret=abcdefghijklmnop", "get_user_account_by_identifier getUserAccountByIdentifierName --------------------------"]
     out = {r.doc_id: r for r in secrets.scan(clashing(corpus(spark, texts), "n_hex", "span_list")).collect()}
