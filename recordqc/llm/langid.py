@@ -5,8 +5,8 @@ each piece; a word's probability is the sum over all its segmentations into
 pieces, computed by a forward pass. The text's score is the product over words.
 Probabilities are fitted by expectation maximisation over the same lattices.
 
-Fitting uses a bounded sample: of each language at most ``sample`` documents
-(lowest hash of id and text), whole, and their ``types`` most frequent words of
+Fitting uses a bounded sample: of each language at most ``sample`` different texts
+(lowest hash), whole, and their ``types`` most frequent words of
 at most ``MAX_FIT`` characters. Prediction reads every text whole and nothing
 but the text. Words are runs without ASCII other than letters, in lower case.
 
@@ -151,8 +151,11 @@ def fit(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 4, p
 
 def train(rows: DataFrame, pieces: Pieces, sample: int, types: int):
     """(languages, log prior, p) from ``text, lang`` rows with a language."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text", "lang"), "text")
-    chosen = rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= sample).select("lang", "text")
+    hashed = rows.select("lang", "text", F.xxhash64("text", "lang").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h")  # hashes alone are ranked; a row limit up to 1,000 holds before the shuffle
+    cut = hashed.select("lang", "h").distinct().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= sample) \
+        .groupBy("lang").agg(F.max("h").alias("__cut"))
+    chosen = hashed.join(cut, "lang").where("h <= __cut").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def made(batches):
         import pyarrow as pa
@@ -172,7 +175,7 @@ def train(rows: DataFrame, pieces: Pieces, sample: int, types: int):
     return languages, fit(pieces, words, counts) if languages else None
 
 
-def predict(docs: DataFrame, train_on: DataFrame, vocabulary_path: str = "/opt/tokenizers/piece_bpe_32k.model", sample: int = 1500,
+def predict(docs: DataFrame, train_on: DataFrame, vocabulary_path: str = "/opt/tokenizers/piece_bpe_32k.model", sample: int = 1000,
             types: int = 30_000, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (posterior of the predicted language, languages equally likely before).
 

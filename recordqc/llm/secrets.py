@@ -56,18 +56,19 @@ def _pairs(text: str) -> np.ndarray:
     return codes[:-1].astype(np.int64) * SIZE + codes[1:]
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """Counts of symbol pairs [2, SIZE, SIZE] over all texts: ordinary, random."""
+def train(docs: DataFrame, run: re.Pattern) -> np.ndarray:
+    """Counts of symbol pairs [2, SIZE, SIZE] over all texts: ordinary, random. Candidates (``run``) that no rule labels are in neither."""
     def made(batches):
         import pyarrow as pa
         counts = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
             texts = texts_of(batch)
             counts[0] += np.bincount(_pairs("\n".join(texts)), minlength=SIZE * SIZE)
-            inside = []
+            inside, unlabelled = [], []
             for text in texts:
-                end = 0
-                for start, stop in sorted(s for *_, s in base_spans(text)):
+                end, base = 0, base_spans(text)
+                unlabelled += [m.group() for m in run.finditer(text) if not any(b[0] < m.end() and b[2] > m.start() for b in base)]
+                for start, stop in sorted(s for *_, s in base):
                     if start >= end:
                         inside.append(text[start:stop])
                     elif stop > end:
@@ -75,6 +76,8 @@ def train(docs: DataFrame) -> np.ndarray:
                     end = max(end, stop)
             for s in inside:
                 counts[1] += np.bincount(_pairs(s), minlength=SIZE * SIZE)
+            for s in unlabelled:
+                counts[0] -= np.bincount(_pairs(s), minlength=SIZE * SIZE)
         counts[0] -= counts[1]
         model, pair = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(model), pa.array(pair), pa.array(counts[model, pair])], names=["model", "pair", "n"])
@@ -108,8 +111,8 @@ def ratios(counts: np.ndarray, prior: float = 200.0) -> np.ndarray:
 
 def scan(docs: DataFrame, least: int = 20, per_char: float = 1.5, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_assign, n_access, n_hex, n_markov, base_list, span_list`` (kind:start:end strings, end exclusive)."""
-    table = ratios(train(docs))
     run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % least)
+    table = ratios(train(docs, run))
     fields = [("n_assign", LongType()), ("n_access", LongType()), ("n_hex", LongType()), ("n_markov", LongType()),
               ("base_list", ArrayType(StringType())), ("span_list", ArrayType(StringType()))]
 
