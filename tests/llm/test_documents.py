@@ -237,7 +237,7 @@ def test_secret_rules_and_models(spark):
         "ſecret=abcdefghijklmnop", "get_user_account_by_identifier getUserAccountByIdentifierName --------------------------"]
     out = {r.doc_id: r for r in secrets.scan(clashing(corpus(spark, texts), "n_hex", "span_list")).collect()}
     assert out[40].base_list == ["assign:2:27"] and out[41].base_list == [] and out[42].base_list == ["assign:0:19", "access:21:40"]
-    assert out[43].base_list == ["hex:0:16"] and out[44].span_list == ["markov:4:44"] and out[45].span_list == [] and out[46].n_markov == 0
+    assert out[43].base_list == ["hex:0:16"] and out[44].span_list == ["markov:4:44"] and out[45].base_list == [] and out[46].n_markov == 0
     assert all(out[i].span_list == [] for i in range(40))
 
 
