@@ -234,7 +234,7 @@ def test_secret_rules_and_models(spark):
     cases = [str.lower, str.title, str.upper, lambda t: t.replace(" ", " 1985 ")]  # ordinary text has all of them
     texts = [cases[i % 4](prose(rng, 400)) for i in range(40)] + [
         "é password = 'abcDEF123456=' x", "API_KEY:short", "tOkEn:\"aaaaaaaaaaaa\" AKIAABCDEFGHIJKLMN1 AKIASHORT", "0123456789abcdef 0123456789abcde", f"see {token} now",
-        "ſecret=abcdefghijklmnop", "get_user_account_by_identifier getUserAccountByIdentifierName --------------------------"]
+        "ſecret=abcdefghijklmnop", "kaba_lone_miso_renti_tura_same kabaLoneMisoRentiTuraSameVelku --------------------------"]
     out = {r.doc_id: r for r in secrets.scan(clashing(corpus(spark, texts), "n_hex", "span_list")).collect()}
     assert out[40].base_list == ["assign:2:27"] and out[41].base_list == [] and out[42].base_list == ["assign:0:19", "access:21:40"]
     assert out[43].base_list == ["hex:0:16"] and out[44].span_list == ["markov:4:44"] and out[45].base_list == [] and out[46].n_markov == 0
