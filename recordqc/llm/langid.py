@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 from pyspark.sql.window import Window
 
-from recordqc.llm.common import map_batches, texts_of
+from recordqc.llm.common import map_batches, stored, texts_of
 
 #: Bytes of ASCII characters other than letters become spaces; text is in lower case before.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -155,6 +155,7 @@ def train(rows: DataFrame, pieces: Pieces, sample: int, types: int):
     order = Window.partitionBy("lang").orderBy("h")  # hashes alone are ranked; a row limit up to 1,000 holds before the shuffle
     cut = hashed.select("lang", "h").distinct().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= sample) \
         .groupBy("lang").agg(F.max("h").alias("__cut"))
+    cut = stored(cut, "language-cut")  # a row a language: known to be small before texts meet it
     chosen = hashed.join(cut, "lang").where("h <= __cut").dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def made(batches):
