@@ -362,8 +362,8 @@ def folder_counts(files: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("files")).withColumn("depth", F.size(F.split("folder", "/")) - 1))
 
 
-def hygiene_scan(files: DataFrame, folders: DataFrame, now_ms: int, per_name: int = 20, report_rows: int | None = 1200) -> DataFrame:
-    """Folder and file findings in report order; the report keeps its first rows."""
+def hygiene_scan(files: DataFrame, folders: DataFrame, now_ms: int, per_name: int | None = None, report_rows: int | None = None) -> DataFrame:
+    """Folder and file findings; ``per_name`` and ``report_rows`` cut repeated names and the ordered report."""
     stats = folder_stats(files, folders)
     year = 365 * 86400000
     empty = empty_folders(stats)
@@ -377,7 +377,8 @@ def hygiene_scan(files: DataFrame, folders: DataFrame, now_ms: int, per_name: in
            row(stats.where(named & (C("usable_files") > 0)), 4, "Naming attention", "review", "folder")]
     tree = stats.where("depth > 1").withColumn("k", F.lower("name"))
     repeated = tree.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rep = top_k(join_back(tree, repeated, ["k"]).where("n > 1"), ["k"], ["folder"], per_name)
+    rep = join_back(tree, repeated, ["k"]).where("n > 1")
+    rep = rep if per_name is None else top_k(rep, ["k"], ["folder"], per_name)
     out.append(row(rep, 5, "Repeated folder name", "info", "folder"))
     name = X.file_name(C("path"))
     f = files.withColumn("sys", X.is_system(C("path"))).withColumn("nm", name).withColumn("ext", F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)))

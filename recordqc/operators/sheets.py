@@ -287,8 +287,8 @@ def _correction_table() -> Column:
     return F.create_map(*[F.lit(x) for kv in X.CORRECTIONS.items() for x in kv])
 
 
-def spell_check(pages: DataFrame, custom: list[str], cap: int = 200) -> DataFrame:
-    """Known misspellings with their place and context; at most ``cap`` per set, the feature's own limit."""
+def spell_check(pages: DataFrame, custom: list[str], cap: int | None = None) -> DataFrame:
+    """Known misspellings with their place and context; all of them, or the first ``cap`` per set."""
     fixes = {k: v for k, v in X.CORRECTIONS.items() if k not in {c.lower() for c in custom}}
     table = F.create_map(*[F.lit(x) for kv in fixes.items() for x in kv])
     words = pages.select("set_id", "page_number", "sheet_number", "text",
@@ -304,7 +304,8 @@ def spell_check(pages: DataFrame, custom: list[str], cap: int = 200) -> DataFram
     out = hit.select("set_id", "page_number", "sheet_number", C("hit.word").alias("word"), F.try_element_at(table, F.lower("hit.word")).alias("suggestion"), "start", context.alias("context"))
     out = out.where(~C("context").rlike(X.any_case(X.TITLE_LABEL)))
     once = first_per(out.withColumn("lw", F.lower("word")).withColumn("lc", F.lower("context")), ["set_id", "page_number", "lw", "lc"], ["start"])
-    return top_k(once.drop("lw", "lc"), ["set_id"], ["page_number", "start"], cap).drop("rn")
+    once = once.drop("lw", "lc")
+    return once if cap is None else top_k(once, ["set_id"], ["page_number", "start"], cap).drop("rn")
 
 
 def metadata_dictionary(pages: DataFrame, extra: list[str]) -> DataFrame:

@@ -366,8 +366,7 @@ HYG = rf"""SELECT 1 AS kind_rank, 'Empty folder' AS kind, 'review' AS status, fo
   UNION ALL SELECT 2, 'System-only folder', 'review', folder FROM ({STATS}) WHERE files > 0 AND usable_files = 0
   UNION ALL SELECT 3, 'Inactive folder', 'attention', folder FROM ({STATS}) WHERE last_modified > 0 AND {NOW} - last_modified > CAST(365 AS BIGINT) * 86400000 AND usable_files > 0
   UNION ALL SELECT 4, 'Naming attention', 'review', folder FROM ({STATS}) WHERE regexp_matches(name, '(?i)\b(copy|old|backup|archive|final\s*final|temp|test)\b') AND usable_files > 0
-  UNION ALL SELECT 5, 'Repeated folder name', 'info', folder FROM (SELECT folder, count(*) OVER (PARTITION BY lower(name)) AS n,
-     row_number() OVER (PARTITION BY lower(name) ORDER BY folder) AS rn FROM ({STATS}) WHERE depth > 1) WHERE n > 1 AND rn <= 20
+  UNION ALL SELECT 5, 'Repeated folder name', 'info', folder FROM (SELECT folder, count(*) OVER (PARTITION BY lower(name)) AS n FROM ({STATS}) WHERE depth > 1) WHERE n > 1
   UNION ALL SELECT 6, 'System file', 'review', path FROM {FX} WHERE sys
   UNION ALL SELECT 7, 'Backup/temp file', 'review', path FROM {FX} WHERE NOT sys AND (starts_with(nm, '~$') OR regexp_matches(lower(nm), '\.(bak|tmp|temp|old|skb|dwl|dwl2|sv\$)$') OR regexp_matches(lower(nm), '\.\d{{4}}\.rvt$'))
   UNION ALL SELECT 8, 'Large file', 'attention', path FROM {FX} WHERE size >= 262144000
@@ -376,12 +375,12 @@ HYG = rf"""SELECT 1 AS kind_rank, 'Empty folder' AS kind, 'review' AS status, fo
 
 @query("f27_hygiene_findings", HYG)
 def _(t):
-    return K.hygiene_scan(t.files_all, t.folders_extra, NOW, report_rows=None)
+    return K.hygiene_scan(t.files_all, t.folders_extra, NOW)
 
 
-@query("f27_hygiene_report", f"SELECT * FROM ({HYG}) ORDER BY kind_rank, item LIMIT 1200")
+@query("f27_hygiene_report", f"SELECT * FROM ({HYG}) ORDER BY kind_rank, item")
 def _(t):
-    return K.hygiene_scan(t.files_all, t.folders_extra, NOW)
+    return K.hygiene_scan(t.files_all, t.folders_extra, NOW).orderBy("kind_rank", "item")
 
 
 WANTED = """SELECT 'plain' AS desc_id, '2024.01.15' AS folder_name, array_to_string(string_split(path, '/')[4:], '/') AS rel_path, size FROM @files WHERE starts_with(path, 'Main/P3/2024.01.15/')

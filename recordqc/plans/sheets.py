@@ -272,7 +272,7 @@ FIX = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in X.CORRECTIONS.items()
   h AS (SELECT *, ws[i] AS word, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) AS INT) AS start, good AS suggestion FROM w JOIN {FIX} ON lower(ws[i]) = bad),
   c AS (SELECT *, trim(regexp_replace(substr(text, greatest(start - 70, 0) + 1, start + length(word) + 70 - greatest(start - 70, 0)), '\\s+', ' ', 'g')) AS context FROM h),
   o AS (SELECT *, row_number() OVER (PARTITION BY set_id, page_number, lower(word), lower(context) ORDER BY start) AS d FROM c WHERE NOT {m('context', X.TITLE_LABEL)})
-  SELECT set_id, page_number, sheet_number, word, suggestion, start, context FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY page_number, start) AS k FROM o WHERE d = 1) WHERE k <= 200""")
+  SELECT set_id, page_number, sheet_number, word, suggestion, start, context FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY page_number, start) AS k FROM o WHERE d = 1)""")
 def _(t):
     return S.spell_check(t.sheet_pages, ["waterproofng"])
 
