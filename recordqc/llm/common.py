@@ -68,10 +68,26 @@ def key_of(*cols: Column) -> Column:
     return F.concat_ws(",", *parts)
 
 
-def map_batches(df: DataFrame, made, fields, keep: list[str]) -> DataFrame:
+def slices(batch, most: int):
+    """Parts of a batch with at most ``most`` bytes of ``text`` each; a longer text is a part of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def map_batches(df: DataFrame, made, fields, keep: list[str], most: int | None = None) -> DataFrame:
     """``keep`` columns of ``df`` beside what ``made(batch)`` returns, a list of values for each of ``fields``.
 
     ``fields`` are (name, Spark type) pairs. Only the columns of ``df`` travel to Python, only ``keep`` travel back.
+    With ``most``, ``made`` is given parts of a batch with so many bytes of ``text`` at most.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
@@ -81,7 +97,7 @@ def map_batches(df: DataFrame, made, fields, keep: list[str]) -> DataFrame:
     kinds = [to_arrow_type(t) for _, t in fields]
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in (slices(whole, most) if most else [whole])):
             if b.num_rows:
                 columns = [b.column(b.schema.get_field_index(c)) for c in keep]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made(b), kinds)]

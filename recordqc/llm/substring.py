@@ -9,7 +9,7 @@ meets exactly the document parts that can match it:
    windows with one anchor can only match runs with the same one.
 2. Anchors that one document alone holds are dropped. Tasks settle what they see themselves and send an anchor once,
    so a passage that a third of all documents share sends a row for each batch, not for each document.
-3. Of equal runs in a batch the smallest document's is kept and the others are settled. Runs of shared anchors are
+3. Of equal runs in a slice of a batch the smallest document's is kept and the others are settled. Runs of shared anchors are
    dealt by anchor: a partition is a reference shard with its queries. Equal runs count once,
    with the smallest id; windows whose hash occurs once go; over the rest one automaton is built for at most
    ``SHARD`` words, every state with the smallest id of its occurrences. Runs stream through it, and where the match is
@@ -22,7 +22,7 @@ each is cut by its own text. Texts shorter than a window stay whole. An empty ta
 
 from __future__ import annotations
 
-import hashlib
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
 from recordqc.llm.automaton import SuffixAutomaton
-from recordqc.llm.common import map_batches, stored
+from recordqc.llm.common import map_batches, slices, stored
 from recordqc.llm.shingles import mixed, offsets, sequences, word_hashes
 
 WINDOW, ANCHOR = 13, 6
 REACH = WINDOW - ANCHOR + 1  # anchors a window can have; 8, so that three doublings find the smallest
-SHARD = 200_000
+SHARD = 60_000
+#: Bytes of text whose words a task holds at once.
+SLICE = 8 << 20
 LAST = 2 ** 63 - 1
 #: Start that stands for all windows of a text.
 WHOLE = -1
@@ -96,14 +98,16 @@ def _distinct(anchor, doc):
 ANCHORS = "anchor long, doc long, settled boolean"
 
 
-def _anchors(batches):
+def _anchors(most, batches):
     """Anchors of each document, those that two documents of a batch share as settled."""
     for b in batches:
-        runs = _Runs(_words(b))
-        if not len(runs.doc):
+        found = []
+        for part in slices(b, most):
+            runs = _Runs(_words(part))
+            found.append((runs.anchor, _column(part, "doc").to_numpy()[runs.doc]))
+        if not any(len(ids) for _, ids in found):
             continue
-        ids = np.array(_column(b, "doc").to_pylist(), np.int64)[runs.doc]
-        anchor, doc, shared, first = _distinct(runs.anchor, ids)
+        anchor, doc, shared, first = _distinct(*map(np.concatenate, zip(*found)))
         sent = first | ~shared
         yield _batch(ANCHORS, np.concatenate((anchor[sent], anchor[shared])).view(np.int64), np.concatenate((doc[sent], doc[shared])),
                      np.repeat([False, True], [sent.sum(), shared.sum()]))
@@ -126,13 +130,13 @@ def _shared(batches):
 RUNS = "anchor long, run binary, doc long, own long, start int, mask int"
 
 
-def _runs(batches):
+def _runs(most, batches):
     """Words of the runs whose anchor is in the document's list ``anchors``.
 
-    Of equal runs in a batch only the smallest document's goes on; the others lose all of its windows at once (``mask``)
+    Of equal runs in a slice only the smallest document's goes on; the others lose all of its windows at once (``mask``)
     and are dealt out evenly without words.
     """
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, most)):
         words = _words(b)
         for i, (own, copies) in enumerate(zip(_column(b, "own").to_pylist(), _column(b, "copies").to_pylist())):
             if own in copies:
@@ -224,7 +228,7 @@ class _Shard:
                     yield doc, own, start + lo, mask
 
 
-def _matched(batches):
+def _matched(most, batches):
     """Removed windows from runs sorted by anchor, run and document."""
     shard, out = _Shard(), []
     anchor, group, run = None, [], None  # group: (run, rows) of the current anchor
@@ -245,7 +249,7 @@ def _matched(batches):
                 continue
             if a != anchor:
                 close()
-                if shard.size >= SHARD:
+                if shard.size >= most:
                     out.extend(shard.removed())
                     shard = _Shard()
                 anchor, group, run = a, [], None
@@ -262,10 +266,10 @@ def _matched(batches):
         yield _batch(REMOVED, *zip(*out))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, shard_words: int = SHARD, slice_bytes: int = SLICE) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the words that stay, joined by one space) of each row of ``docs`` (doc_id, text)."""
     named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("own"))
-    sent = named.select("doc", "text").mapInArrow(_anchors, ANCHORS)
+    sent = named.select("doc", "text").mapInArrow(partial(_anchors, slice_bytes), ANCHORS)
     dealt = sent.repartition(F.when(F.col("settled"), F.xxhash64("doc")).otherwise(F.col("anchor")))
     equal = named.select("doc", "own", F.md5(F.col("text").cast("binary")).alias("digest"))
     firsts = equal.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
@@ -275,8 +279,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         .union(copies.select("doc", nothing("long"), "own")) \
         .groupBy("doc").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("own").alias("copies"))
     # both joins below read the same exchange of the texts, so they ask for the same columns
-    runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc_id", "doc", "own", "text", "anchors", "copies").mapInArrow(_runs, RUNS)
-    removed = runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc").mapInArrow(_matched, REMOVED)
+    runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc_id", "doc", "own", "text", "anchors", "copies").mapInArrow(partial(_runs, slice_bytes), RUNS)
+    removed = runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc").mapInArrow(partial(_matched, shard_words), REMOVED)
     whole = copies.select("doc", "own", F.lit(WHOLE).alias("start"), F.lit(0).alias("mask"))
     cuts = removed.union(whole).groupBy("doc").agg(F.collect_list(F.struct("own", "start", "mask")).alias("cuts"))
 
@@ -300,4 +304,4 @@ def dedup(docs: DataFrame) -> DataFrame:
         return [counts, gone, kept]
 
     final = named.join(cuts.hint("shuffle_hash"), "doc", "left")
-    return map_batches(final.select("doc_id", "text", "own", "cuts"), made, [("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())], ["doc_id"])
+    return map_batches(final.select("doc_id", "text", "own", "cuts"), made, [("n_words", LongType()), ("n_removed", LongType()), ("kept", StringType())], ["doc_id"], slice_bytes)

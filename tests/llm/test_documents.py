@@ -207,16 +207,15 @@ def brute_kept(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [200_000, 40])
-def test_substring_equals_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("limits", [{}, {"shard_words": 40, "slice_bytes": 500}])
+def test_substring_equals_brute_force(spark, limits):
     rng = random.Random(7)
     shared = [prose(rng, n) for n in (12, 13, 14, 20, 50, 200)]
     texts = []
     for i in range(150):
         texts.append(" ".join(rng.choice([prose(rng, rng.randint(0, 30)), rng.choice(shared), prose(rng, 8, ["ka", "lo"])]) for _ in range(rng.randint(0, 6))))
     texts += [texts[3], texts[9], shared[4], " ".join(shared[3].split()), prose(rng, 300, ["ka"])]
-    monkeypatch.setattr(substring, "SHARD", shard)
-    got = substring.dedup(corpus(spark, texts).repartition(5)).collect()
+    got = substring.dedup(corpus(spark, texts).repartition(5), **limits).collect()
     assert sorted(map(tuple, got)) == brute_kept(list(enumerate(texts)))
 
 
