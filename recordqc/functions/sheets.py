@@ -22,41 +22,48 @@ CALLOUT = r"\b(?:DETAIL|SECTION|ELEVATION)?\s*([A-Z0-9.-]{1,6})\s*/\s*([A-Z]{1,4
 WORD = r"[A-Za-z][A-Za-z'-]{2,}"
 TITLE_LABEL = (r"\b(?:ARCHITECT|CONSULTANT|ENGINEER|CLIENT|OWNER|CONTRACTOR|PROJECT|MANUFACTURER|COMPANY|ADDRESS|PHONE|EMAIL|WEBSITE|PERMIT|TDLR|"
                r"REGISTRATION|PROJECT\s+NO|JOB\s+NO|ISSUED\s+BY|DRAWN\s+BY|CHECKED\s+BY|CONTACT|CITY|LOCATION)\b")
+# The named page patterns in their fixed order; firm names are added by ``keywords``.
 KEYWORDS = [
     ("sheet_index", r"\b(?:SHEET|DRAWING)\s+INDEX\b|\bINDEX\s+PH\d*\b"),
     ("project_name", r"\bPROJECT\s+NAME\b|\bPROJECT\b"),
+    ("project_address", r"\b(?:ADDRESS|LOCATION)\b|\b\d{2,6}\s+[A-Z0-9 .'-]+(?:ST|STREET|AVE|AVENUE|BLVD|ROAD|RD|DR|DRIVE|EXPRESSWAY|HIGHWAY|HWY)\b"),
     ("owner_client", r"\b(?:OWNER|CLIENT)\b"),
+    ("issue_description", r"\b(?:ISSUED?\s+FOR|ISSUE\s+DESCRIPTION|PERMIT|BID|CONSTRUCTION|ISSUE)\b"),
     ("vicinity_map", r"\b(?:VICINITY|LOCATION)\s+MAP\b|\bSITE\s+LOCATION\b"),
+    ("code_summary", r"\b(?:CODE\s+SUMMARY|CODE\s+ANALYSIS|BUILDING\s+CODE)\b"),
+    ("occupancy_load", r"\b(?:OCCUPANCY|OCCUPANT\s+LOAD|LOAD\s+DATA)\b"),
+    ("project_number", r"\b(?:PROJECT\s+NO\.?|PROJECT\s+NUMBER|JOB\s+NO\.?)\b|\b20\d{2}-\d{3,5}\b"),
     ("legend", r"\bLEGEND\b"),
+    ("north_arrow", r"\bNORTH\b|\bN\.?\s*ARROW\b"),
     ("general_notes", r"\bGENERAL\s+NOTES?\b"),
+    ("construction_notes", r"\bCONSTRUCTION\s+NOTES?\b"),
     ("keynotes", r"\bKEYNOTES?\b"),
     ("revision", r"\bREV(?:ISION)?\b|REVISION\s+CLOUD"),
     ("revision_block", r"\b(?:REVISION\s+BLOCK|REVISION\s+HISTORY|REVISIONS?)\b"),
+    ("issue_date", r"\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})\b"),
     ("scale", r"\bSCALE\b"),
+    ("graphic_scale", r"\bGRAPHIC\s+SCALE\b"),
     ("professional_seal", r"\b(?:P\.?E\.?|AIA|REGISTERED|LICENSE|TBAE|TABS|SEAL|SIGNATURE)\b"),
     ("signature", r"\b(?:SIGNATURE|SIGNED|DIGITAL\s+SIGNATURE|DIGITALLY\s+SIGNED)\b"),
+    ("registration_number", r"\b(?:REGISTRATION|LICENSE|NO\.|#)\s*[A-Z-]*\d{3,}\b|\bF-\d{3,}\b"),
+    ("firm_information", r"\b(?:ARCHITECT|ENGINEERING|ARCHITECTURE|LLC|INC\.?|FIRM)\b"),
+    ("firm_logo_name", r"\b(?:ARCHITECT|ARCHITECTURE|ENGINEERING)\b"),
+    ("drawn_checked", r"\b(?:DRAWN|CHECKED|CHK|DRN|DRAWN\s+BY|CHECKED\s+BY)\b"),
+    ("copyright", r"\b(?:COPYRIGHT|DO\s+NOT\s+REPRODUCE|ALL\s+RIGHTS\s+RESERVED)\b"),
+    ("seal_placeholder", r"\b(?:SEAL|PROFESSIONAL\s+SEAL|STAMP)\b"),
     ("consultant_team", r"\b(?:CIVIL|STRUCTUR(?:E|AL)|MEP|MECHANICAL|ELECTRICAL|PLUMBING|LANDSCAPE|DESIGN\s+CONSULTANT\s+TEAM)\b"),
     ("placeholder", r"\b(?:PLACEHOLDER|TBD|TO\s+BE\s+DETERMINED|DUMMY|NOT\s+FOR\s+ISSUE)\b"),
     ("blank_marker", r"\b(?:INTENTIONALLY\s+BLANK|THIS\s+PAGE\s+INTENTIONALLY\s+LEFT\s+BLANK)\b"),
-    ("issue_description", r"\b(?:ISSUED?\s+FOR|ISSUE\s+DESCRIPTION|PERMIT|BID|CONSTRUCTION|ISSUE)\b"),
-    ("code_summary", r"\b(?:CODE\s+SUMMARY|CODE\s+ANALYSIS|BUILDING\s+CODE)\b"),
-    ("occupancy_load", r"\b(?:OCCUPANCY|OCCUPANT\s+LOAD|LOAD\s+DATA)\b"),
-    ("project_number", r"\b(?:PROJECT\s+NO\.?|PROJECT\s+NUMBER|JOB\s+NO\.?)\b|\b20\d{2}-\d{3,5}\b"),
-    ("north_arrow", r"\bNORTH\b|\bN\.?\s*ARROW\b"),
-    ("construction_notes", r"\bCONSTRUCTION\s+NOTES?\b"),
-    ("graphic_scale", r"\bGRAPHIC\s+SCALE\b"),
-    ("copyright", r"\b(?:COPYRIGHT|DO\s+NOT\s+REPRODUCE|ALL\s+RIGHTS\s+RESERVED)\b"),
-    ("seal_placeholder", r"\b(?:SEAL|PROFESSIONAL\s+SEAL|STAMP)\b"),
-    ("firm_information", r"\b(?:ARCHITECT|ENGINEERING|ARCHITECTURE|LLC|INC\.?|FIRM)\b"),
     ("door_schedule", r"\bDOOR\s+SCHEDULE\b"),
     ("room_finish_schedule", r"\bROOM\s+FINISH\s+SCHEDULE\b"),
     ("code_analysis", r"\bCODE\s+ANALYSIS\b"),
     ("life_safety", r"\bLIFE\s+SAFETY\b"),
     ("accessibility", r"\bACCESSIBILITY\b|\bACCESSIBLE\b"),
-    ("drawn_checked", r"\b(?:DRAWN|CHECKED|CHK|DRN|DRAWN\s+BY|CHECKED\s+BY)\b"),
 ]
+# Disciplines by sheet prefix.
 DISCIPLINES = {"G": "General", "A": "Architectural", "AD": "Architectural", "I": "Interiors", "LS": "Life Safety", "C": "Civil", "S": "Structural",
                "M": "Mechanical", "P": "Plumbing", "E": "Electrical", "FP": "Fire Protection"}
+# Known misspellings.
 CORRECTIONS = {
     "accomodate": "accommodate", "accomodates": "accommodates", "accomodated": "accommodated", "accomodating": "accommodating",
     "seperation": "separation", "seperate": "separate", "seperated": "separated", "waterproofng": "waterproofing", "firestoping": "firestopping",
@@ -68,6 +75,12 @@ CORRECTIONS = {
     "penatrations": "penetrations"}
 
 
+def keywords(firms: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """The page patterns, with the caller's firm names (patterns) beside the general words of ``firm_logo_name``."""
+    named = "".join("|" + f for f in firms)
+    return [(k, p.replace("|ENGINEERING)", f"|ENGINEERING{named})") if k == "firm_logo_name" else p) for k, p in KEYWORDS]
+
+
 def any_case(pattern: str) -> str:
     return "(?i)" + pattern
 

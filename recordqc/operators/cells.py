@@ -80,15 +80,17 @@ def suggest_mapping(headers: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "field", "header", "pos")
 
 
-def detect_header(sheet_rows: DataFrame, first_rows: int = 30) -> DataFrame:
+def detect_header(sheet_rows: DataFrame, first_rows: int | None = None) -> DataFrame:
     """Best header block (start row, height 1 to 3) of every sheet by mapped fields.
 
-    ``sheet_rows(workbook, sheet, row, cells)`` with rows counted from 0.
+    ``sheet_rows(workbook, sheet, row, cells)`` with rows counted from 0. All rows are searched, or the first ``first_rows``.
     """
     key = ["workbook", "sheet"]
-    top = sheet_rows.where(C("row") < first_rows).select(*key, "row", F.posexplode("cells").alias("pos", "cell"))
+    if first_rows is not None:
+        sheet_rows = sheet_rows.where(C("row") < first_rows)
+    top = sheet_rows.select(*key, "row", F.posexplode("cells").alias("pos", "cell"))
     top = top.withColumn("cell", X.cleaned(C("cell"))).where("cell <> ''")
-    last = sheet_rows.where(C("row") < first_rows).groupBy(*key).agg(F.max("row").alias("last_row"))
+    last = sheet_rows.groupBy(*key).agg(F.max("row").alias("last_row"))
     blocks = top.join(last, key).withColumn("height", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))) \
                 .withColumn("start", F.explode(F.sequence(C("row") - C("height") + 1, C("row")))).where((C("start") >= 0) & (C("start") + C("height") - 1 <= C("last_row")))
     cand = [*key, "start", "height"]

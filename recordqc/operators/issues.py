@@ -35,13 +35,13 @@ def detect_issues(facts: DataFrame) -> DataFrame:
 
 
 def validate(facts: DataFrame) -> DataFrame:
-    """saved / warnings / blocking per project; a repeated number is a warning."""
+    """saved / warnings / blocking per project; a number that an earlier project has is blocking."""
     sev = detect_issues(facts).groupBy("project_id").agg(F.max(C("severity") == "Blocking").alias("b"), F.max(C("severity") == "Warning").alias("w"))
-    dup = facts.groupBy(F.lower(F.trim("project_number")).alias("k")).agg(F.count(F.lit(1)).alias("same_number"))
+    dup = facts.groupBy(F.lower(F.trim("project_number")).alias("k")).agg(F.count(F.lit(1)).alias("same_number"), F.min("project_id").alias("first_id"))
     f = facts.withColumn("k", F.lower(F.trim("project_number")))
     j = join_back(f, dup, ["k"]).join(sev, "project_id", "left").fillna(False, ["b", "w"])
     missing = ~X.meaningful(C("project_number")) | ~X.meaningful(C("project_name"))
-    return j.select("project_id", "same_number", F.when(missing | C("b"), "blocking").when(C("w") | (C("same_number") > 1), "warnings").otherwise("saved").alias("outcome"))
+    return j.select("project_id", "same_number", F.when(missing | C("b") | (C("project_id") > C("first_id")), "blocking").when(C("w"), "warnings").otherwise("saved").alias("outcome"))
 
 
 ISSUE_KEY = ["project_id", "discipline", "category", "message"]

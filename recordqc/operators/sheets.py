@@ -14,11 +14,16 @@ from recordqc.session import written
 C = F.col
 
 
+def presence(found: Column, readable: Column) -> Column:
+    """Present where found; what is not found is missing only where there is text to find it in."""
+    return F.when(found, "Present").when(readable, "Missing").otherwise("Not Detected")
+
+
 def enrich_pages(pages: DataFrame) -> DataFrame:
     """Normalised number, discipline, set type and tri-state presence of every page."""
     return pages.withColumns({"number": X.normalize_number(C("sheet_number")), "discipline": X.discipline(C("sheet_number")),
                               "set_marker": X.set_type(C("text")),
-                              "seal_state": F.when(C("seal_present"), "Present").when(X.has(C("text"), X.SEAL), "Not Detected").otherwise("Missing")})
+                              "seal_state": presence(C("seal_present") | X.has(C("text"), X.SEAL), F.trim("text") != "")})
 
 
 def keyword_pages(pages: DataFrame) -> DataFrame:
@@ -27,13 +32,19 @@ def keyword_pages(pages: DataFrame) -> DataFrame:
     return pages.select("set_id", "page_number", F.explode(hits).alias("keyword"))
 
 
-def coverage_check(pages: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """Share of a set's pages that carry a pattern, against its threshold."""
-    total = pages.groupBy("set_id").agg(F.count(F.lit(1)).alias("pages"))
-    hit = keyword_pages(pages).where(C("keyword").isin(list(thresholds))).groupBy("set_id", "keyword").agg(F.count(F.lit(1)).alias("hits"))
-    want = total.withColumn("k", F.explode(F.array(*[F.struct(F.lit(n).alias("keyword"), F.lit(v).alias("threshold")) for n, v in thresholds.items()]))) \
-                .select("set_id", "pages", "k.*")
-    j = want.join(hit, ["set_id", "keyword"], "left").fillna(0, ["hits"])
+# Least share of a set's pages that must carry each mark.
+COVERAGE = {"title_block": 0.75, "sheet_number": 0.75, "issue_date": 0.60, "seal_signature": 0.60}
+
+
+def coverage_check(pages: DataFrame, thresholds: dict[str, float] = COVERAGE) -> DataFrame:
+    """Share of a set's pages with title block, sheet number, issue date, and seal or signature, against its threshold."""
+    kw = dict(X.KEYWORDS)
+    marks = {"title_block": C("title_block_text") != "", "sheet_number": X.normalize_number(C("sheet_number")) != "",
+             "issue_date": X.has(C("text"), kw["issue_date"]),
+             "seal_signature": C("seal_present") | X.has(C("text"), kw["professional_seal"]) | X.has(C("text"), kw["signature"])}
+    a = pages.groupBy("set_id").agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(marks[k]).alias(k) for k in thresholds])
+    rows = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(v).alias("threshold"), C(k).alias("hits")) for k, v in thresholds.items()])
+    j = a.select("set_id", "pages", F.explode(rows).alias("k")).select("set_id", "pages", "k.*")
     return j.withColumn("ratio", C("hits") / C("pages")).withColumn("ok", C("ratio") >= C("threshold"))
 
 
@@ -113,9 +124,9 @@ def scope_pages(pages: DataFrame, covers: DataFrame) -> DataFrame:
     return j.where(C("cover").isNotNull() | X.normalize_number(C("sheet_number")).startswith("A")).drop("cover")
 
 
-def keynote_entries(pages: DataFrame, window: int = 1800) -> DataFrame:
-    """Number and text of every legend entry behind a keynotes heading."""
-    tail = F.left(X.after_first(C("text"), X.KEYNOTE_LEGEND), F.lit(window))
+def keynote_entries(pages: DataFrame) -> DataFrame:
+    """Number and text of every legend entry behind a keynotes heading, up to the next stop heading."""
+    tail = X.after_first(C("text"), X.KEYNOTE_LEGEND)
     p = pages.where(X.has(C("text"), X.KEYNOTE_LEGEND)).withColumn("tail", tail)
     flat = F.trim(F.regexp_replace(X.until_first(C("tail"), X.SECTION_STOP), r"\s+", " "))
     marked = F.regexp_replace(flat, r"(^|\s)(\d{1,3})\s*[).:\-]", "\u0001$2\u0002")
@@ -153,10 +164,9 @@ def keynote_compliance(pages: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(~C("graphic_present") | (C("repeats") > 0), "Fail").otherwise("Pass")).drop("graphic_present")
 
 
-def set_types(pages: DataFrame, front: int = 5) -> DataFrame:
-    """Official or not, from the first pages of a set."""
-    f = pages.where(C("page_number") <= front)
-    return f.groupBy("set_id").agg(F.max(X.has(C("text"), X.NON_OFFICIAL)).alias("non"), F.max(X.has(C("text"), X.OFFICIAL)).alias("off")) \
+def set_types(pages: DataFrame) -> DataFrame:
+    """Official or not, from the pages of a set that are given."""
+    return pages.groupBy("set_id").agg(F.max(X.has(C("text"), X.NON_OFFICIAL)).alias("non"), F.max(X.has(C("text"), X.OFFICIAL)).alias("off")) \
         .select("set_id", F.when(C("non"), "Non-Official").when(C("off"), "Official").otherwise("Unknown").alias("set_type"))
 
 
@@ -166,12 +176,11 @@ def seal_compliance(pages: DataFrame, types: DataFrame) -> DataFrame:
     return j.select("set_id", "page_number", "sheet_number", F.when(~official, "Not Applicable").when(C("seal_present"), "Pass").otherwise("Fail").alias("status"))
 
 
-def cover_checklist(pages: DataFrame, types: DataFrame, front: int = 5) -> DataFrame:
-    """Checklist rows per set from the texts of its front pages."""
+def cover_checklist(pages: DataFrame, types: DataFrame) -> DataFrame:
+    """Checklist rows per set from the texts of the pages that are given."""
     t = C("text")
-    f = pages.where(C("page_number") <= front)
     has = lambda p: F.max(X.has(t, p))
-    a = f.groupBy("set_id").agg(
+    a = pages.groupBy("set_id").agg(
         has(r"\bPROJECT\b").alias("project_identifier"), has(r"\b(?:RENDER|RENDERING|ISOMETRIC|PERSPECTIVE|IMAGE)\b").alias("central_image"),
         has(r"\bTDLR\b|\bTABS\b\s*#?\s*\d+").alias("registration"), has(r"\bDESIGN\s+CONSULTANT\s+TEAM\b|\bCONSULTANTS?\b").alias("consultant_team"),
         has(r"\b(?:OWNER|CLIENT)\b").alias("owner_section"), has(r"\b(?:VICINITY|LOCATION)\s+MAP\b").alias("vicinity_map"),
@@ -216,8 +225,8 @@ def missing_items(report: DataFrame) -> DataFrame:
 SEVERITY = {"High": 0, "Medium": 1, "Low": 2}  # fixed order
 
 
-def document_rules(pages: DataFrame, per_document: int = 10) -> DataFrame:
-    """Document rules from page aggregates: the first findings of each set by severity."""
+def document_rules(pages: DataFrame) -> DataFrame:
+    """Document rules from page aggregates: all findings of each set."""
     t = C("text")
     kw = dict(X.KEYWORDS)
     has = lambda k: F.max(X.has(t, kw[k])).alias(k)
@@ -226,7 +235,8 @@ def document_rules(pages: DataFrame, per_document: int = 10) -> DataFrame:
     cut = t.rlike("MATCHLINE|SEE CONTINUATION|CONTINUED|CROP|VIEWPORT")
     p = pages.withColumn("text", F.upper("text")).withColumn("tb", C("title_block_text") != "")
     a = p.groupBy("set_id").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if("tb").alias("title_blocks"), has("project_name"), has("owner_client"), has("sheet_index"), has("consultant_team"), has("scale"),
+        F.count(F.lit(1)).alias("pages"), F.count_if("tb").alias("title_blocks"), has("project_name"), has("project_address"), has("owner_client"), has("sheet_index"),
+        has("consultant_team"), has("issue_date"), has("north_arrow"), has("scale"), has("graphic_scale"),
         has("revision_block"), has("professional_seal"), has("signature"),
         F.count_if((short < 80) | X.has(t, kw["blank_marker"])).alias("blank"), F.count_if(X.has(t, kw["placeholder"])).alias("placeholders"),
         F.count_if(C("tb") & (C("sheet_title") == "")).alias("untitled"), F.count_if(view & ~X.has(t, kw["scale"])).alias("unscaled"),
@@ -237,16 +247,16 @@ def document_rules(pages: DataFrame, per_document: int = 10) -> DataFrame:
     rule = lambda cond, i, sev, cat: F.when(cond, F.struct(F.lit(SEVERITY[sev]).alias("sev"), F.lit(cat).alias("category"), F.lit(i).alias("ord"), F.lit(sev).alias("severity")))
     rules = F.array(
         rule(C("title_blocks") < F.greatest(F.lit(1), F.floor(C("pages") * 0.5)), 1, "High", "Missing title block"),
-        rule(~(C("project_name") & C("owner_client")), 2, "High", "Missing or incorrect project information"),
+        rule(~(C("project_name") & C("project_address") & C("owner_client")), 2, "High", "Missing or incorrect project information"),
         rule(~C("sheet_index"), 3, "High", "Missing drawing index"), rule(~C("consultant_team"), 4, "Medium", "Missing consultant information"),
-        rule(~C("scale"), 5, "Medium", "Missing north arrow or scale"), rule(~C("revision_block"), 6, "Medium", "Missing revision block"),
+        rule(~(C("north_arrow") | C("scale") | C("graphic_scale")), 5, "Medium", "Missing north arrow or scale"), rule(~C("revision_block"), 6, "Medium", "Missing revision block"),
         rule(~(C("professional_seal") | C("signature")), 7, "High", "Missing professional seal or signature"),
         rule(C("repeated") > 0, 8, "High", "Incorrect or duplicate sheet numbers"), rule(C("blank") > 0, 9, "Medium", "Missing, blank, or extra sheets"),
         rule(C("placeholders") > 0, 10, "High", "Placeholder text not removed"), rule(share(C("untitled"), 2, 0.08), 11, "Medium", "Incorrect sheet titles"),
         rule(share(C("unscaled"), 8, 0.30), 12, "Medium", "Missing view titles or scales"), rule(share(C("unrevised"), 5, 0.35), 13, "Low", "Missing revision history"),
-        rule(share(C("cropped"), 3, 0.08), 14, "Medium", "Views cropped incorrectly or placed off sheet"))
-    found = a.select("set_id", F.slice(F.array_sort(F.filter(rules, lambda r: r.isNotNull())), 1, per_document).alias("r"))
-    return found.select("set_id", F.explode("r").alias("r")).select("set_id", "r.category", "r.severity", C("r.sev").alias("sev"), C("r.ord").cast("bigint").alias("rule_no"))
+        rule(share(C("cropped"), 3, 0.08), 14, "Medium", "Views cropped incorrectly or placed off sheet"),
+        rule(~C("issue_date"), 15, "High", "Missing or incorrect issue date"))
+    return a.select("set_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("set_id", "r.category", "r.severity", C("r.sev").alias("sev"), C("r.ord").cast("bigint").alias("rule_no"))
 
 
 def top_findings(rules: DataFrame, n: int = 10) -> DataFrame:
@@ -263,11 +273,11 @@ def callouts(pages: DataFrame) -> DataFrame:
 
 
 def presence_checks(pages: DataFrame) -> DataFrame:
-    """Document items per set, tri-state: mentioned, marked only, or absent."""
-    p = pages.groupBy("set_id").agg(F.max("seal_present").alias("mark"), F.max(X.has(C("text"), X.SEAL)).alias("seal"), F.max(X.has(C("text"), X.INDEX_HEADER)).alias("index"),
+    """Document items per set, tri-state by ``presence``."""
+    p = pages.groupBy("set_id").agg(F.max("seal_present").alias("mark"), F.max((F.trim("text") != "") | (F.trim("title_block_text") != "")).alias("readable"), F.max(X.has(C("text"), X.SEAL)).alias("seal"), F.max(X.has(C("text"), X.INDEX_HEADER)).alias("index"),
                                     F.max(X.has(C("title_block_text"), r"\bPROJECT\b")).alias("project"), F.count_if(C("sheet_title") == "").alias("untitled"))
-    tri = lambda yes, maybe: F.when(yes, "Present").when(maybe, "Not Detected").otherwise("Missing")
-    return p.select("set_id", tri(C("seal"), C("mark")).alias("seal"), tri(C("index"), F.lit(False)).alias("sheet_index"), tri(C("project"), F.lit(False)).alias("project"), "untitled")
+    tri = lambda found: presence(found, C("readable"))
+    return p.select("set_id", tri(C("seal") | C("mark")).alias("seal"), tri(C("index")).alias("sheet_index"), tri(C("project")).alias("project"), "untitled")
 
 
 def title_mismatch(pages: DataFrame, titles: DataFrame, below: float = 0.55) -> DataFrame:

@@ -103,12 +103,12 @@ def _(t):
     return B.review_groups(B.flag_files(t.files))
 
 
-STATE = "(SELECT path, seq % 3 = 0 AS selected, seq % 5 = 0 AS discarded, seq % 7 = 0 AS grouped, seq % 10 = 0 AS deleted FROM @files WHERE seq % 2 = 0)"
+STATE = "(SELECT path, seq % 3 = 0 AS selected, seq % 5 = 0 AS discarded, seq % 7 = 0 AS grouped, seq % 10 = 0 AS deleted FROM @files)"
 
 
 def _state(t):
     s = C("seq")
-    return t.files.where("seq % 2 = 0").select("path", (s % 3 == 0).alias("selected"), (s % 5 == 0).alias("discarded"), (s % 7 == 0).alias("grouped"), (s % 10 == 0).alias("deleted"))
+    return t.files.select("path", (s % 3 == 0).alias("selected"), (s % 5 == 0).alias("discarded"), (s % 7 == 0).alias("grouped"), (s % 10 == 0).alias("deleted"))
 
 
 @query("f25_cleanup_stats", f"""SELECT count(*) AS total_files, count(*) FILTER (p) AS selected_files, count(*) - count(*) FILTER (p) AS files_to_keep, CAST(sum(size) AS BIGINT) AS original_storage,

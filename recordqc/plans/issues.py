@@ -29,8 +29,8 @@ def _(t):
 
 
 @query("i2_validate", f"""{WF}, {DET} SELECT project_id, same_number, CASE WHEN project_id IN (SELECT project_id FROM det WHERE severity = 'Blocking') THEN 'blocking'
-  WHEN same_number > 1 OR project_id IN (SELECT project_id FROM det WHERE severity = 'Warning') THEN 'warnings' ELSE 'saved' END AS outcome
-  FROM (SELECT *, count(*) OVER (PARTITION BY lower(project_number)) AS same_number FROM facts)""")
+  WHEN project_id > first_id THEN 'blocking' WHEN project_id IN (SELECT project_id FROM det WHERE severity = 'Warning') THEN 'warnings' ELSE 'saved' END AS outcome
+  FROM (SELECT *, count(*) OVER w AS same_number, min(project_id) OVER w AS first_id FROM facts WINDOW w AS (PARTITION BY lower(project_number)))""")
 def _(t):
     return I.validate(written(facts(t), "facts"))
 
@@ -134,7 +134,7 @@ def _(t):
 EX = "(SELECT * FROM @projects WHERE project_id % 2 = 0)"
 INCO = """(SELECT project_id + 1 AS project_id, seq, project_number, CASE WHEN project_id % 3 = 0 THEN upper(project_name) ELSE project_name || ' rev' END AS project_name,
   CASE WHEN project_id % 5 = 0 THEN 'OTHER' ELSE building_type END AS building_type, CASE WHEN project_id % 7 = 0 THEN 'North Group' ELSE consultant END AS consultant,
-  CASE WHEN project_id % 22 = 0 THEN 1234.0 ELSE square_feet END AS square_feet, excluded FROM @projects WHERE project_id % 4 < 2)"""
+  CASE WHEN project_id % 22 = 0 THEN 1234.0 ELSE square_feet END AS square_feet, excluded FROM @projects)"""
 KEY = "'number:' || upper(trim(project_number))"
 
 
@@ -144,7 +144,7 @@ def _existing(t):
 
 def _incoming(t):
     p = C("project_id")
-    return t.projects.where("project_id % 4 < 2").select(
+    return t.projects.select(
         (p + 1).alias("project_id"), "seq", "project_number", F.when(p % 3 == 0, F.upper("project_name")).otherwise(F.concat("project_name", F.lit(" rev"))).alias("project_name"),
         F.when(p % 5 == 0, "OTHER").otherwise(C("building_type")).alias("building_type"), F.when(p % 7 == 0, "North Group").otherwise(C("consultant")).alias("consultant"),
         F.when(p % 22 == 0, 1234.0).otherwise(C("square_feet")).alias("square_feet"), "excluded")

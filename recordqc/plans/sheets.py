@@ -27,7 +27,7 @@ DISC = "CASE " + " ".join(f"WHEN {PREFIX} = '{k}' THEN '{v}'" for k, v in X.DISC
 
 
 @query("x11_enrich_pages", f"""SELECT doc_id, {NUMBER('sheet_number')} AS number, {DISC} AS discipline, CASE WHEN {m('text', X.NON_OFFICIAL)} THEN 'Non-Official' WHEN {m('text', X.OFFICIAL)} THEN 'Official' ELSE 'Unknown' END AS set_marker,
-  CASE WHEN seal_present THEN 'Present' WHEN {m('text', X.SEAL)} THEN 'Not Detected' ELSE 'Missing' END AS seal_state FROM @sheet_pages""")
+  CASE WHEN seal_present OR {m('text', X.SEAL)} THEN 'Present' WHEN trim(text) <> '' THEN 'Missing' ELSE 'Not Detected' END AS seal_state FROM @sheet_pages""")
 def _(t):
     return S.enrich_pages(t.sheet_pages).select("doc_id", "number", "discipline", "set_marker", "seal_state")
 
@@ -40,15 +40,15 @@ def _(t):
     return S.keyword_pages(t.sheet_pages)
 
 
-TH = {"sheet_index": 0.75, "project_name": 0.75, "scale": 0.60, "keynotes": 0.60}
-
-
-@query("s26_coverage_check", f"""WITH kw AS ({KW}), th AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {v})" for k, v in TH.items())}) v(keyword, threshold)),
-  n AS (SELECT set_id, count(*) AS pages FROM @sheet_pages GROUP BY 1)
-  SELECT set_id, keyword, pages, hits, hits / pages AS ratio, hits / pages >= threshold AS ok FROM (SELECT n.set_id, keyword, pages, CAST(threshold AS DOUBLE) AS threshold,
-    (SELECT count(*) FROM kw WHERE kw.set_id = n.set_id AND kw.keyword = th.keyword) AS hits FROM n, th)""")
+@query("s26_coverage_check", r"""WITH n AS (SELECT set_id, count(*) AS pages, count(*) FILTER (title_block_text <> '') AS tb, count(*) FILTER (regexp_matches(sheet_number, '[A-Za-z0-9.]')) AS sn,
+    count(*) FILTER (regexp_matches(text, '\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2})\b')) AS dt,
+    count(*) FILTER (seal_present OR regexp_matches(text, '(?i)\b(P\.?E\.?|AIA|REGISTERED|LICENSE|TBAE|TABS|SEAL|SIGNATURE|SIGNED|DIGITAL\s+SIGNATURE|DIGITALLY\s+SIGNED)\b')) AS ss
+    FROM @sheet_pages GROUP BY 1)
+  SELECT set_id, keyword, pages, hits, hits / pages AS ratio, hits / pages >= CAST(threshold AS DOUBLE) AS ok FROM (
+    SELECT set_id, pages, 'title_block' AS keyword, tb AS hits, 0.75 AS threshold FROM n UNION ALL SELECT set_id, pages, 'sheet_number', sn, 0.75 FROM n
+    UNION ALL SELECT set_id, pages, 'issue_date', dt, 0.60 FROM n UNION ALL SELECT set_id, pages, 'seal_signature', ss, 0.60 FROM n)""")
 def _(t):
-    return S.coverage_check(t.sheet_pages, TH).drop("threshold")
+    return S.coverage_check(t.sheet_pages).drop("threshold")
 
 
 IDX = f"(SELECT *, {NUMBER('sheet_number')} AS number FROM @sheet_index)"
@@ -113,7 +113,7 @@ LEG, STOP = esc(X.KEYNOTE_LEGEND), esc(X.SECTION_STOP)
 ENT = f"""SELECT set_id, page_number, string_split(e, chr(2))[1] AS note, trim(regexp_replace(string_split(e, chr(2))[2], '\\s+', ' ', 'g'), ' .;:-') AS content FROM (
   SELECT set_id, page_number, unnest(string_split(regexp_replace(trim(regexp_replace(CASE WHEN regexp_matches(tail, '(?i){STOP}') THEN regexp_extract(tail, '(?is)^(.*?){STOP}', 1) ELSE tail END, '\\s+', ' ', 'g')),
     '(^|\\s)(\\d{{1,3}})\\s*[).:\\-]', chr(1) || '\\2' || chr(2), 'g'), chr(1))[2:]) AS e FROM (
-   SELECT set_id, page_number, left(substr(text, length(regexp_extract(text, '(?is)^(.*?{LEG})', 1)) + 1), 1800) AS tail FROM @sheet_pages WHERE regexp_matches(text, '(?i){LEG}'))) WHERE content <> ''"""
+   SELECT set_id, page_number, substr(text, length(regexp_extract(text, '(?is)^(.*?{LEG})', 1)) + 1) AS tail FROM @sheet_pages WHERE regexp_matches(text, '(?i){LEG}'))) WHERE content <> ''"""
 
 
 @query("s10_keynote_entries", ENT)
@@ -151,7 +151,7 @@ def _(t):
     return S.keynote_compliance(t.sheet_pages)
 
 
-TYPES = f"""SELECT set_id, CASE WHEN bool_or({m('text', X.NON_OFFICIAL)}) THEN 'Non-Official' WHEN bool_or({m('text', X.OFFICIAL)}) THEN 'Official' ELSE 'Unknown' END AS set_type FROM @sheet_pages WHERE page_number <= 5 GROUP BY 1"""
+TYPES = f"""SELECT set_id, CASE WHEN bool_or({m('text', X.NON_OFFICIAL)}) THEN 'Non-Official' WHEN bool_or({m('text', X.OFFICIAL)}) THEN 'Official' ELSE 'Unknown' END AS set_type FROM @sheet_pages GROUP BY 1"""
 
 
 @query("x17_set_types", TYPES)
@@ -171,7 +171,7 @@ _soft = {"project_identifier": r"\bPROJECT\b", "central_image": r"\b(?:RENDER|RE
          "consultant_team": r"\bDESIGN\s+CONSULTANT\s+TEAM\b|\bCONSULTANTS?\b", "owner_section": r"\b(?:OWNER|CLIENT)\b", "vicinity_map": r"\b(?:VICINITY|LOCATION)\s+MAP\b"}
 CHK = f"""SELECT set_id, unnest([{', '.join("'" + k + "'" for k in _soft)}, 'sheet_index', 'set_type_marker']) AS item, unnest([{', '.join(f"CASE WHEN bool_or({m('text', p)}) THEN 'Pass' ELSE 'Needs Review' END" for p in _soft.values())},
    CASE WHEN bool_or({m('text', X.INDEX_HEADER)}) THEN 'Pass' ELSE 'Fail' END, CASE any_value(set_type) WHEN 'Official' THEN CASE WHEN bool_or({m('text', X.SEAL)} OR seal_present) THEN 'Pass' ELSE 'Fail' END
-   WHEN 'Non-Official' THEN CASE WHEN bool_or({m('text', X.NON_OFFICIAL)}) THEN 'Pass' ELSE 'Fail' END ELSE 'Needs Review' END]) AS status FROM @sheet_pages JOIN ({TYPES}) USING (set_id) WHERE page_number <= 5 GROUP BY set_id"""
+   WHEN 'Non-Official' THEN CASE WHEN bool_or({m('text', X.NON_OFFICIAL)}) THEN 'Pass' ELSE 'Fail' END ELSE 'Needs Review' END]) AS status FROM @sheet_pages JOIN ({TYPES}) USING (set_id) GROUP BY set_id"""
 
 
 def _check(t):
@@ -211,19 +211,19 @@ def _(t):
 _kw = dict(X.KEYWORDS)
 _h = lambda k: f"bool_or({m('up', _kw[k])}) AS {k}"
 _share = lambda c, low, s: f"{c} >= greatest({low}, floor(pages * CAST({s} AS DOUBLE)))"
-_rules = [("title_blocks < greatest(1, floor(pages * CAST(0.5 AS DOUBLE)))", 1, "High", "Missing title block"), ("NOT (project_name AND owner_client)", 2, "High", "Missing or incorrect project information"),
-          ("NOT sheet_index", 3, "High", "Missing drawing index"), ("NOT consultant_team", 4, "Medium", "Missing consultant information"), ("NOT scale", 5, "Medium", "Missing north arrow or scale"),
+_rules = [("title_blocks < greatest(1, floor(pages * CAST(0.5 AS DOUBLE)))", 1, "High", "Missing title block"), ("NOT (project_name AND project_address AND owner_client)", 2, "High", "Missing or incorrect project information"),
+          ("NOT sheet_index", 3, "High", "Missing drawing index"), ("NOT consultant_team", 4, "Medium", "Missing consultant information"), ("NOT (north_arrow OR scale OR graphic_scale)", 5, "Medium", "Missing north arrow or scale"),
           ("NOT revision_block", 6, "Medium", "Missing revision block"), ("NOT (professional_seal OR signature)", 7, "High", "Missing professional seal or signature"),
           ("coalesce(repeated, 0) > 0", 8, "High", "Incorrect or duplicate sheet numbers"), ("blank > 0", 9, "Medium", "Missing, blank, or extra sheets"), ("placeholders > 0", 10, "High", "Placeholder text not removed"),
           (_share("untitled", 2, 0.08), 11, "Medium", "Incorrect sheet titles"), (_share("unscaled", 8, 0.30), 12, "Medium", "Missing view titles or scales"), (_share("unrevised", 5, 0.35), 13, "Low", "Missing revision history"),
-          (_share("cropped", 3, 0.08), 14, "Medium", "Views cropped incorrectly or placed off sheet")]
-RUL = f"""WITH a AS (SELECT set_id, count(*) AS pages, count(*) FILTER (tb) AS title_blocks, {', '.join(_h(k) for k in ('project_name', 'owner_client', 'sheet_index', 'consultant_team', 'scale', 'revision_block', 'professional_seal', 'signature'))},
+          (_share("cropped", 3, 0.08), 14, "Medium", "Views cropped incorrectly or placed off sheet"), ("NOT issue_date", 15, "High", "Missing or incorrect issue date")]
+RUL = f"""WITH a AS (SELECT set_id, count(*) AS pages, count(*) FILTER (tb) AS title_blocks, {', '.join(_h(k) for k in ('project_name', 'project_address', 'owner_client', 'sheet_index', 'consultant_team', 'issue_date', 'north_arrow', 'scale', 'graphic_scale', 'revision_block', 'professional_seal', 'signature'))},
     count(*) FILTER (sz < 80 OR {m('up', _kw['blank_marker'])}) AS blank, count(*) FILTER ({m('up', _kw['placeholder'])}) AS placeholders, count(*) FILTER (tb AND sheet_title = '') AS untitled,
     count(*) FILTER (regexp_matches(up, 'PLAN|ELEVATION|SECTION|DETAIL') AND NOT {m('up', _kw['scale'])}) AS unscaled, count(*) FILTER (tb AND NOT {m('up', _kw['revision'])}) AS unrevised,
     count(*) FILTER (regexp_matches(up, 'MATCHLINE|SEE CONTINUATION|CONTINUED|CROP|VIEWPORT') AND sz < 250) AS cropped FROM (SELECT *, upper(text) AS up, length(trim(upper(text))) AS sz, title_block_text <> '' AS tb FROM @sheet_pages) GROUP BY 1),
   b AS (SELECT a.*, (SELECT count(*) FROM (SELECT upper(sheet_number) AS n FROM @sheet_pages p WHERE p.set_id = a.set_id GROUP BY 1 HAVING count(*) > 1)) AS repeated FROM a),
   r AS ({' UNION ALL '.join(f"SELECT set_id, '{c}' AS category, '{sv}' AS severity, {S.SEVERITY[sv]} AS sev, CAST({i} AS BIGINT) AS rule_no FROM b WHERE {cond}" for cond, i, sv, c in _rules)})
-  SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY sev, category, rule_no) AS k FROM r) WHERE k <= 10"""
+  SELECT * FROM r"""
 
 
 @query("s17_document_rules", f"SELECT * FROM ({RUL})")
@@ -251,8 +251,9 @@ def _(t):
     return S.callouts(t.sheet_pages)
 
 
-@query("s21_presence_checks", f"""SELECT set_id, CASE WHEN bool_or({m('text', X.SEAL)}) THEN 'Present' WHEN bool_or(seal_present) THEN 'Not Detected' ELSE 'Missing' END AS seal, CASE WHEN bool_or({m('text', X.INDEX_HEADER)}) THEN 'Present' ELSE 'Missing' END AS sheet_index,
-  CASE WHEN bool_or({m('title_block_text', 'PROJECT')}) THEN 'Present' ELSE 'Missing' END AS project, count(*) FILTER (sheet_title = '') AS untitled FROM @sheet_pages GROUP BY 1""")
+@query("s21_presence_checks", f"""SELECT set_id, CASE WHEN bool_or({m('text', X.SEAL)} OR seal_present) THEN 'Present' WHEN rd THEN 'Missing' ELSE 'Not Detected' END AS seal, CASE WHEN bool_or({m('text', X.INDEX_HEADER)}) THEN 'Present' WHEN rd THEN 'Missing' ELSE 'Not Detected' END AS sheet_index,
+  CASE WHEN bool_or({m('title_block_text', 'PROJECT')}) THEN 'Present' WHEN rd THEN 'Missing' ELSE 'Not Detected' END AS project, count(*) FILTER (sheet_title = '') AS untitled
+  FROM (SELECT *, bool_or(trim(text) <> '' OR trim(title_block_text) <> '') OVER (PARTITION BY set_id) AS rd FROM @sheet_pages) GROUP BY set_id, rd""")
 def _(t):
     return S.presence_checks(t.sheet_pages)
 
