@@ -48,15 +48,17 @@ ISSUE_KEY = ["project_id", "discipline", "category", "message"]
 
 
 def sync_issues(existing: DataFrame, detected: DataFrame) -> DataFrame:
-    """Existing automatic issues against the detected ones: resolve, keep, reopen or insert."""
+    """Existing automatic issues against the detected ones: resolve, keep, reopen or insert. Manual issues are kept as they are."""
     e = existing.where("auto").groupBy(*ISSUE_KEY).agg(F.min("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
     d = detected.select(*ISSUE_KEY, F.lit(True).alias("seen")).distinct()
     j = e.join(d, ISSUE_KEY, "full")
     gone = C("seen").isNull()
     action = (F.when(C("seq").isNull(), "insert").when(gone & (C("status") != "Resolved"), "resolve").when(gone, "keep")
               .when(C("status") == "Resolved", "reopen").otherwise("keep"))
-    return j.withColumn("action", action).withColumn(
+    synced = j.withColumn("action", action).withColumn(
         "new_status", F.when(C("action").isin("insert", "reopen"), "Unresolved").when(C("action") == "resolve", "Resolved").otherwise(C("status"))).drop("seen")
+    manual = existing.where(~F.coalesce("auto", F.lit(False))).select(*ISSUE_KEY, "seq", "status", F.lit("keep").alias("action"), C("status").alias("new_status"))
+    return synced.unionByName(manual)
 
 
 def _note_tokens(c: Column) -> Column:

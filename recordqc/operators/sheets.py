@@ -124,12 +124,32 @@ def scope_pages(pages: DataFrame, covers: DataFrame) -> DataFrame:
     return j.where(C("cover").isNotNull() | X.normalize_number(C("sheet_number")).startswith("A")).drop("cover")
 
 
+NOTE_NUMBER = r"(^|\s)(\d{1,3})\s*[).:\-]"
+
+
+def _legend(tail: Column) -> Column:
+    """The legend on one line: what is behind its heading, up to the next stop heading."""
+    return F.trim(F.regexp_replace(X.until_first(tail, X.SECTION_STOP), r"\s+", " "))
+
+
+def text_callouts(text: Column, tail: Column) -> Column:
+    """Whether numbers of the legend are called out in the text: two of them before the heading, or three of them thrice behind it."""
+    legend = F.regexp_extract_all(_legend(tail), F.lit(NOTE_NUMBER), F.lit(2))
+    alone = lambda c: F.filter(F.split(F.regexp_replace(c, X.any_case(X.VIEW_SCALE), " "), r"[^\w./-]+"), lambda w: w.rlike(r"^\d{1,3}$"))
+    before = F.array_intersect(legend, alone(X.until_first(text, X.KEYNOTE_LEGEND)))
+    behind = F.filter(F.array_distinct(legend), lambda n: F.size(F.filter(alone(tail), lambda w: w == n)) >= 3)
+    return (F.size(before) >= 2) | (F.size(behind) >= 3)
+
+
+def placeholder_legend(tail: Column) -> Column:
+    """Whether the first line behind the heading is a numbered placeholder and no second heading is near."""
+    return tail.rlike(r"(?i)^\s*\d{1,3}\s*[).:-]\s*(?:SAMPLE|PLACEHOLDER|TBD|N/?A|NONE)[ \t]*(?:\n|$)") & ~X.has(F.left(tail, F.lit(80)), X.KEYNOTE_LEGEND)
+
+
 def keynote_entries(pages: DataFrame) -> DataFrame:
     """Number and text of every legend entry behind a keynotes heading, up to the next stop heading."""
-    tail = X.after_first(C("text"), X.KEYNOTE_LEGEND)
-    p = pages.where(X.has(C("text"), X.KEYNOTE_LEGEND)).withColumn("tail", tail)
-    flat = F.trim(F.regexp_replace(X.until_first(C("tail"), X.SECTION_STOP), r"\s+", " "))
-    marked = F.regexp_replace(flat, r"(^|\s)(\d{1,3})\s*[).:\-]", "\u0001$2\u0002")
+    p = pages.where(X.has(C("text"), X.KEYNOTE_LEGEND)).withColumn("tail", X.after_first(C("text"), X.KEYNOTE_LEGEND))
+    marked = F.regexp_replace(_legend(C("tail")), NOTE_NUMBER, "\u0001$2\u0002")
     p = p.withColumn("entry", F.explode(F.slice(F.split(marked, "\u0001"), F.lit(2), F.greatest(F.size(F.split(marked, "\u0001")) - 1, F.lit(0)))))
     text = F.btrim(F.regexp_replace(F.substring_index("entry", "\u0002", -1), r"\s+", " "), F.lit(" .;:-"))
     return p.select("set_id", "page_number", F.substring_index("entry", "\u0002", 1).alias("note"), text.alias("content")).where("content <> ''")
@@ -157,11 +177,12 @@ def viewports(pages: DataFrame) -> DataFrame:
 
 
 def keynote_compliance(pages: DataFrame) -> DataFrame:
-    """Pass or fail of the keynote section of a page by its graphic symbols and repeated texts."""
+    """Verdict on the keynote section of a page by its symbols, text callouts and repeated texts; placeholders need none."""
     d = duplicate_keynotes(pages).groupBy("set_id", "page_number").agg(F.count(F.lit(1)).alias("repeats"))
-    p = pages.where(X.has_keynote_section(C("text"))).select("set_id", "page_number", "sheet_number", "graphic_present")
+    p = pages.where(X.has_keynote_section(C("text"))).withColumn("tail", X.after_first(C("text"), X.KEYNOTE_LEGEND)) \
+        .select("set_id", "page_number", "sheet_number", (C("graphic_present") | text_callouts(C("text"), C("tail"))).alias("shown"), placeholder_legend(C("tail")).alias("empty"))
     j = p.join(d, ["set_id", "page_number"], "left").fillna(0, ["repeats"])
-    return j.withColumn("status", F.when(~C("graphic_present") | (C("repeats") > 0), "Fail").otherwise("Pass")).drop("graphic_present")
+    return j.withColumn("status", F.when(C("empty"), "Not Applicable").when(~C("shown") | (C("repeats") > 0), "Fail").otherwise("Pass")).drop("shown", "empty")
 
 
 def set_types(pages: DataFrame) -> DataFrame:

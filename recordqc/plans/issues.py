@@ -52,7 +52,8 @@ def _old(f, det):
 @query("i3_sync_issues", f"""{WF}, {DET}, {OLD} SELECT project_id, discipline, category, message,
     CASE WHEN o.seq IS NULL THEN 'insert' WHEN d.seen IS NULL AND status <> 'Resolved' THEN 'resolve' WHEN d.seen IS NULL THEN 'keep' WHEN status = 'Resolved' THEN 'reopen' ELSE 'keep' END AS action,
     CASE action WHEN 'insert' THEN 'Unresolved' WHEN 'reopen' THEN 'Unresolved' WHEN 'resolve' THEN 'Resolved' ELSE status END AS new_status
-  FROM (SELECT * FROM old WHERE auto) o FULL JOIN (SELECT DISTINCT project_id, discipline, category, message, true AS seen FROM det) d USING (project_id, discipline, category, message)""")
+  FROM (SELECT * FROM old WHERE auto) o FULL JOIN (SELECT DISTINCT project_id, discipline, category, message, true AS seen FROM det) d USING (project_id, discipline, category, message)
+  UNION ALL SELECT project_id, discipline, category, message, 'keep', status FROM old WHERE NOT auto""")
 def _(t):
     f = written(facts(t), "facts")
     det = I.detect_issues(f)

@@ -142,8 +142,15 @@ def _(t):
     return S.viewports(t.sheet_pages)
 
 
-KC = f"""SELECT p.set_id, p.page_number, sheet_number, coalesce(repeats, 0) AS repeats, CASE WHEN NOT graphic_present OR coalesce(repeats, 0) > 0 THEN 'Fail' ELSE 'Pass' END AS status
-  FROM @sheet_pages p LEFT JOIN (SELECT set_id, page_number, count(*) AS repeats FROM ({DUPK}) GROUP BY 1, 2) d USING (set_id, page_number) WHERE {HASK}"""
+_ALONE = lambda c: f"list_filter(regexp_split_to_array(regexp_replace({c}, '(?i){esc(X.VIEW_SCALE)}', ' ', 'g'), '[^\\w./-]+'), lambda w: regexp_full_match(w, '\\d{{1,3}}'))"
+KPAGE = f"""(SELECT *, CASE WHEN regexp_matches(tail, '(?i){STOP}') THEN regexp_extract(tail, '(?is)^(.*?){STOP}', 1) ELSE tail END AS body,
+    CASE WHEN regexp_matches(text, '(?i){LEG}') THEN regexp_extract(text, '(?is)^(.*?){LEG}', 1) ELSE text END AS drawn
+  FROM (SELECT *, CASE WHEN regexp_matches(text, '(?i){LEG}') THEN substr(text, length(regexp_extract(text, '(?is)^(.*?{LEG})', 1)) + 1) ELSE '' END AS tail FROM @sheet_pages WHERE {HASK}))"""
+KC = f"""SELECT p.set_id, p.page_number, sheet_number, coalesce(repeats, 0) AS repeats,
+    CASE WHEN regexp_matches(tail, '(?i)^\\s*\\d{{1,3}}\\s*[).:-]\\s*(?:SAMPLE|PLACEHOLDER|TBD|N/?A|NONE)[ \\t]*(?:\\n|$)') AND NOT regexp_matches(left(tail, 80), '(?i){LEG}') THEN 'Not Applicable'
+      WHEN NOT (graphic_present OR len(list_distinct(list_filter(notes, lambda n: list_contains(near, n)))) >= 2
+        OR len(list_filter(list_distinct(notes), lambda n: len(list_filter(far, lambda w: w = n)) >= 3)) >= 3) OR coalesce(repeats, 0) > 0 THEN 'Fail' ELSE 'Pass' END AS status
+  FROM (SELECT *, regexp_extract_all(trim(regexp_replace(body, '\\s+', ' ', 'g')), '(^|\\s)(\\d{{1,3}})\\s*[).:\\-]', 2) AS notes, {_ALONE('drawn')} AS near, {_ALONE('tail')} AS far FROM {KPAGE}) p LEFT JOIN (SELECT set_id, page_number, count(*) AS repeats FROM ({DUPK}) GROUP BY 1, 2) d USING (set_id, page_number)"""
 
 
 @query("s12_keynote_compliance", KC)

@@ -4,6 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from recordqc.functions import sheets as X
 from recordqc.operators import sheets as S
 from recordqc.operators.issues import sync_issues
 from recordqc.operators.precedents import canonicalize
@@ -40,6 +41,39 @@ def test_repeated_keynote_text(spark):
     assert [(r.detail, r.label, r.scale) for r in S.viewports(pages).collect()] == [("7", "FLOOR PLAN", "NTS")]
 
 
+PAGE = "set_id string, page_number bigint, sheet_number string, title_block_text string, sheet_title string, seal_present boolean, graphic_present boolean, text string"
+LEGEND = "SHEET KEYNOTES 1. GYPSUM BOARD 2. RESISTANT PANEL 3. BATTEN STRIP"
+
+
+@pytest.mark.parametrize("text,graphic,status", [
+    ("2 3 ENLARGED FLOOR PLAN 1/4\" = 1'-0\" " + LEGEND, False, "Pass"),
+    ("FLOOR PLAN 1/4\" = 1'-0\" " + LEGEND, False, "Fail"),
+    ("FLOOR PLAN " + LEGEND, True, "Pass"),
+    (LEGEND + " WALL 1 2 3 DOOR 1 2 3 BASE 1 2 3", False, "Pass"),
+    ("FLOOR PLAN\nSHEET KEYNOTES\n1. TBD\n2. SAMPLE\n", False, "Not Applicable")])
+def test_keynote_verdicts(spark, text, graphic, status):
+    page = spark.createDataFrame([("s", 1, "A1", "", "", False, graphic, text)], PAGE)
+    assert [r.status for r in S.keynote_compliance(page).collect()] == [status]
+
+
+def test_long_legends_and_many_findings_are_read_whole(spark):
+    text = "SHEET KEYNOTES\n" + "\n".join(f"{n}. WALL TYPE NUMBER {n} WITH A LONG NAME" for n in range(1, 121))
+    page = spark.createDataFrame([("s", 1, "", "", "", False, False, text), ("s", 2, "", "", "", False, False, "TBD")], PAGE)
+    assert S.keynote_entries(page).count() == 120 and len(text) > 1800
+    found = {r.category for r in S.document_rules(page).collect()}
+    assert len(found) > 10 and "Missing or incorrect issue date" in found
+
+
+def test_presence_has_three_states(spark):
+    pages = spark.createDataFrame([("flag", 1, "", "", "", True, False, ""), ("word", 1, "", "", "", False, False, "SIGNED"), ("text", 1, "", "", "", False, False, "WALL"),
+                                   ("none", 1, "", "", "", False, False, " ")], PAGE)
+    assert {r.set_id: r.seal for r in S.presence_checks(pages).collect()} == {"flag": "Present", "word": "Present", "text": "Missing", "none": "Not Detected"}
+
+
+def test_firm_names_are_a_parameter():
+    assert dict(X.keywords(("ACME",)))["firm_logo_name"].endswith("ACME)\\b") and len(X.KEYWORDS) == 35
+
+
 def test_spelling_offsets_and_custom_words(spark):
     pages = spark.createDataFrame([("s", 1, "A1", "We accomodate it. Seperation of accomodate waterproofng")],
                                   "set_id string, page_number bigint, sheet_number string, text string")
@@ -64,8 +98,8 @@ def test_sync_is_idempotent(spark):
     old = spark.createDataFrame([(1, "M", "c", "gone", 1, "Unresolved", True), (1, "M", "c", "back", 2, "Resolved", True), (1, "M", "c", "hand", 3, "Unresolved", False)], ddl)
     found = spark.createDataFrame([(1, "M", "c", "back"), (1, "M", "c", "new")], "project_id bigint, discipline string, category string, message string")
     first = {r.message: (r.action, r.new_status) for r in sync_issues(old, found).collect()}
-    assert first == {"gone": ("resolve", "Resolved"), "back": ("reopen", "Unresolved"), "new": ("insert", "Unresolved")}
-    again = spark.createDataFrame([(1, "M", "c", m, n, s, True) for n, (m, (_, s)) in enumerate(first.items())], ddl)
+    assert first == {"gone": ("resolve", "Resolved"), "back": ("reopen", "Unresolved"), "new": ("insert", "Unresolved"), "hand": ("keep", "Unresolved")}
+    again = spark.createDataFrame([(1, "M", "c", m, n, s, m != "hand") for n, (m, (_, s)) in enumerate(first.items())], ddl)
     assert {r.action for r in sync_issues(again, found).collect()} == {"keep"}
 
 
