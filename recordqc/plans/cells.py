@@ -67,9 +67,9 @@ _HK = "trim(regexp_replace(lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))),
 _AL = "(VALUES " + ", ".join(f"('{f}', '{a}')" for f, names in X.FIELD_ALIASES.items() for a in names) + ") a(field, alias)"
 
 
-@query("i11_suggest_mapping", f"""WITH h AS (SELECT *, {_HK} AS k FROM @headers),
-  m AS (SELECT workbook, sheet, field, name, k, pos, row_number() OVER (PARTITION BY workbook, sheet, field ORDER BY CASE WHEN k = alias THEN 0 ELSE 1 END, pos, name) AS rn FROM h JOIN {_AL}
+@query("i11_suggest_mapping", f"""WITH h AS (SELECT name, field, alias, k FROM (SELECT DISTINCT name, {_HK} AS k FROM @headers) d JOIN {_AL}
     ON k = alias OR (length(k) >= 5 AND length(alias) >= 5 AND (contains(k, alias) OR contains(alias, k)))),
+  m AS (SELECT workbook, sheet, field, name, k, pos, row_number() OVER (PARTITION BY workbook, sheet, field ORDER BY CASE WHEN k = alias THEN 0 ELSE 1 END, pos, name) AS rn FROM @headers JOIN h USING (name)),
   b AS (SELECT * FROM m WHERE rn = 1),
   l AS (SELECT workbook, sheet, CASE WHEN regexp_matches(min(k), w) THEN u ELSE t END AS field FROM b JOIN (VALUES ('projectTonnage', 'tonnage', 'project|total|combined|grand'), ('projectDuctFeet', 'ductFeet', 'project|total')) p(t, u, w)
     ON field = t OR field = u GROUP BY workbook, sheet, t, u, w HAVING count(*) = 2 AND count(DISTINCT pos) = 1)

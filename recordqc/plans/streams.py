@@ -47,9 +47,9 @@ def _(t):
     return T.run_append(T.undo_window(_events(t), 3600), "undo")
 
 
-@query("t6_content_dedupe")
+@query("t6_content_dedupe", "SELECT DISTINCT sha256(concat_ws('|', props, event_type)) AS hash FROM @events")
 def _(t):
-    return T.run_append(T.content_dedupe(_events(t)), "dedupe")
+    return T.run_append(T.content_dedupe(_events(t)).select("hash"), "dedupe")
 
 
 @query("t7_throughput", f"""SELECT CAST(epoch(w) AS BIGINT) AS window_start, count(*) AS completed, count(*) / 7200 AS per_second, (100000 - count(*)) / (count(*) / 7200) AS eta_seconds
