@@ -347,8 +347,8 @@ def _(t):
     AND NOT EXISTS (SELECT 1 FROM @sheet_pages p WHERE p.set_id = i.set_id AND {NUMBER('p.sheet_number')} = {NUMBER('i.sheet_number')}))
   SELECT set_id, index_position, {NUMBER('sheet_number')} AS number, EXISTS (SELECT 1 FROM u JOIN k USING (set_id) WHERE u.set_id = i.set_id AND u.index_position = i.index_position AND nth <= k) AS ignored FROM @page_index i""")
 def _(t):
-    p = written(t.sheet_pages, "pages")
-    return S.exclude_covers(t.page_index, p, S.classify_covers(p)).select("set_id", "index_position", "number", "ignored")
+    covers = written(S.classify_covers(t.sheet_pages), "covers")  # the texts are read once and not stored
+    return S.exclude_covers(t.page_index, t.sheet_pages.select("set_id", "page_number", "sheet_number"), covers).select("set_id", "index_position", "number", "ignored")
 
 
 @query("s9_scope_index", f"""SELECT set_id, index_position, number, row_number() OVER (PARTITION BY set_id ORDER BY index_position) AS position FROM (SELECT *, {NUMBER('sheet_number')} AS number FROM @page_index) i
@@ -356,8 +356,8 @@ def _(t):
     OR EXISTS (SELECT 1 FROM @sheet_pages p WHERE p.set_id = i.set_id AND {NUMBER('p.sheet_number')} = i.number AND (starts_with({NUMBER('p.sheet_number')}, 'A')
       OR EXISTS (SELECT 1 FROM ({COV}) c WHERE c.set_id = p.set_id AND c.page_number = p.page_number)))""")
 def _(t):
-    p = written(t.sheet_pages, "pages")
-    return S.scope_index(t.page_index, S.scope_pages(p, S.classify_covers(p))).select("set_id", "index_position", "number", "position")
+    covers = written(S.classify_covers(t.sheet_pages), "covers")
+    return S.scope_index(t.page_index, S.scope_pages(t.sheet_pages.select("set_id", "page_number", "sheet_number"), covers)).select("set_id", "index_position", "number", "position")
 
 
 @query("x18_page_scales", f"""SELECT set_id, page_number,
