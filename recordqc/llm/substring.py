@@ -14,6 +14,10 @@ meets exactly the document parts that can match it:
    with the smallest id; windows whose hash occurs once go; over the rest one automaton is built for at most
    ``SHARD`` words, every state with the smallest id of its occurrences. Runs stream through it, and where the match is
    a window long, the state tells whether a smaller document holds it.
+   At the edges of a passage that very many documents share, runs have one anchor but different words. The windows of
+   such heavy anchors are runs of their own, dealt by their words, so no more than equal windows meet in a task. Heavy
+   are the at most ``HEAVY`` anchors with most runs among those that make up over 1 / ``HEAVY`` of a batch: every anchor
+   with over 2 / ``HEAVY`` of all runs is one of them. Which ones they are changes no result.
 4. Removed windows are gathered by document and cut from its words.
 
 Null texts have no words. Null ids count as one document after all others. Rows that repeat an id are that document;
@@ -36,6 +40,7 @@ from recordqc.llm.shingles import mixed, offsets, sequences, word_hashes
 WINDOW, ANCHOR = 13, 6
 REACH = WINDOW - ANCHOR + 1  # anchors a window can have; 8, so that three doublings find the smallest
 SHARD = 60_000
+HEAVY = 4096
 #: Bytes of text whose words a task holds at once.
 SLICE = 8 << 20
 LAST = 2 ** 63 - 1
@@ -95,6 +100,26 @@ def _distinct(anchor, doc):
     return anchor, doc, same[:-1] | same[1:], ~same[:-1]
 
 
+def _heavy(heavy, most, batches):
+    """Anchors with a large share of a batch's runs, and their number of runs in it."""
+    for b in batches:
+        values, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for part in slices(b, most):
+            found, n = np.unique(_Runs(_words(part)).anchor, return_counts=True)
+            total += int(n.sum())
+            values, inverse = np.unique(np.concatenate((values, found)), return_inverse=True)
+            counts = np.bincount(inverse, np.concatenate((counts, n)), len(values)).astype(np.int64)
+        large = (counts > 1) & (counts * heavy > total)
+        if large.any():
+            yield _batch("anchor long, n long", values[large].view(np.int64), counts[large])
+
+
+def _heavy_anchors(texts: DataFrame, heavy: int, most: int) -> np.ndarray:
+    """At most ``heavy`` anchors, on the driver."""
+    proposed = texts.mapInArrow(partial(_heavy, heavy, most), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.array([r["anchor"] for r in proposed.orderBy(F.desc("n"), "anchor").limit(heavy).collect()], np.int64).view(np.uint64)
+
+
 ANCHORS = "anchor long, doc long, settled boolean"
 
 
@@ -127,11 +152,18 @@ def _shared(batches):
             yield _batch("doc long, anchor long", doc[shared], anchor[shared].view(np.int64))
 
 
+def _windows_of(split, doc, start, count, anchor):
+    """The runs, with each window of those in ``split`` as a run of its own, and ``split`` for them."""
+    times = np.where(split, count, 1)
+    step = np.arange(times.sum()) - np.repeat(offsets(times)[:-1], times)
+    return np.repeat(doc, times), np.repeat(start, times) + step, np.repeat(np.where(split, 1, count), times), np.repeat(anchor, times), np.repeat(split, times)
+
+
 RUNS = "anchor long, run binary, doc long, own long, start int, mask int"
 
 
-def _runs(most, batches):
-    """Words of the runs whose anchor is in the document's list ``anchors``.
+def _runs(most, heavy, batches):
+    """Words of the runs whose anchor is in the document's list ``anchors``; each window of ``heavy`` anchors by itself.
 
     Of equal runs in a slice only the smallest document's goes on; the others lose all of its windows at once (``mask``)
     and are dealt out evenly without words.
@@ -148,15 +180,18 @@ def _runs(most, batches):
         tag = lambda anchor, doc: mixed(anchor + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         hit = np.flatnonzero(np.isin(tag(runs.anchor, runs.doc), tag(flat, owner)))
         if len(hit):
-            doc, start, count = runs.doc[hit], runs.start[hit], runs.count[hit]
+            doc, start, count, anchor, split = _windows_of(np.isin(runs.anchor[hit], heavy), *(x[hit] for x in (runs.doc, runs.start, runs.count, runs.anchor)))
             text = [b" ".join(words[d][s:s + n + WINDOW - 1]) for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist())]
+            if split.any():
+                at = np.flatnonzero(split)
+                anchor[at] = word_hashes([text[i] for i in at.tolist()])
             ids = np.array(_column(b, "doc").to_pylist(), np.int64)[doc]
             first: dict[bytes, int] = {}
             for t, d in zip(text, ids.tolist()):
                 if d < first.get(t, LAST + 1):
                     first[t] = d
             later = ids > np.array([first[t] for t in text], np.int64)
-            anchor = np.where(later, tag(runs.anchor[hit], doc), runs.anchor[hit])
+            anchor = np.where(later, tag(anchor, doc), anchor)
             yield _batch(RUNS, anchor.view(np.int64), [b"" if gone else t for gone, t in zip(later.tolist(), text)], ids,
                          np.array(_column(b, "own").to_pylist(), np.int64)[doc], start.astype(np.int32), np.where(later, (1 << count) - 1, 0).astype(np.int32))
 
@@ -266,9 +301,10 @@ def _matched(most, batches):
         yield _batch(REMOVED, *zip(*out))
 
 
-def dedup(docs: DataFrame, shard_words: int = SHARD, slice_bytes: int = SLICE) -> DataFrame:
+def dedup(docs: DataFrame, shard_words: int = SHARD, slice_bytes: int = SLICE, heavy: int = HEAVY) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (the words that stay, joined by one space) of each row of ``docs`` (doc_id, text)."""
     named = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("own"))
+    split = _heavy_anchors(named.select("text"), heavy, slice_bytes)
     sent = named.select("doc", "text").mapInArrow(partial(_anchors, slice_bytes), ANCHORS)
     dealt = sent.repartition(F.when(F.col("settled"), F.xxhash64("doc")).otherwise(F.col("anchor")))
     equal = named.select("doc", "own", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -279,7 +315,7 @@ def dedup(docs: DataFrame, shard_words: int = SHARD, slice_bytes: int = SLICE) -
         .union(copies.select("doc", nothing("long"), "own")) \
         .groupBy("doc").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("own").alias("copies"))
     # both joins below read the same exchange of the texts, so they ask for the same columns
-    runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc_id", "doc", "own", "text", "anchors", "copies").mapInArrow(partial(_runs, slice_bytes), RUNS)
+    runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc_id", "doc", "own", "text", "anchors", "copies").mapInArrow(partial(_runs, slice_bytes, split), RUNS)
     removed = runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc").mapInArrow(partial(_matched, shard_words), REMOVED)
     whole = copies.select("doc", "own", F.lit(WHOLE).alias("start"), F.lit(0).alias("mask"))
     cuts = removed.union(whole).groupBy("doc").agg(F.collect_list(F.struct("own", "start", "mask")).alias("cuts"))

@@ -207,7 +207,7 @@ def brute_kept(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_words": 40, "slice_bytes": 500}])
+@pytest.mark.parametrize("limits", [{}, {"shard_words": 40, "slice_bytes": 500}, {"heavy": 0}, {"heavy": 0, "shard_words": 40, "slice_bytes": 500}, {"heavy": 30}])
 def test_substring_equals_brute_force(spark, limits):
     rng = random.Random(7)
     shared = [prose(rng, n) for n in (12, 13, 14, 20, 50, 200)]
@@ -219,6 +219,18 @@ def test_substring_equals_brute_force(spark, limits):
     assert sorted(map(tuple, got)) == brute_kept(list(enumerate(texts)))
 
 
+def test_substring_heavy_anchors(spark):
+    rng = random.Random(11)
+    shared = prose(rng, 40)
+    texts = [" ".join((prose(rng, 20), shared, prose(rng, 20))) for _ in range(200)] + [prose(rng, 400) for _ in range(200)]
+    docs = corpus(spark, texts).repartition(4)
+    few = substring._heavy_anchors(docs.select("text"), 200, 1 << 20)
+    in_passage = set(substring._Runs([shared.encode().split()]).anchor.tolist())
+    assert 0 < len(few) <= 200 and in_passage <= set(few.tolist())
+    rows = substring.dedup(docs, heavy=200).collect()
+    assert sorted(map(tuple, rows)) == brute_kept(list(enumerate(texts)))
+
+
 def test_substring_odd(spark):
     got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring.dedup(odd_rows(spark)).collect())
     assert (5, 6000, 0) in got and (6, 6000, 6000) in got and len(got) == 10
