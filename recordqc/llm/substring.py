@@ -85,7 +85,7 @@ def _column(batch, name):
 def _batch(schema, *columns):
     import pyarrow as pa
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split(" ")[1]]) for c, x in zip(columns, schema.split(", "))], names=names)
 
 
@@ -159,14 +159,14 @@ def _windows_of(split, doc, start, count, anchor):
     return np.repeat(doc, times), np.repeat(start, times) + step, np.repeat(np.where(split, 1, count), times), np.repeat(anchor, times), np.repeat(split, times)
 
 
-RUNS = "anchor long, run binary, doc long, own long, start int, mask int"
+RUNS = "anchor long, run binary, doc long, own long, starts array<int>, mask int"
 
 
 def _runs(most, heavy, batches):
     """Words of the runs whose anchor is in the document's list ``anchors``; each window of ``heavy`` anchors by itself.
 
-    Of equal runs in a slice only the smallest document's goes on; the others lose all of its windows at once (``mask``)
-    and are dealt out evenly without words.
+    Equal runs of a document are one row with all their ``starts``. Of equal runs in a slice only the smallest document's
+    goes on; the others lose all of its windows at once (``mask``) and are dealt out evenly without words.
     """
     for b in (part for whole in batches for part in slices(whole, most)):
         words = _words(b)
@@ -185,6 +185,12 @@ def _runs(most, heavy, batches):
             if split.any():
                 at = np.flatnonzero(split)
                 anchor[at] = word_hashes([text[i] for i in at.tolist()])
+            places: dict[tuple[int, bytes], list[int]] = {}
+            for key, s in zip(zip(doc.tolist(), text), start.tolist()):
+                places.setdefault(key, []).append(s)
+            index = {key: i for i, key in enumerate(zip(doc.tolist(), text))}
+            rows = np.array([index[key] for key in places])
+            doc, count, anchor, text = doc[rows], count[rows], anchor[rows], [t for _, t in places]
             ids = np.array(_column(b, "doc").to_pylist(), np.int64)[doc]
             first: dict[bytes, int] = {}
             for t, d in zip(text, ids.tolist()):
@@ -193,17 +199,17 @@ def _runs(most, heavy, batches):
             later = ids > np.array([first[t] for t in text], np.int64)
             anchor = np.where(later, tag(anchor, doc), anchor)
             yield _batch(RUNS, anchor.view(np.int64), [b"" if gone else t for gone, t in zip(later.tolist(), text)], ids,
-                         np.array(_column(b, "own").to_pylist(), np.int64)[doc], start.astype(np.int32), np.where(later, (1 << count) - 1, 0).astype(np.int32))
+                         np.array(_column(b, "own").to_pylist(), np.int64)[doc], list(places.values()), np.where(later, (1 << count) - 1, 0).astype(np.int32))
 
 
-REMOVED = "doc long, own long, start int, mask int"
+REMOVED = "doc long, own long, starts array<int>, mask int"
 
 
 class _Shard:
     """Groups of unequal runs until they make an automaton."""
 
     def __init__(self):
-        self.runs: list[tuple[list[bytes], list[tuple[int, int, int]]]] = []
+        self.runs: list[tuple[list[bytes], list[tuple[int, int, list[int]]]]] = []
         self.size = 0
 
     def add(self, run: bytes, rows):
@@ -212,7 +218,7 @@ class _Shard:
         self.size += len(words)
 
     def removed(self):
-        """(doc, own, start, mask of windows from start) of rows that lose windows."""
+        """(doc, own, starts, mask of windows from each start) of rows that lose windows."""
         if not self.runs:
             return
         at = offsets([len(w) for w, _ in self.runs])
@@ -257,10 +263,10 @@ class _Shard:
                         while longest[link[state]] >= WINDOW:
                             state = link[state]
                         found.append(least[state])
-            for doc, own, start in rows:
+            for doc, own, starts in rows:
                 mask = sum(1 << i for i, d in enumerate(smallest[part]) if d < doc)
                 if mask:
-                    yield doc, own, start + lo, mask
+                    yield doc, own, [s + lo for s in starts], mask
 
 
 def _matched(most, batches):
@@ -272,13 +278,13 @@ def _matched(most, batches):
         if len(group) == 1:  # equal runs: each window's smallest document is theirs
             words, rows = group[0]
             mask = (1 << (words.count(b" ") + 2 - WINDOW)) - 1
-            out.extend((doc, own, start, mask) for doc, own, start in rows if doc > rows[0][0])
+            out.extend((doc, own, starts, mask) for doc, own, starts in rows if doc > rows[0][0])
         else:
             for text, rows in group:
                 shard.add(text, rows)
 
     for b in batches:
-        for a, text, mask, *row in zip(*[_column(b, c).to_pylist() for c in ("anchor", "run", "mask", "doc", "own", "start")]):
+        for a, text, mask, *row in zip(*[_column(b, c).to_pylist() for c in ("anchor", "run", "mask", "doc", "own", "starts")]):
             if mask:
                 out.append((*row, mask))
                 continue
@@ -317,8 +323,8 @@ def dedup(docs: DataFrame, shard_words: int = SHARD, slice_bytes: int = SLICE, h
     # both joins below read the same exchange of the texts, so they ask for the same columns
     runs = named.join(lists.hint("shuffle_hash"), "doc").select("doc_id", "doc", "own", "text", "anchors", "copies").mapInArrow(partial(_runs, slice_bytes, split), RUNS)
     removed = runs.repartition("anchor").sortWithinPartitions("anchor", "run", "doc").mapInArrow(partial(_matched, shard_words), REMOVED)
-    whole = copies.select("doc", "own", F.lit(WHOLE).alias("start"), F.lit(0).alias("mask"))
-    cuts = removed.union(whole).groupBy("doc").agg(F.collect_list(F.struct("own", "start", "mask")).alias("cuts"))
+    whole = copies.select("doc", "own", F.array(F.lit(WHOLE)).alias("starts"), F.lit(0).alias("mask"))
+    cuts = removed.union(whole).groupBy("doc").agg(F.collect_list(F.struct("own", "starts", "mask")).alias("cuts"))
 
     def made(batch):
         counts, gone, kept = [], [], []
@@ -327,13 +333,14 @@ def dedup(docs: DataFrame, shard_words: int = SHARD, slice_bytes: int = SLICE, h
             counts.append(len(words))
             edge = np.zeros(len(words) + 1, np.int32)
             for c in cut or ():
-                if c["own"] == mine and c["start"] == WHOLE:
+                if c["own"] == mine and c["starts"] == [WHOLE]:
                     edge[0] += len(words) >= WINDOW  # from the first word to the last
                 elif c["own"] == mine:
+                    starts = np.array(c["starts"])  # all different
                     for i in range(c["mask"].bit_length()):
                         if c["mask"] >> i & 1:
-                            edge[c["start"] + i] += 1
-                            edge[c["start"] + i + WINDOW] -= 1
+                            edge[starts + i] += 1
+                            edge[starts + i + WINDOW] -= 1
             stays = np.cumsum(edge)[:-1] == 0
             gone.append(int(len(words) - stays.sum()))
             kept.append((b" ".join(words) if not gone[-1] else b" ".join([words[i] for i in np.flatnonzero(stays).tolist()])).decode())

@@ -214,6 +214,7 @@ def test_substring_equals_brute_force(spark, limits):
     texts = []
     for i in range(150):
         texts.append(" ".join(rng.choice([prose(rng, rng.randint(0, 30)), rng.choice(shared), prose(rng, 8, ["ka", "lo"])]) for _ in range(rng.randint(0, 6))))
+    texts += ["is so. " * rng.randint(40, 90) + prose(rng, i) for i in range(12)]
     texts += [texts[3], texts[9], shared[4], " ".join(shared[3].split()), prose(rng, 300, ["ka"])]
     got = substring.dedup(corpus(spark, texts).repartition(5), **limits).collect()
     assert sorted(map(tuple, got)) == brute_kept(list(enumerate(texts)))
