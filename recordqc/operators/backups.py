@@ -88,17 +88,20 @@ def catalog_records(files: DataFrame) -> DataFrame:
             .withColumn("signal", C("folder_path").rlike(X.BACKUP_FOLDER))
 
 
-def match_backups(records: DataFrame) -> DataFrame:
+def match_backups(records: DataFrame, stored: bool = False) -> DataFrame:
     """The best original of every backup file, exact and without pairing names.
 
     A backup wants one original: the highest score, then the latest date. For
     one name key and one scope (folder, parent, signalled, anywhere) that is
     always the latest original or an undated one, so originals are reduced to
-    these two before any backup looks them up.
+    these two before any backup looks them up. ``stored`` says that ``records``
+    are a written table already.
     """
-    # the records feed many branches: write the few columns once instead of enriching again in each
-    records = written(records.select("seq", "path", "folder_path", "parent_name", "signal", "modified_ms", "backup", "normalized_base",
-                                     "file_name", "extension", "size"), "match")
+    # records, groups, names and keys feed many branches: each is written once instead of computed again in each
+    records = records.select("seq", "path", "folder_path", "parent_name", "signal", "modified_ms", "backup", "normalized_base",
+                             "file_name", "extension", "size")
+    if not stored:
+        records = written(records, "match")
     plain = F.trim(F.regexp_replace(F.regexp_replace(X.comparable_name(C("file_name")), X.BACKUP_WORDS, ""), r"\s+", " "))
     backups = records.where(C("backup").isNotNull()).select(
         "seq", "path", "folder_path", "parent_name", "signal", C("modified_ms").alias("b_modified"), C("backup.primary").alias("pext"),
@@ -109,10 +112,12 @@ def match_backups(records: DataFrame) -> DataFrame:
                     C("extension").alias("ext"), C("file_name").alias("file_name"))
     reps = primaries.groupBy(C("normalized_base").alias("base"), "folder_path", "parent_name", "signal", "extension").agg(
         F.max(F.when(C("modified_ms") > 0, info)).alias("dated"), F.max(F.when(C("modified_ms") == 0, info)).alias("undated"))
-    b_groups = backups.groupBy("base", "folder_path", "parent_name", "signal", "pext").agg(F.count(F.lit(1)).alias("n"))
-    p_names = reps.select("base").distinct()
-    b_names = b_groups.select("base").distinct()
+    reps = written(reps, "originals")
+    b_groups = written(backups.groupBy("base", "folder_path", "parent_name", "signal", "pext").agg(F.count(F.lit(1)).alias("n")), "backup-groups")
+    p_names = written(reps.select("base").distinct(), "original-names")
+    b_names = written(b_groups.select("base").distinct(), "backup-names")
     p_keys, b_keys = _name_keys(p_names, b_names)
+    b_keys = written(b_keys, "backup-keys")
     p_keys = p_keys.join(b_keys.select("key").distinct(), "key", "left_semi")
 
     def scoped(df: DataFrame, anywhere: Column, signalled: Column, exts: Column) -> DataFrame:
@@ -262,7 +267,7 @@ def finalize_flags(hits: DataFrame) -> DataFrame:
 def flag_files(files: DataFrame) -> DataFrame:
     """All flagged files of a catalog with their details."""
     records = written(catalog_records(files).drop("hash"), "records")
-    hits_b = written(backup_hits(records, match_backups(records)), "hits")
+    hits_b = written(backup_hits(records, match_backups(records, stored=True)), "hits")
     hits = hits_b.unionByName(classify_related(records, hits_b.where("role <> ''").select("path")))
     flags = finalize_flags(hits)
     return flags.join(records.select("path", "seq", "file_name", "folder_path", "parent_name", "extension", "file_class", "review_group", "size",

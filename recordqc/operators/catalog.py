@@ -205,8 +205,8 @@ def compress_targets(paths: DataFrame) -> DataFrame:
     return paths.join(hit, "path", "left_anti")
 
 
-def duplicate_files(files: DataFrame) -> DataFrame:
-    """Same content inside one parent folder: one row per copy, with the one to keep."""
+def _content_groups(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Non-system files, and the groups of equal contents in a parent with the path to keep (``best.path``)."""
     f = enrich_files(files).where(~C("is_system"))
     inner = F.slice(F.split("folder_path", "/"), F.lit(2), F.greatest(C("depth") - 2, F.lit(0)))
     f = f.withColumn("copy_score", F.when(F.exists(inner, lambda p: p.rlike(X.COPY_FOLDER)), 1).otherwise(0)) \
@@ -214,6 +214,12 @@ def duplicate_files(files: DataFrame) -> DataFrame:
     order = F.struct("copy_score", "natural_key", "path")
     groups = f.groupBy("pkey", "hash").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("best"), F.min("seq").alias("first_seq")) \
               .where("copies > 1")
+    return f, groups
+
+
+def duplicate_files(files: DataFrame) -> DataFrame:
+    """Same content inside one parent folder: one row per copy, with the one to keep."""
+    f, groups = _content_groups(files)
     groups = ranked(groups, [], ["first_seq", "hash", "pkey"], "group_number")
     return f.join(groups, ["pkey", "hash"]).select(
         "group_number", "path", "parent_name", "hash", "copies", (C("path") == C("best.path")).alias("keep"))
@@ -244,19 +250,27 @@ def duplicate_folders(files: DataFrame) -> DataFrame:
         F.when(by_name, C("f_name.folder") == C("folder")).otherwise(exact_first).alias("keep"))
 
 
-def identical_parents(files: DataFrame, selected: DataFrame | None = None) -> DataFrame:
-    """Parents with equal contents; under a selection only groups that still have two."""
+CONTENTS = ["__d1", "__d2", "__dn"]
+
+
+def _parent_groups(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parents, and the groups of equal contents with the parent to keep (``best.parent_name``)."""
     f = _secondary_rows(files, 3)
     rel = F.lower(F.array_join(F.slice(C("p"), F.lit(3), F.size("p")), "/"))
     sysf = X.is_system(C("path"))
     parents = f.groupBy(F.get("p", F.lit(1)).alias("parent_name")).agg(
         *multiset_digest(rel, C("size")), F.min("seq").alias("first_seq"), F.count_if(~sysf).alias("file_count"))
-    digest = ["__d1", "__d2", "__dn"]
     parents = parents.withColumn("nat", X.natural_key(C("parent_name")))
-    groups = parents.groupBy(*digest).agg(F.count(F.lit(1)).alias("n"), F.min("first_seq").alias("group_seq"),
+    groups = parents.groupBy(*CONTENTS).agg(F.count(F.lit(1)).alias("n"), F.min("first_seq").alias("group_seq"),
                                           F.min(F.struct("nat", "parent_name")).alias("best")).where("n > 1")
+    return parents, groups
+
+
+def identical_parents(files: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """Parents with equal contents; under a selection only groups that still have two."""
+    parents, groups = _parent_groups(files)
     groups = ranked(groups, [], ["group_seq"], "group_number")
-    out = parents.join(groups, digest).select("group_number", "parent_name", (C("best.parent_name") == C("parent_name")).alias("keep"),
+    out = parents.join(groups, CONTENTS).select("group_number", "parent_name", (C("best.parent_name") == C("parent_name")).alias("keep"),
                                               "file_count")
     if selected is None:
         return out
@@ -277,11 +291,14 @@ def removal_plan(files: DataFrame, removed_folders: DataFrame, removed_files: Da
 
 
 def exact_mode_removals(files: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Removal sets when every automatic choice is taken."""
+    """Removal sets when every automatic choice is taken; groups need no numbers here."""
     dup = duplicate_folders(files).where("exact_duplicate and not exact_keep").select("folder")
-    par = identical_parents(files).where("not keep").select(F.concat(F.lit("Main/"), "parent_name").alias("folder"))
+    parents, same = _parent_groups(files)
+    par = parents.join(same, CONTENTS).where(C("parent_name") != C("best.parent_name")).select(F.concat(F.lit("Main/"), "parent_name").alias("folder"))
+    records, copies = _content_groups(files)
+    extra = records.join(copies, ["pkey", "hash"]).where(C("path") != C("best.path")).select("path")
     emp = empty_folders(folder_stats(files, folders), variant="renamer").select("folder")
-    return dup.union(par).union(emp).distinct(), duplicate_files(files).where("not keep").select("path")
+    return dup.union(par).union(emp).distinct(), extra
 
 
 def rename_plan(plan: DataFrame, skip_processed: bool = True) -> DataFrame:

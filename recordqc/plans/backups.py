@@ -65,7 +65,7 @@ GRP = f"""WITH rec AS MATERIALIZED (SELECT * FROM {REC}), mat AS MATERIALIZED ({
 def _(t):
     from recordqc.session import written
     r = written(B.catalog_records(t.files).drop("hash"), "records")
-    return B.classify_related(r, B.match_backups(r).select(C("original").alias("path"))).select("path", "label", "detail", "group_key", "keep", "review", "role")
+    return B.classify_related(r, B.match_backups(r, stored=True).select(C("original").alias("path"))).select("path", "label", "detail", "group_key", "keep", "review", "role")
 
 
 CLEAR = " OR ".join(f"ends_with(lower(file_name), '{e}')" for e in X.CLEAR_BACKUP_ENDINGS)
