@@ -1,18 +1,18 @@
-"""MinHash near-dedup by ProbMinHash: weighted shingles, banding, exact verification, classes.
+"""MinHash near-dedup by ProbMinHash: shingles, banding, exact verification, classes.
 
-A text's shingles are its sequences of five words (one sequence of all words if there are fewer), weighted by
-``1 + ln(count)``. Each shingle is a Poisson process whose rate is its weight: its arrivals hit random registers, and a
-register keeps the shingle that arrives first. A shingle stops as soon as its next arrival is later than all registers
-of the text. Two texts agree in a register with their probability Jaccard similarity. Registers are hashed in bands;
-texts that share a band are candidates, and a candidate pair is a link if the Jaccard similarity of the two shingle
-sets is ``similarity`` or more.
+A text's shingles are its different sequences of five words (one sequence of all words if there are fewer), all of one
+weight. Each shingle is a Poisson process of rate one: its arrivals hit random registers, and a register keeps the
+shingle that arrives first. A shingle stops as soon as its next arrival is later than all registers of the text. With
+equal weights two texts agree in a register with the Jaccard similarity of their shingle sets, however often a shingle
+is repeated. Registers are hashed in bands; texts that share a band are candidates, and a candidate pair is a link if
+that similarity is ``similarity`` or more.
 
 Equal texts are one node from the start. In a band's bucket every node is first verified against two centres only (the node
 with most neighbours and one more); links make classes (connected components). Nodes of one bucket whose classes still
-differ meet in blocks of bounded size and are compared inside the task: pairs that agree in fewer registers than
-``similarity`` less four standard errors are passed over, the others verified in the first band they share, and what
-leaves the task are links that join classes. So a bucket of thousands of copies costs a few pairs each, and no pair of
-a bucket stays undecided.
+differ meet in blocks of bounded size and are decided inside the task, in the first band they share: pairs whose
+sizes or rarest shingles rule a link out (both bounds are exact) are passed over, the others verified, and what leaves
+the task are links that join classes. So a bucket of thousands of copies costs a few pairs each, and no pair of a
+bucket stays undecided.
 
 Texts without words, and null texts, are classes of their own. A class is named by its smallest ``doc_id``; null ids
 are larger than others, and a class of null ids only is named null. Repeated rows fall in one class. An empty table
@@ -21,6 +21,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +47,9 @@ def _unit(h: np.ndarray) -> np.ndarray:
 
 def signatures(texts: list[str], registers: int) -> np.ndarray:
     """[text, register] hash of the shingle that arrives first; 0 for texts without words."""
-    each = [np.unique(shingle_hashes(t), return_counts=True) for t in texts]
-    at = offsets([len(x) for x, _ in each])
-    shingle = np.concatenate([x for x, _ in each]) if each else np.zeros(0, np.uint64)
-    rate = 1 + np.log(np.concatenate([c for _, c in each])) if each else np.zeros(0)
+    each = [np.unique(shingle_hashes(t)) for t in texts]
+    at = offsets([len(x) for x in each])
+    shingle = np.concatenate(each) if each else np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(texts)), np.diff(at))
     first = np.full(len(texts) * registers, np.inf)
     kept = np.zeros(len(texts) * registers, np.uint64)
@@ -58,9 +59,9 @@ def signatures(texts: list[str], registers: int) -> np.ndarray:
     while len(shingle):
         step += 1
         h = mixed(shingle + np.uint64(step * 0xD1342543DE82EF95 % 2 ** 64))
-        time = time - np.log(_unit(h)) / rate
+        time = time - np.log(_unit(h))
         alive = time < last[doc]
-        shingle, rate, doc, time, h = shingle[alive], rate[alive], doc[alive], time[alive], h[alive]
+        shingle, doc, time, h = shingle[alive], doc[alive], time[alive], h[alive]
         register = doc * registers + (mixed(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(registers)).astype(np.int64)
         np.minimum.at(first, register, time)
         won = first[register] == time
@@ -68,7 +69,7 @@ def signatures(texts: list[str], registers: int) -> np.ndarray:
         if step % 4 == 0 or step < 4:
             last = first.reshape(-1, registers).max(axis=1)
             alive = time < last[doc]
-            shingle, rate, doc, time = shingle[alive], rate[alive], doc[alive], time[alive]
+            shingle, doc, time = shingle[alive], doc[alive], time[alive]
     return kept.reshape(len(texts), registers)
 
 
@@ -78,6 +79,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
+def rarest(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
+    """Numbers of each set's rarest members, so many that two sets with ``similarity`` or more have one of them in common."""
+    at = offsets([len(s) for s in sets])
+    _, number, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = []
+    for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        mine = number[start:end]
+        common = math.ceil(similarity * len(mine) - 1e-9)  # members that a similar set has at least
+        out.append(mine[np.lexsort((mine, seen[mine]))[:len(mine) - common + 1]])
+    return out
+
+
 def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFrame:
     """``doc_id, node`` (digest of the text), ``keys``, one hash a band, and ``marks``, a byte a register; both null without words."""
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
@@ -99,15 +112,15 @@ def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFr
     return map_batches(named, made, [("keys", ArrayType(LongType())), ("marks", BinaryType())], ["doc_id", "node", "chars"])
 
 
-def _block_links(rows_a_band: int, bands: int, least: float, similarity: float):
+def _block_links(rows_a_band: int, bands: int, similarity: float):
     """Links between a block's nodes of different classes, for pairs whose first common band is this one."""
     import pyarrow as pa
 
     def links(band, nodes, roots, parts, marks, texts):
-        m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), -1)
+        m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), bands, rows_a_band)
         _, root, sizes = np.unique(roots, return_inverse=True, return_counts=True)
         part, major = np.array(parts), sizes.argmax()
-        above, sets = list(range(len(sizes))), {}
+        above, todo = list(range(len(sizes))), {}
 
         def top(r):
             while above[r] != r:
@@ -115,20 +128,33 @@ def _block_links(rows_a_band: int, bands: int, least: float, similarity: float):
                 r = above[r]
             return r
 
-        def of(i):
-            if i not in sets:
-                sets[i] = np.unique(shingle_hashes(texts[i]))
-            return sets[i]
-
         both = part.min() != part.max()
         for y in np.flatnonzero(root != major).tolist():
-            same = m == m[y]
-            ok = (root != root[y]) & (same.sum(1) >= least * m.shape[1])
+            ok = (root != root[y]) & ((m == m[y]).all(2).argmax(1) == band)
             ok &= (part != part[y]) if both else True
             ok[:y] &= root[:y] == major  # the other way round those have been seen
-            for x in np.flatnonzero(ok).tolist():
+            if ok.any():
+                todo[y] = ok
+        if not todo:
+            return
+        used = np.logical_or.reduce(list(todo.values()))
+        used[list(todo)] = True
+        used = np.flatnonzero(used).tolist()
+        sets = {i: np.unique(shingle_hashes(texts[i])) for i in used}
+        size = np.zeros(len(nodes))
+        size[used] = [len(sets[i]) for i in used]
+        rare = dict(zip(used, rarest([sets[i] for i in used], similarity)))
+        holder, held = np.repeat(used, [len(r) for r in rare.values()]), np.concatenate(list(rare.values()))
+        by = held.argsort(kind="stable")
+        holder, starts = holder[by], np.searchsorted(held[by], np.arange(held.max() + 2))
+        for y, ok in todo.items():
+            met = np.zeros(len(nodes), bool)
+            for n in rare[y].tolist():
+                met[holder[starts[n]:starts[n + 1]]] = True
+            met &= ok & (np.minimum(size, size[y]) >= similarity * np.maximum(size, size[y]) - 1e-9)
+            for x in np.flatnonzero(met).tolist():
                 ry, rx = top(root[y]), top(root[x])
-                if rx != ry and same[x].reshape(bands, rows_a_band).all(1).argmax() == band and jaccard(of(x), of(y)) >= similarity:
+                if rx != ry and jaccard(sets[x], sets[y]) >= similarity:
                     above[rx] = ry
                     yield nodes[x], nodes[y]
 
@@ -164,8 +190,7 @@ def _open_links(placed: DataFrame, facts: DataFrame, texts: DataFrame, similarit
     part = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("__parts")).cast("int")
     dealt = rows_in.withColumn("part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))) \
         .select("band", "node", "root", "part", F.concat_ws("/", "key", F.least("part", "__other"), F.greatest("part", "__other")).alias("task"))
-    error = (similarity * (1 - similarity) / (bands * rows)) ** 0.5
-    made = _block_links(rows, bands, similarity - 4 * error, similarity)
+    made = _block_links(rows, bands, similarity)
     return dealt.join(marks.join(texts, "node"), "node").repartition("task").sortWithinPartitions("task", "node").mapInArrow(made, "a string, b string")
 
 
@@ -212,7 +237,7 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int = 7) -> DataFrame:
     """``doc_id, node, class_id`` a row of ``docs`` (doc_id, text).
 
-    With 40 bands of 7 registers a pair at 0.8 is missed as a candidate with probability 8e-5.
+    With 40 bands of 7 registers a pair whose shingle sets have 0.8 is missed as a candidate with probability 8e-5.
     """
     facts = stored(banded(docs, bands, rows), "near-bands")
     one = Window.partitionBy("node").orderBy(F.col("doc_id").asc_nulls_last())  # limited to one row a node before the shuffle

@@ -169,6 +169,35 @@ def test_near_dedup_blocks_find_what_one_block_finds(spark):
     assert found[0] == found[1] and found[0]
 
 
+def repeating(rng, n, times):
+    """A text and the same with one passage of its words repeated."""
+    w = prose(rng, n).split()
+    at = rng.randrange(n - 24)
+    return " ".join(w), " ".join(w[:at] + w[at:at + 24] * times + w[at + 24:])
+
+
+def test_registers_agree_as_sets_do_where_passages_repeat():
+    rng = random.Random(21)
+    pairs = [repeating(rng, 104, 10) for _ in range(20)]
+    found = probminhash.signatures([t for p in pairs for t in p], 280)
+    agree = (found[::2] == found[1::2]).mean()
+    sets = [[pieces(t) for t in p] for p in pairs]
+    assert abs(agree - sum(len(a & b) / len(a | b) for a, b in sets) / 20) < 0.02
+
+
+def test_near_dedup_decides_pairs_with_repeats(spark):
+    rng = random.Random(22)
+    texts = [t for _ in range(30) for t in repeating(rng, 104, 10)]
+    docs = corpus(spark, texts)
+    facts = probminhash.banded(docs, 40, 7)
+    stored = facts.select("node", "doc_id").join(docs, "doc_id").select("node", "text")
+    placed = facts.select("node", "doc_id", "chars", F.posexplode("keys").alias("band", "key")).withColumn("root", F.col("node"))
+    of = {r.node: r.doc_id for r in facts.collect()}
+    for block in (1000, 9):
+        found = {tuple(sorted((of[r.a], of[r.b]))) for r in probminhash._open_links(placed, facts, stored, 0.8, 40, 7, block=block).collect()}
+        assert found == {(i, i + 1) for i in range(0, 60, 2)}
+
+
 def test_components_of_a_chain(spark):
     names = [f"n{i:03d}" for i in range(120)]
     links = spark.createDataFrame([*zip(names[:60], names[1:61]), *zip(names[70:100], names[71:101]), ("n070", "n070")], "a string, b string")
