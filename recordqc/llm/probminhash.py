@@ -26,7 +26,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from recordqc.llm.common import map_batches, stored, texts_of
@@ -92,11 +92,11 @@ def rarest(sets: list[np.ndarray], similarity: float) -> list[np.ndarray]:
 
 
 def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFrame:
-    """``doc_id, node`` (digest of the text), ``keys``, one hash a band, and ``marks``, a byte a register; both null without words."""
+    """``doc_id, node`` (digest of the text) and ``keys``, one hash a band; null without words."""
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
 
     def made(batch):
-        texts, out, marks = texts_of(batch), [], []
+        texts, out = texts_of(batch), []
         for i in range(0, len(texts), block):  # bounds the registers held at once
             part = texts[i:i + block]
             found = signatures(part, bands * rows).reshape(len(part), bands, rows)
@@ -105,19 +105,18 @@ def banded(docs: DataFrame, bands: int, rows: int, block: int = 2_000) -> DataFr
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + found[:, :, r])
             key = (key ^ salt).view(np.int64)
             out += [k if f.any() else None for k, f in zip(key.tolist(), found)]
-            marks += [x.tobytes() if f.any() else None for x, f in zip((mixed(found) & np.uint64(255)).astype(np.uint8), found)]
-        return [out, marks]
+        return [out]
 
     named = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("node"), F.length("text").alias("chars"), "text")
-    return map_batches(named, made, [("keys", ArrayType(LongType())), ("marks", BinaryType())], ["doc_id", "node", "chars"])
+    return map_batches(named, made, [("keys", ArrayType(LongType()))], ["doc_id", "node", "chars"])
 
 
-def _block_links(rows_a_band: int, bands: int, similarity: float):
+def _block_links(similarity: float):
     """Links between a block's nodes of different classes, for pairs whose first common band is this one."""
     import pyarrow as pa
 
-    def links(band, nodes, roots, parts, marks, texts):
-        m = np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), bands, rows_a_band)
+    def links(band, nodes, roots, parts, keys, texts):
+        k = np.array(keys, np.int64)
         _, root, sizes = np.unique(roots, return_inverse=True, return_counts=True)
         part, major = np.array(parts), sizes.argmax()
         above, todo = list(range(len(sizes))), {}
@@ -130,7 +129,7 @@ def _block_links(rows_a_band: int, bands: int, similarity: float):
 
         both = part.min() != part.max()
         for y in np.flatnonzero(root != major).tolist():
-            ok = (root != root[y]) & ((m == m[y]).all(2).argmax(1) == band)
+            ok = (root != root[y]) & ((k == k[y]).argmax(1) == band)  # by the keys that make the buckets
             ok &= (part != part[y]) if both else True
             ok[:y] &= root[:y] == major  # the other way round those have been seen
             if ok.any():
@@ -162,7 +161,7 @@ def _block_links(rows_a_band: int, bands: int, similarity: float):
         group, held = None, []
         for b in batches:
             out = []
-            for task, band, *row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("task", "band", "node", "root", "part", "marks", "text")]):
+            for task, band, *row in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("task", "band", "node", "root", "part", "keys", "text")]):
                 if group != (task, band):
                     if len(held) > 1:
                         out += links(group[1], *zip(*held))
@@ -186,12 +185,12 @@ def _open_links(placed: DataFrame, facts: DataFrame, texts: DataFrame, similarit
     rows_in = stored(placed.join(mixed_up, "key"), "near-open")
     wanted = rows_in.select("node", "doc_id").distinct()
     match = (F.col("w.node") == F.col("f.node")) & F.col("w.doc_id").eqNullSafe(F.col("f.doc_id"))
-    marks = facts.select("node", "doc_id", "marks").alias("f").join(wanted.alias("w"), match, "left_semi").dropDuplicates(["node"]).select("node", "marks")
+    keys = facts.select("node", "doc_id", "keys").alias("f").join(wanted.alias("w"), match, "left_semi").dropDuplicates(["node"]).select("node", "keys")
     part = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("__parts")).cast("int")
     dealt = rows_in.withColumn("part", part).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))) \
         .select("band", "node", "root", "part", F.concat_ws("/", "key", F.least("part", "__other"), F.greatest("part", "__other")).alias("task"))
-    made = _block_links(rows, bands, similarity)
-    return dealt.join(marks.join(texts, "node"), "node").repartition("task").sortWithinPartitions("task", "node").mapInArrow(made, "a string, b string")
+    made = _block_links(similarity)
+    return dealt.join(keys.join(texts, "node"), "node").repartition("task").sortWithinPartitions("task", "node").mapInArrow(made, "a string, b string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:

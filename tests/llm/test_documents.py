@@ -198,6 +198,16 @@ def test_near_dedup_decides_pairs_with_repeats(spark):
         assert found == {(i, i + 1) for i in range(0, 60, 2)}
 
 
+def test_near_dedup_first_common_band_is_of_the_keys(spark):
+    """Band 0 has one unequal register whose byte is equal: the keys differ there, the texts meet in band 1 only."""
+    text = prose(random.Random(23), 50)
+    facts = spark.createDataFrame([(1, "a", 300, [1, 5, 7], bytearray(3)), (2, "b", 300, [2, 5, 8], bytearray(3))],
+                                  "doc_id long, node string, chars int, keys array<long>, marks binary")
+    texts = spark.createDataFrame([("a", text), ("b", text + " kaba")], "node string, text string")
+    placed = facts.select("node", "doc_id", "chars", F.lit(1).alias("band"), F.lit(5).cast("long").alias("key"), F.col("node").alias("root"))
+    assert [sorted(r) for r in probminhash._open_links(placed, facts, texts, 0.8, 3, 1).collect()] == [["a", "b"]]
+
+
 def test_components_of_a_chain(spark):
     names = [f"n{i:03d}" for i in range(120)]
     links = spark.createDataFrame([*zip(names[:60], names[1:61]), *zip(names[70:100], names[71:101]), ("n070", "n070")], "a string, b string")
