@@ -15,7 +15,8 @@ the task are links that join classes. So a bucket of thousands of copies costs a
 bucket stays undecided.
 
 Texts without words, and null texts, are classes of their own. A class is named by its smallest ``doc_id``; null ids
-are larger than others, and a class of null ids only is named null. Repeated rows fall in one class. An empty table
+are larger than others, and a class of null ids only is named null. So different classes can have one name, if an id is null or
+repeated; ``root`` (the digest of one of its texts) tells them apart. Repeated rows fall in one class. An empty table
 gives an empty result.
 """
 
@@ -234,7 +235,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int = 7) -> DataFrame:
-    """``doc_id, node, class_id`` a row of ``docs`` (doc_id, text).
+    """``doc_id, node, class_id, root`` a row of ``docs`` (doc_id, text); ``root`` is the class itself, ``class_id`` its name.
 
     With 40 bands of 7 registers a pair whose shingle sets have 0.8 is missed as a candidate with probability 8e-5.
     """
@@ -265,15 +266,14 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
 
     out = facts.select("doc_id", "node", F.col("keys").isNull().alias("__own")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = out.where("not __own").groupBy("root").agg(F.min("doc_id").alias("__name"))
-    return out.join(names, "root", "left").select("doc_id", "node", F.when(F.col("__own"), F.col("doc_id")).otherwise(F.col("__name")).alias("class_id"), "__own")
+    return out.join(names, "root", "left").select("doc_id", "node", F.when(F.col("__own"), F.col("doc_id")).otherwise(F.col("__name")).alias("class_id"), "root", "__own")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest ``doc_id``; texts without words all stay."""
     key = F.md5(F.col("text").cast("binary"))
     found = classes(docs.select("doc_id", "text"), **how).where("not __own")
-    best = found.withColumn("__c", F.coalesce(F.col("class_id").cast("string"), F.lit(""))).groupBy("__c") \
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("w")).select("w.doc_id", "w.node")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("w")).select("w.doc_id", "w.node")
     tagged = docs.withColumn("__node", key)
     wordless = tagged.where(~F.coalesce(F.regexp_like("text", F.lit(r"[^ \t\n\x0B\f\r]")), F.lit(False)))
     match = (F.col("d.__node") == F.col("b.node")) & F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))

@@ -226,6 +226,16 @@ def test_near_dedup_odd(spark):
     assert probminhash.classes(empty(spark)).count() == 0 and probminhash.keep_one(empty(spark)).count() == 0
 
 
+def test_near_dedup_keeps_classes_of_one_name_apart(spark):
+    """Different texts under null ids, and under one id."""
+    rng = random.Random(24)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (5, c), (6, c), (5, d), (7, d + " kaba")], "doc_id long, text string")
+    kept = probminhash.keep_one(docs).collect()
+    assert sorted(r.text for r in kept) == sorted([a, b, c, d]) and sorted(str(r.doc_id) for r in kept) == ["5", "5", "None", "None"]
+    assert len({r.root for r in probminhash.classes(docs).collect()}) == 4
+
+
 # substring dedup
 
 def brute_kept(rows):
