@@ -416,3 +416,24 @@ def test_sharding_odd(spark, keep_text):
     check_shards(rows, 4)
     assert [r for r in rows if r.size == 8 and r.text_crc32 == 0]
     assert sharding.shard(empty(spark)).count() == 0
+
+
+def test_sharding_keeps_groups_where_most_rows_are_copies(spark):
+    rng = random.Random(12)
+    pairs = [prose(rng, 6) for _ in range(2400)]
+    rows = sharding.shard(corpus(spark, pairs * 2)).collect()
+    check_shards(rows)
+    of = defaultdict(set)
+    for r in rows:
+        of[r.text].add(r.shard)
+    assert sum(len(s) > 1 for s in of.values()) <= 48
+
+
+def test_sharding_keeps_a_hot_group_in_few_shards(spark):
+    rng = random.Random(13)
+    rows = sharding.shard(corpus(spark, ["hot text"] * 1600 + [prose(rng, 6) for _ in range(800)] * 4)).collect()
+    check_shards(rows)
+    of = defaultdict(set)
+    for r in rows:
+        of[r.text].add(r.shard)
+    assert len(of.pop("hot text")) <= 18 and sum(len(s) > 1 for s in of.values()) <= 48  # a third of all rows is 16 or 17 halves of a shard
