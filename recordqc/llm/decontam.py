@@ -9,8 +9,9 @@ word tells which words lie inside a window, and which items hold it. An item
 shorter than a window counts as a whole.
 
 Null and empty texts have no words; null and empty items give no windows.
-Repeated items give the same windows; their ids are sorted as strings, null ids
-are left out. An empty benchmark leaves every document clean. Extra columns pass
+Repeated items give the same windows; their ids are sorted as strings. Items
+with a null id are hit and cut like others and count as one item in ``n_items``;
+only the list of ids leaves them out. An empty benchmark leaves every document clean. Extra columns pass
 through; columns named like the result's are replaced.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -117,13 +119,13 @@ def pieces_of(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
             step = piece_words - window + 1
             out.append([" ".join(words[i:i + piece_words]) for i in range(0, max(1, len(words) - window + 1), step)] if words else [])
         return [out]
-    named = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    named = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     cut = map_batches(named, made, [("pieces", ArrayType(StringType()))], ["item"])
     return cut.select("item", F.explode("pieces").alias("piece"))
 
 
-def shards_of(benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000) -> list[list[tuple[str, str]]]:
-    """Pieces by shard, each shard fetched by itself and at most twice ``shard_words`` words."""
+def shards_of(benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+    """Number of shards, and their pieces: a shard is fetched when it is asked for and has at most twice ``shard_words`` words."""
     piece_words = max(2 * window, min(10_000, shard_words // 10))
     pieces = stored(pieces_of(benchmark, window, piece_words).distinct(), "benchmark-pieces")
     size = F.size(F.split("piece", " "))
@@ -133,18 +135,18 @@ def shards_of(benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_0
     largest = dealt.groupBy("__shard").agg(F.sum(size).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest > 2 * shard_words:
         raise ValueError(f"a benchmark shard has {largest} words; raise shard_words")
-    return [[(r.item, r.piece) for r in dealt.where(F.col("__shard") == i).select("item", "piece").collect()] for i in range(n)]
+    return n, ([(r.item, r.piece) for r in dealt.where(F.col("__shard") == i).select("item", "piece").collect()] for i in range(n))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000, keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``n_words, n_hit, hit_spans`` (flat start, end pairs in words) ``, hit_items`` (sorted as strings)."""
-    made_names = ["n_words", "n_hit", "hit_spans", "hit_items"]
+    """``docs`` with ``n_words, n_hit, hit_spans`` (flat start, end pairs in words) ``, hit_items`` (sorted as strings) ``, n_items``."""
+    made_names = ["n_words", "n_hit", "hit_spans", "hit_items", "n_items"]
     docs = docs.drop(*made_names)
-    columns, shards = docs.columns, shards_of(benchmark, window, shard_words) or [[]]
+    columns, (n, shards) = docs.columns, shards_of(benchmark, window, shard_words)
     spark = docs.sparkSession
     fields = [("n_words", LongType()), ("hit_spans", ArrayType(IntegerType())), ("hit_items", ArrayType(StringType()))]
-    for k, shard in enumerate(shards):
-        sent, token, last = spark.sparkContext.broadcast(shard), uuid.uuid4().hex, k == len(shards) - 1
+    for k in range(max(n, 1)):
+        sent, token, last = spark.sparkContext.broadcast(next(shards, [])), uuid.uuid4().hex, k >= n - 1
 
         def made(batch, sent=sent, token=token, first=k == 0):
             if token not in _BUILT:
@@ -161,7 +163,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: i
                     found = found.union(before[1][i])
                 counts.append(len(words))
                 spans.append([x for pair in s for x in pair])
-                items.append(sorted(found))
+                items.append(sorted(found - {None}) + [None] * (None in found))
             return [counts, spans, items]
 
         keep = columns if keep_text or not last else [c for c in columns if c != "text"]
@@ -171,6 +173,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: i
     n_hit = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda acc, x: F.when(
         acc["s"] < 0, F.struct(acc["n"].alias("n"), x.cast("long").alias("s"))).otherwise(
         F.struct((acc["n"] + x - acc["s"]).alias("n"), F.lit(-1).cast("long").alias("s"))), lambda acc: acc["n"])
+    docs = docs.withColumn("n_items", F.size("hit_items").cast("long")).withColumn("hit_items", F.filter("hit_items", lambda x: x.isNotNull()))
     return docs.withColumn("n_hit", n_hit).select(*[c for c in docs.columns if c not in made_names], *made_names)
 
 

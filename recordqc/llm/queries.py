@@ -66,7 +66,7 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""")
 def op8(spark, sf_dir):
     docs = decontam.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
-    return docs.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+    return docs.select("doc_id", "n_words", "n_hit", "n_items",
                        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

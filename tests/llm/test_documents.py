@@ -386,6 +386,17 @@ def test_decontamination_odd(spark):
     assert decontam.mark(empty(spark), none).count() == 0 and decontam.decontaminate(odd_rows(spark), none).count() == 10
 
 
+@pytest.mark.parametrize("shard_words", [1_000_000, 60])
+def test_decontamination_of_items_without_id(spark, shard_words):
+    rng = random.Random(14)
+    a, b = prose(rng, 12), prose(rng, 80)
+    bench = spark.createDataFrame([(None, a), (None, b), (7, b)], "item_id long, text string")
+    docs = corpus(spark, [f"mi {a} lo", b, "mi lo"])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.hit_items) for r in decontam.mark(docs, bench, shard_words=shard_words).collect()}
+    assert got == {0: (12, 1, []), 1: (80, 2, ["7"]), 2: (0, 0, [])}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench, shard_words=shard_words).collect()] == [2]
+
+
 # sharding
 
 def check_shards(rows, n=24):
