@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordqc.llm import chat, decontam, langid, mixing, probminhash, quality, secrets, sharding, substring, warc
+from recordqc.llm import chat, decontam, langid, mixing, probminhash, quality, secrets, sharding, substring, suffixes, warc
 from recordqc.llm.common import stored, table
 from recordqc.llm.registry import ORACLES, QUERIES, query
 
@@ -119,3 +119,20 @@ FROM d LEFT JOIN kept USING (doc_id)""")
 def op5(spark, sf_dir):
     kept = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op13_suffix_dedup", """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, b, substr(h, b * 800 + 1, 1198) AS h FROM (SELECT r, h, unnest(range(0, len(h) // 800 + 1)) AS b FROM d)),
+w AS (SELECT r, b * 400 + s AS p, md5(substr(h, s * 2 + 1, 400)) AS g FROM (SELECT r, b, h, unnest(range(0, least(400, len(h) // 2 - 199))) AS s FROM c WHERE len(h) >= 400)),
+m AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, p FROM w SEMI JOIN m USING (g)),
+isl AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200, true) AS new FROM hit),
+run AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM isl) GROUP BY r, k),
+gap AS (SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS f, s AS t, e - s AS n FROM run UNION ALL SELECT r, max(e), NULL, 0 FROM run GROUP BY r),
+kept AS (SELECT r, string_agg(substr(h, f * 2 + 1, CASE WHEN t IS NULL THEN len(h) ELSE (t - f) * 2 END), '' ORDER BY f) AS k, sum(n) AS n, count(t) AS c FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""")
+def op13(spark, sf_dir):
+    kept = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
