@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,7 +16,7 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 TABLE_BITS, ROW_BITS = 27, 1 << 15
 
 
-@cache
+@lru_cache(16)
 def _powers(base: int, size: int) -> np.ndarray:
     a = np.full(size, base, np.uint64)
     a[0] = 1
@@ -25,7 +25,7 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` for i below ``n``."""
-    return _powers(base % 2 ** 64, 1 << max(16, int(n).bit_length()))[:n]
+    return _powers(base % 2 ** 64, -(-n // 2 ** 18) * 2 ** 18)[:n]
 
 
 class Prefixes:

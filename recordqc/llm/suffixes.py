@@ -44,9 +44,9 @@ from recordqc.llm.shingles import mixed
 LENGTH, ANCHOR = 200, 64
 HOT = 2_000
 #: Bytes of text that are hashed at once; a longer text is cut into overlapping blocks. Places take PLACE bits.
-BLOCK, PLACE = 2 << 20, 24
+BLOCK, PLACE = 1 << 19, 24
 #: Byte positions that are ranked at once.
-RANKED = 1 << 19
+RANKED = 1 << 18
 ADDED = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
 
 
