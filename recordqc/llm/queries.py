@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordqc.llm import chat, decontam, langid, mixing, probminhash, quality, secrets, sharding, substring, suffixes, warc
+from recordqc.llm import chat, decontam, divergence, langid, mixing, phrases, probminhash, quality, secrets, sharding, substring, suffixes, warc
 from recordqc.llm.common import stored, table
 from recordqc.llm.registry import ORACLES, QUERIES, query
 
@@ -136,3 +136,49 @@ FROM d LEFT JOIN kept USING (r)""")
 def op13(spark, sf_dir):
     kept = suffixes.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TERMS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+
+
+@query("op11_source_divergence", f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS w FROM documents),
+t AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, sum(c) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS MATERIALIZED (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (n + v) AS p
+    FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (x + 1)) // (sum(x) OVER (PARTITION BY lang) + v) AS q
+    FROM (SELECT lang, term, sum(c) AS x FROM c GROUP BY ALL) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT i.lang, i.source, j.source AS peer, sum(((i.p - j.p) * (i.p - j.p)) // j.p) AS x FROM p i JOIN p j ON i.lang = j.lang AND i.term = j.term AND i.source <> j.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.peer = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p JOIN l USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pair UNION ALL FROM term)
+QUALIFY part = 'pair' OR rank <= 200""")
+def op11(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_phrases", """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS t FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(t, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, n, array_to_string(w[s:s + n - 1], ' ') AS phrase FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM w, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n)),
+f AS MATERIALIZED (SELECT lang, n AS size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+words AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cut AS (SELECT lang, phrase, f AS a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[b:b + n - 1], ' ') AS phrase, max(f) AS within FROM (SELECT lang, f, w, n, unnest(range(1, size - n + 2)) AS b
+    FROM (SELECT *, unnest(range(2, size)) AS n FROM c)) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low LEFT JOIN inner_ USING (lang, phrase) JOIN words USING (lang) WHERE within IS NULL OR 100 * within < 80 * a QUALIFY rank <= 2000""")
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
