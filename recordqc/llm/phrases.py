@@ -3,15 +3,13 @@
 Texts are lower-cased (A-Z), split into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces into words ``[^\\x20\\x09]+``. Everything is counted
 per language (null: ``und``). Three readings of the texts:
 
-1. Prefix polynomials of the bytes give the fingerprint of every sequence of one and two words. Tasks sum
-   their own, a shuffle sums the rest; those with ``least`` occurrences go into a bit table of fixed size.
-2. A longer phrase is frequent only if all its pairs are. Fingerprints of three and four words whose pairs are in the table
-   are summed likewise and join the table.
-3. Where a fingerprint is in the table, its occurrences in a slice are pointed to: all of them are compared, byte by byte, with the first one's text,
-   unlike ones are counted by themselves, and the text is made once a fingerprint. The shuffle then sums by text. So fingerprints only spare
-   work: two phrases with one fingerprint, or a bit that another set, change no count.
+1. Prefix polynomials of the bytes give the fingerprint of every sequence of one and two words. Tasks sum their own, a shuffle sums the rest and keeps
+   one occurrence as a pointer (a hash of the text and the place). Fingerprints with ``least`` occurrences go into a bit table of fixed size.
+2. A longer phrase is frequent only if all its pairs are. Fingerprints of three and four words whose pairs are in the table are summed likewise.
+3. Only what is frequent gets a text: where an occurrence's pointer is among those kept (a bit table again, then an exact join), its words are read.
 
-Pointers stay inside a task, which has the text at hand; sending them through the shuffle would mean joining texts to them.
+Each occurrence carries 32 bits of a second fingerprint. If a fingerprint has unlike ones, two phrases have it: the texts are read once more and these are
+counted by text. So a table that lets too much through, or a shared fingerprint, changes no count; two phrases that agree in 96 bits would.
 
 The rest is DataFrame code: the cuts of a candidate are joined to the counts of their parts, the lowest score counts. A candidate
 goes if a longer one holds it and is at least ``cover`` percent as frequent.
@@ -26,11 +24,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordqc.llm.common import stored
-from recordqc.llm.rolling import Prefixes, found, table_of
+from recordqc.llm.rolling import BASES, Prefixes, found, table_of
 from recordqc.llm.shingles import mixed, word_hashes
 from recordqc.operators.scale import ranked
 
@@ -41,12 +40,13 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcde
 
 
 class _Slice:
-    """Words of some texts of one language; sequences are (first word, byte start, byte end)."""
+    """Words of some texts of one language, with the place of each word as a hash."""
 
-    def __init__(self, lang: str, data: bytes, start, end, piece):
-        self.start, self.end, self.piece = start, end, piece
+    def __init__(self, lang: str, data: bytes, start, end, piece, place):
+        self.start, self.end, self.piece, self.place = start, end, piece, place
         self.data = data
-        self.prefixes = Prefixes(np.frombuffer(data, np.uint8))
+        raw = np.frombuffer(data, np.uint8)
+        self.prefixes, self.second = Prefixes(raw), Prefixes(raw, BASES[1])
         self.lang = word_hashes([lang.encode()])[0]
 
     def sequences(self, n: int, words: int):
@@ -56,6 +56,12 @@ class _Slice:
         inside = self.piece[:size] == self.piece[n - 1:n - 1 + size]
         return mixed(self.prefixes.hashes(start, end) ^ self.lang), start, end, inside
 
+    def pointers(self, n: int, rows) -> np.ndarray:
+        return mixed(self.place[rows] + np.uint64(n)).view(np.int64)
+
+    def checks(self, start, end) -> np.ndarray:
+        return (self.second.hashes(start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
 def _slices(batches, block: int):
     """(lang, slice, words that begin sequences); three more words follow them where the text goes on."""
@@ -68,125 +74,133 @@ def _slices(batches, block: int):
         for lang, parts in texts.items():
             at = 0
             while at < len(parts):
-                take, size = at, 0
-                while take < len(parts) and (take == at or size + len(parts[take]) <= block):
-                    size += len(parts[take])
-                    take += 1
-                data = b"\n".join(parts[at:take]).translate(_FOLD)
-                at = take
-                while b"  " in data:
-                    data = data.replace(b"  ", b" ")
+                folded, heads, size = [], [], 0
+                while at < len(parts) and (not folded or size + len(parts[at]) <= block):
+                    text = parts[at].translate(_FOLD)
+                    while b"  " in text:
+                        text = text.replace(b"  ", b" ")
+                    heads.append(xxhash.xxh3_64_intdigest(parts[at]))
+                    folded.append(text)
+                    size += len(parts[at])
+                    at += 1
+                data = b"\n".join(folded)
                 x = np.frombuffer(data, np.uint8)
                 gap = np.ones(len(x) + 2, bool)
                 gap[1:-1] = (x == 32) | (x == 10)
                 start, end = np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
                 piece = np.cumsum(x == 10, dtype=np.int64)[start]
+                offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in folded])))
+                text = np.searchsorted(offset, start, "right") - 1
+                place = mixed(np.array(heads, np.uint64)[text] + mixed((start - offset[text]).astype(np.uint64)))
                 first = 0
                 while first < len(start):
                     last = max(first + 1, int(np.searchsorted(start, start[first] + block)))
                     upto = min(last + MOST - 1, len(start))
-                    base = int(start[first])
-                    yield lang, _Slice(lang, data[base:end[upto - 1]], start[first:upto] - base, end[first:upto] - base, piece[first:upto]), last - first
+                    base, cut = int(start[first]), slice(first, upto)
+                    yield lang, _Slice(lang, data[base:end[upto - 1]], start[cut] - base, end[cut] - base, piece[cut], place[cut]), last - first
                     first = last
 
 
-def _summed(keys, counts):
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    out = np.zeros(len(key), np.int64)
-    np.add.at(out, where, np.concatenate(counts))
-    return key, out
+def _summed(rows):
+    """Sums and a pointer for each fingerprint; unlike checks of one fingerprint stay apart."""
+    key, n, occ, check = (np.concatenate(x) for x in zip(*rows))
+    if not len(key):
+        return key, n, occ, check
+    order = np.argsort(key, kind="stable")
+    key, check = key[order], check[order]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))))
+    return key[new], np.add.reduceat(n[order], new, dtype=np.int32), np.minimum.reduceat(occ[order], new), check[new]
 
 
 def _fingerprints(block, pairs=None):
     """Fingerprints and their numbers: of one and two words, or of three and four whose pairs are in the table."""
+    def batch(rows):
+        key, n, occ, check = rows
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(occ), pa.array(check)], names=["key", "n", "occ", "c"])
+
     def run(batches):
-        keys, counts, held = [], [], 0
+        held, size = [], 0
         for _, s, words in _slices(batches, block):
-            if pairs is None:
-                made = [f[ok] for f, _, _, ok in (s.sequences(n, words) for n in (1, 2))]
-            else:
+            if pairs is not None:
                 f, _, _, ok = s.sequences(2, words + MOST)
                 good = ok & found(pairs.value, f)
-                made = []
-                for n in range(3, MOST + 1):
-                    f, _, _, _ = s.sequences(n, words)
-                    both = np.ones(len(f), bool)
-                    for k in range(n - 1):
-                        both &= good[k:k + len(f)]
-                    made.append(f[both])
-            key, n = np.unique(np.concatenate(made), return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held >= HELD:
-                key, n = _summed(keys, counts)
-                keys, counts, held = [key], [n], len(key)
-                if held > HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-                    keys, counts, held = [], [], 0
-        if keys:
-            key, n = _summed(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-    return run, "key long, n long"
-
-
-def unlike(data: bytes, start, end, other, other_end) -> np.ndarray:
-    """Which stretches of ``data`` differ from the ones they are pointed to."""
-    words = np.ndarray((len(data) + 1,), "<u8", data + b"\0" * 8, strides=(1,))
-    size = end - start
-    bad = size != other_end - other
-    rows = np.flatnonzero(~bad & (start != other))
-    at = 0
-    while len(rows):
-        left = np.minimum(size[rows] - at, 8).astype(np.uint64)
-        mask = ~np.uint64(0) >> ((np.uint64(8) - left) * np.uint64(8))
-        differ = ((words[start[rows] + at] ^ words[other[rows] + at]) & mask) != 0
-        bad[rows[differ]] = True
-        at += 8
-        rows = rows[~differ & (size[rows] > at)]
-    return bad
-
-
-def _phrases(block, frequent):
-    """Texts of the frequent fingerprints with their numbers; the empty phrase has the number of words."""
-    def rows(held):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()),
-                                           pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "n"])
+            made = []
+            for n in (1, 2) if pairs is None else range(3, MOST + 1):
+                f, start, end, ok = s.sequences(n, words)
+                for k in range(n - 1 if pairs is not None else 0):
+                    ok = ok & good[k:k + len(f)]
+                rows = np.flatnonzero(ok)
+                made.append((f[rows], np.ones(len(rows), np.int32), s.pointers(n, rows), s.checks(start[rows], end[rows])))
+            held.append(_summed(made))
+            size += len(held[-1][0])
+            if size >= HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield batch(held[0])
+                    held, size = [], 0
+        if held:
+            yield batch(_summed(held))
+    return run, "key long, n int, occ long, c int"
+
 
+def _texts(block, chosen):
+    """Phrases at the places that are pointed to, and the number of words of each language as the empty phrase."""
     def run(batches):
-        held = Counter()
+        words_of = Counter()
         for lang, s, words in _slices(batches, block):
-            held[lang, b""] += words
+            words_of[lang] += words
             for n in range(1, MOST + 1):
                 f, start, end, ok = s.sequences(n, words)
-                ok &= found(frequent.value, f)
-                f, start, end = f[ok], start[ok], end[ok]
-                _, first, group, times = np.unique(f, return_index=True, return_inverse=True, return_counts=True)
-                bad = unlike(s.data, start, end, start[first[group]], end[first[group]])
-                if bad.any():
-                    times = times - np.bincount(group[bad], minlength=len(times))
-                    for i in np.flatnonzero(bad).tolist():
-                        held[lang, s.data[start[i]:end[i]]] += 1
-                for a, b, t in zip(start[first].tolist(), end[first].tolist(), times.tolist()):
-                    held[lang, s.data[a:b]] += t
-            if len(held) > HELD // 4:
-                yield rows(held)
-                held = Counter()
-        if held:
-            yield rows(held)
-    return run, "lang string, phrase binary, n long"
+                rows = np.flatnonzero(ok)
+                occ = s.pointers(n, rows)
+                hit = found(chosen.value, occ)
+                rows, occ = rows[hit], occ[hit]
+                _, first = np.unique(occ, return_index=True)
+                rows, occ = rows[first], occ[first]
+                if len(rows):
+                    text = [s.data[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(f[rows].view(np.int64)), pa.array(occ), pa.array([lang] * len(rows), pa.string()),
+                                                      pa.array(text, pa.binary()), pa.nulls(len(rows), pa.int64())], names=["key", "occ", "lang", "phrase", "n"])
+        if words_of:
+            none = pa.nulls(len(words_of), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(list(words_of), pa.string()), pa.array([b""] * len(words_of), pa.binary()),
+                                              pa.array(list(words_of.values()), pa.int64())], names=["key", "occ", "lang", "phrase", "n"])
+    return run, "key long, occ long, lang string, phrase binary, n long"
+
+
+def _by_text(block, keys):
+    """Occurrences of fingerprints in a table, counted by their texts."""
+    def run(batches):
+        for lang, s, words in _slices(batches, block):
+            held = Counter()
+            for n in range(1, MOST + 1):
+                f, start, end, ok = s.sequences(n, words)
+                rows = np.flatnonzero(ok & found(keys.value, f))
+                held.update(zip(f[rows].view(np.int64).tolist(), (s.data[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist()))))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()), pa.array([lang] * len(held), pa.string()),
+                                                  pa.array([t for _, t in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["key", "lang", "phrase", "f"])
+    return run, "key long, lang string, phrase binary, f long"
 
 
 def counts(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(lang, phrase, f): phrases of one to four words with ``least`` occurrences or more, and all words of a language as the phrase ''."""
     share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.col("text").cast("binary"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    often = lambda made: texts.mapInArrow(*made).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+    often = lambda made: texts.mapInArrow(*made).groupBy("key").agg(
+        F.sum("n").alias("f"), F.min("occ").alias("occ"), (F.min("c") != F.max("c")).alias("unlike")).where(F.col("f") >= least)
     short = stored(often(_fingerprints(block)), "fingerprints")
     long = often(_fingerprints(block, share(table_of(short))))
-    frequent = share(table_of(short.unionByName(long)))
-    summed = texts.mapInArrow(*_phrases(block, frequent)).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-    return summed.withColumn("phrase", F.col("phrase").cast("string")).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    frequent = stored(short.unionByName(long), "frequent")
+    read = stored(texts.mapInArrow(*_texts(block, share(table_of(frequent, "occ")))), "phrase-texts")
+    named = read.where("key is not null").select("key", "occ", "lang", "phrase").distinct().join(frequent.where("not unlike"), ["key", "occ"]).select("lang", "phrase", "f")
+    words = read.where("key is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    unlike = frequent.where("unlike").select("key")
+    if unlike.limit(1).count():
+        again = texts.mapInArrow(*_by_text(block, share(table_of(unlike)))).join(unlike, "key", "left_semi")
+        named = named.unionByName(again.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    return named.unionByName(words).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = TOP, block: int = BLOCK) -> DataFrame:

@@ -110,17 +110,37 @@ def test_phrases_equal_plain_counts(spark, block):
 
 
 def test_phrases_with_a_full_table(spark, monkeypatch):
-    """Fingerprints that the table lets through wrongly change no count."""
-    monkeypatch.setattr(phrases, "table_of", lambda keys: b"\xff" * (1 << 13))
+    """What a table lets through wrongly changes no count."""
+    monkeypatch.setattr(phrases, "table_of", lambda keys, column="key": b"\xff" * (1 << 13))
     rows = spoken()
     got = {tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), 12, 80, 25).collect()}
     assert got == mined(rows, 12, 80, 25)
 
 
-def test_occurrences_are_compared_by_bytes():
-    data = b"new york|new fork|new york|new yorker|ab"
-    start, end = np.array([0, 9, 18, 27, 38]), np.array([8, 17, 26, 37, 40])
-    assert phrases.unlike(data, start, end, np.zeros(5, int), np.full(5, 8)).tolist() == [False, True, False, True, True]
+def test_phrases_with_shared_fingerprints(spark, monkeypatch):
+    """Phrases that share fingerprints are counted by text."""
+    made = phrases._fingerprints
+
+    def colliding(block, pairs=None):
+        run, schema = made(block, pairs)
+
+        def shared(batches):
+            import pyarrow.compute as pc
+            for b in run(batches):
+                odd = pc.equal(pc.bit_wise_and(b.column(0), 3), 1)
+                yield b.set_column(3, "c", pc.if_else(odd, pc.cast(pc.bit_wise_and(b.column(2), 1), "int32"), b.column(3)))
+        return shared, schema
+
+    monkeypatch.setattr(phrases, "_fingerprints", colliding)
+    rows = spoken()
+    got = {tuple(r) for r in phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), 12, 80, 25, 500).collect()}
+    assert got == mined(rows, 12, 80, 25)
+
+
+def test_sums_keep_unlike_checks_apart():
+    import numpy as np
+    key, n, occ, check = (np.array(x) for x in ([7, 5, 7, 7], [1, 1, 2, 4], [9, 8, 3, 1], [0, 0, 0, 1]))
+    assert [x.tolist() for x in phrases._summed([(key, n, occ, check)])] == [[5, 7, 7], [1, 3, 4], [8, 3, 1], [0, 0, 1]]
 
 
 def test_phrases_odd(spark):
