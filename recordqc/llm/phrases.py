@@ -8,8 +8,9 @@ per language (null: ``und``). Three readings of the texts:
 2. A longer phrase is frequent only if all its pairs are. Fingerprints of three and four words whose pairs are in the table are summed likewise.
 3. Only what is frequent gets a text: where an occurrence's pointer is among those kept (a bit table again, then an exact join), its words are read.
 
-Each occurrence carries 32 bits of a second fingerprint. If a fingerprint has unlike ones, two phrases have it: the texts are read once more and these are
-counted by text. So a table that lets too much through, or a shared fingerprint, changes no count; two phrases that agree in 96 bits would.
+Each pointer carries 12 bits of a second fingerprint, and their sum over all occurrences is compared to what equal ones give. If it differs, two phrases
+have the fingerprint: the texts are read once more and these are counted by text. So a table that lets too much through, or a shared fingerprint,
+changes no count; two phrases that agree in 76 bits would.
 
 The rest is DataFrame code: the cuts of a candidate are joined to the counts of their parts, the lowest score counts. A candidate
 goes if a longer one holds it and is at least ``cover`` percent as frequent.
@@ -35,7 +36,8 @@ from recordqc.operators.scale import ranked
 
 LEAST, COVER, TOP, MOST = 30, 80, 2000, 4
 #: Bytes of text whose words are hashed at once; entries that a task holds before it sends them.
-BLOCK, HELD = 1 << 19, 1 << 20
+BLOCK, HELD = 1 << 19, 1 << 19
+CHECK = np.uint64((1 << 12) - 1)  # so that sums of checks stay in 64 bits up to 2e15 occurrences
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
 
@@ -56,67 +58,73 @@ class _Slice:
         inside = self.piece[:size] == self.piece[n - 1:n - 1 + size]
         return mixed(self.prefixes.hashes(start, end) ^ self.lang), start, end, inside
 
-    def pointers(self, n: int, rows) -> np.ndarray:
-        return mixed(self.place[rows] + np.uint64(n)).view(np.int64)
-
-    def checks(self, start, end) -> np.ndarray:
-        return (self.second.hashes(start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def pointers(self, n: int, rows, start, end) -> np.ndarray:
+        """52 bits of the place and 12 of a second fingerprint."""
+        return (mixed(self.place[rows] + np.uint64(n)) & ~CHECK | self.second.hashes(start, end) >> np.uint64(52)).view(np.int64)
 
 
 def _slices(batches, block: int):
     """(lang, slice, words that begin sequences); three more words follow them where the text goes on."""
-    for batch in batches:
-        texts = defaultdict(list)
-        for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-            raw = text.as_buffer()
-            if raw is not None and raw.size:
-                texts[lang].append(raw.to_pybytes())
-        for lang, parts in texts.items():
-            at = 0
-            while at < len(parts):
-                folded, heads, size = [], [], 0
-                while at < len(parts) and (not folded or size + len(parts[at]) <= block):
-                    text = parts[at].translate(_FOLD)
-                    while b"  " in text:
-                        text = text.replace(b"  ", b" ")
-                    heads.append(xxhash.xxh3_64_intdigest(parts[at]))
-                    folded.append(text)
-                    size += len(parts[at])
-                    at += 1
-                data = b"\n".join(folded)
-                x = np.frombuffer(data, np.uint8)
-                gap = np.ones(len(x) + 2, bool)
-                gap[1:-1] = (x == 32) | (x == 10)
-                start, end = np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
-                piece = np.cumsum(x == 10, dtype=np.int64)[start]
-                offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in folded])))
-                text = np.searchsorted(offset, start, "right") - 1
-                place = mixed(np.array(heads, np.uint64)[text] + mixed((start - offset[text]).astype(np.uint64)))
-                first = 0
-                while first < len(start):
-                    last = max(first + 1, int(np.searchsorted(start, start[first] + block)))
-                    upto = min(last + MOST - 1, len(start))
-                    base, cut = int(start[first]), slice(first, upto)
-                    yield lang, _Slice(lang, data[base:end[upto - 1]], start[cut] - base, end[cut] - base, piece[cut], place[cut]), last - first
-                    first = last
+    def parts():
+        held, size = defaultdict(list), Counter()
+        for batch in batches:
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+                raw = text.as_buffer()
+                if raw is not None and raw.size:
+                    held[lang].append(raw.to_pybytes())
+                    size[lang] += raw.size
+                    if size[lang] >= block:
+                        size[lang] = 0
+                        yield lang, held.pop(lang)
+            if size.total() >= 16 * block:
+                yield from held.items()
+                held.clear()
+                size.clear()
+        yield from held.items()
+
+    for lang, part in parts():
+        folded, heads = [], []
+        for raw in part:
+            text = raw.translate(_FOLD)
+            while b"  " in text:
+                text = text.replace(b"  ", b" ")
+            heads.append(xxhash.xxh3_64_intdigest(raw))
+            folded.append(text)
+        data = b"\n".join(folded)
+        x = np.frombuffer(data, np.uint8)
+        gap = np.ones(len(x) + 2, bool)
+        gap[1:-1] = (x == 32) | (x == 10)
+        start, end = np.flatnonzero(gap[:-2] & ~gap[1:-1]), np.flatnonzero(~gap[1:-1] & gap[2:]) + 1
+        piece = np.cumsum(x == 10, dtype=np.int64)[start]
+        offset = np.concatenate(([0], np.cumsum([len(t) + 1 for t in folded])))
+        text = np.searchsorted(offset, start, "right") - 1
+        place = mixed(np.array(heads, np.uint64)[text] + mixed((start - offset[text]).astype(np.uint64)))
+        first = 0
+        while first < len(start):
+            last = max(first + 1, int(np.searchsorted(start, start[first] + block)))
+            upto = min(last + MOST - 1, len(start))
+            base, cut = int(start[first]), slice(first, upto)
+            yield lang, _Slice(lang, data[base:end[upto - 1]], start[cut] - base, end[cut] - base, piece[cut], place[cut]), last - first
+            first = last
 
 
 def _summed(rows):
     """Sums and a pointer for each fingerprint; unlike checks of one fingerprint stay apart."""
-    key, n, occ, check = (np.concatenate(x) for x in zip(*rows))
+    key, n, occ = (np.concatenate(x) for x in zip(*rows))
     if not len(key):
-        return key, n, occ, check
+        return key, n, occ
     order = np.argsort(key, kind="stable")
-    key, check = key[order], check[order]
+    key, occ = key[order], occ[order]
+    check = occ.view(np.uint64) & CHECK
     new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))))
-    return key[new], np.add.reduceat(n[order], new, dtype=np.int32), np.minimum.reduceat(occ[order], new), check[new]
+    return key[new], np.add.reduceat(n[order], new, dtype=np.int32), np.minimum.reduceat(occ, new)
 
 
 def _fingerprints(block, pairs=None):
     """Fingerprints and their numbers: of one and two words, or of three and four whose pairs are in the table."""
     def batch(rows):
-        key, n, occ, check = rows
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(occ), pa.array(check)], names=["key", "n", "occ", "c"])
+        key, n, occ = rows
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(occ), pa.array(n * (occ & np.int64(CHECK)))], names=["key", "n", "occ", "c"])
 
     def run(batches):
         held, size = [], 0
@@ -124,15 +132,13 @@ def _fingerprints(block, pairs=None):
             if pairs is not None:
                 f, _, _, ok = s.sequences(2, words + MOST)
                 good = ok & found(pairs.value, f)
-            made = []
             for n in (1, 2) if pairs is None else range(3, MOST + 1):
                 f, start, end, ok = s.sequences(n, words)
                 for k in range(n - 1 if pairs is not None else 0):
                     ok = ok & good[k:k + len(f)]
                 rows = np.flatnonzero(ok)
-                made.append((f[rows], np.ones(len(rows), np.int32), s.pointers(n, rows), s.checks(start[rows], end[rows])))
-            held.append(_summed(made))
-            size += len(held[-1][0])
+                held.append(_summed([(f[rows], np.ones(len(rows), np.int32), s.pointers(n, rows, start[rows], end[rows]))]))
+                size += len(held[-1][0])
             if size >= HELD:
                 held = [_summed(held)]
                 size = len(held[0][0])
@@ -141,7 +147,7 @@ def _fingerprints(block, pairs=None):
                     held, size = [], 0
         if held:
             yield batch(_summed(held))
-    return run, "key long, n int, occ long, c int"
+    return run, "key long, n int, occ long, c long"
 
 
 def _texts(block, chosen):
@@ -153,9 +159,8 @@ def _texts(block, chosen):
             for n in range(1, MOST + 1):
                 f, start, end, ok = s.sequences(n, words)
                 rows = np.flatnonzero(ok)
-                occ = s.pointers(n, rows)
-                hit = found(chosen.value, occ)
-                rows, occ = rows[hit], occ[hit]
+                rows = rows[found(chosen.value, mixed(s.place[rows] + np.uint64(n)))]
+                occ = s.pointers(n, rows, start[rows], end[rows])
                 _, first = np.unique(occ, return_index=True)
                 rows, occ = rows[first], occ[first]
                 if len(rows):
@@ -189,7 +194,8 @@ def counts(docs: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame
     share = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.col("text").cast("binary"), F.coalesce("lang", F.lit("und")).alias("lang"))
     often = lambda made: texts.mapInArrow(*made).groupBy("key").agg(
-        F.sum("n").alias("f"), F.min("occ").alias("occ"), (F.min("c") != F.max("c")).alias("unlike")).where(F.col("f") >= least)
+        F.sum("n").alias("f"), F.min("occ").alias("occ"),
+        (F.sum("c") != F.sum("n") * F.min("occ").bitwiseAND(F.lit(int(CHECK)))).alias("unlike")).where(F.col("f") >= least)
     short = stored(often(_fingerprints(block)), "fingerprints")
     long = often(_fingerprints(block, share(table_of(short))))
     frequent = stored(short.unionByName(long), "frequent")
