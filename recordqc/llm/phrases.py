@@ -36,7 +36,7 @@ from recordqc.operators.scale import ranked
 
 LEAST, COVER, TOP, MOST = 30, 80, 2000, 4
 #: Bytes of text whose words are hashed at once; entries that a task holds before it sends them.
-BLOCK, HELD = 1 << 19, 1 << 19
+BLOCK, HELD = 1 << 18, 1 << 17
 CHECK = np.uint64((1 << 12) - 1)  # so that sums of checks stay in 64 bits up to 2e15 occurrences
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
