@@ -94,6 +94,38 @@ VIEWS: dict[str, str] = {
                ELSE 'COVER SHEET' || chr(10) || 'SHEET INDEX' || chr(10) || 'DESIGN CONSULTANT TEAM' || chr(10) || 'OWNER: ACME' || chr(10)
                      || CASE WHEN doc_id % 4 = 1 THEN 'NO SHEET KEYNOTES' ELSE 'VICINITY MAP' END || chr(10) END || text AS text
       FROM @documents""",
+    # front matter in six forms before each text: a run before the heading, numbers behind it, entries on one line, none, too short a run, named covers
+    "index_pages": """
+      SELECT source AS set_id, CAST(floor(doc_id / 20) AS BIGINT) + 1 AS page_number, doc_id,
+             CASE doc_id % 6
+               WHEN 0 THEN 'PROJECT 12345-678' || chr(10) || 'A' || (100 + doc_id % 90) || chr(10) || 'a-' || (200 + doc_id % 50) || chr(10) || 'S ' || (100 + doc_id % 70) || chr(10)
+                     || 'M101' || chr(10) || 'DRAWING  INDEX' || chr(10) || 'FLOOR PLAN' || chr(10) || 'E' || (doc_id % 9) || '.1' || chr(10) || 'POWER PLAN' || chr(10)
+               WHEN 1 THEN 'G001' || chr(10) || 'COVER NOTES' || chr(10) || 'Index of Sheets' || chr(10) || 'G00' || (doc_id % 5) || chr(10) || 'COVER SHEET' || chr(10) || 'ADA' || chr(10)
+                     || 'FP-' || (100 + doc_id % 30) || chr(10) || '  ' || chr(10) || 'SPRINKLER PLAN' || chr(10)
+               WHEN 2 THEN 'see the sheet list' || chr(10) || 'A' || (100 + doc_id % 90) || '  floor plan level ' || (doc_id % 4) || chr(10) || 'A' || (300 + doc_id % 40) || '.2: SECTION' || chr(10)
+                     || 'A7 100 Main Street' || chr(10) || 'ADA notes' || chr(10) || 'REVISION HISTORY' || chr(10)
+               WHEN 3 THEN 'A900' || chr(10) || 'LEGEND' || chr(10)
+               WHEN 4 THEN 'A1' || chr(10) || 'A2' || chr(10) || 'SHEET INDEX  P' || (doc_id % 60) || ' PLUMBING' || chr(10) || 'A3 01/02/2024' || chr(10)
+               ELSE 'SHEET' || chr(10) || 'INDEX' || chr(10) || 'CS- NORTH' || (doc_id % 3) || ' COVER SHEET' || chr(10) || 'ADA' || chr(10) || 'CS' || chr(10) || 'cover  sheet' || chr(10) END || text AS text
+      FROM @documents""",
+    # views in twelve forms before each text: scale before, behind, on the line, absent; references, notes, index rows, schedules, site and roof plans
+    "view_pages": """
+      SELECT source AS set_id, CAST(floor(doc_id / 20) AS BIGINT) + 1 AS page_number, doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'A' || (100 + doc_id % 90) END AS sheet_number,
+             CASE WHEN doc_id % 23 = 0 THEN 'COVER SHEET' WHEN doc_id % 12 = 8 THEN 'DOOR DETAILS' ELSE 'PLANS' END AS sheet_title, doc_id % 19 = 0 AS is_cover, doc_id % 24 = 5 AS scale_mark,
+             CASE doc_id % 12
+               WHEN 0 THEN '1/8" = 1''-0"' || chr(10) || (1 + doc_id % 9) || chr(10) || 'FLOOR PLAN' || chr(10) || '4' || chr(10) || 'ENLARGED  FLOOR PLAN N.T.S.' || chr(10)
+               WHEN 1 THEN (1 + doc_id % 9) || chr(10) || 'BUILDING SECTION' || chr(10) || 'ROOF ASSEMBLY' || chr(10) || chr(10) || '2 wall section' || chr(10) || 'x' || chr(10) || '3/4” = 1’-0”' || chr(10)
+               WHEN 2 THEN 'REFER TO FLOOR PLAN 3' || chr(10) || 'ref: ROOF PLAN 2' || chr(10) || 'KEYNOTES 5 ROOF PLAN' || chr(10) || '6 SITE PLAN FOR LOCATION' || chr(10) || '7 POWER PLAN' || chr(10)
+               WHEN 3 THEN 'LIST OF SHEETS' || chr(10) || 'A101' || chr(10) || '3 FLOOR PLAN' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || '9 RCP' || chr(10)
+               WHEN 4 THEN 'A' || (100 + doc_id % 90) || ' SITE PLAN' || chr(10) || '12B SITE PLAN no scale' || chr(10) || '5 DOOR JAMB DETAIL 6 WALL DETAIL 1" = 20''' || chr(10)
+               WHEN 5 THEN '1 SITE PLAN' || chr(10) || 'GRAPHIC' || chr(10)
+               WHEN 6 THEN 'DOOR SCHEDULE' || chr(10) || '1 FLOOR PLAN' || chr(10)
+               WHEN 7 THEN 'ROOF PLAN 8' || chr(10) || '9 ROOF PLAN SEE LEGEND' || chr(10) || '10 TRIM SEE DETAIL' || chr(10) || 'PERSPECTIVE' || chr(10) || 'q' || chr(10) || '2.1' || chr(10)
+               WHEN 8 THEN 'WINDOW SILL DETAIL AS SCHEDULED 1 WALL SECTION' || chr(10)
+               WHEN 9 THEN '3 FLOOR PLAN' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' || chr(10) || 'f' || chr(10) || '3 FLOOR PLAN' || chr(10) || '1/4" = 1''-0"' || chr(10)
+               WHEN 10 THEN 'FLOOR PLAN' || chr(10) || '1/4" = 1''-0" 7' || chr(10) || 'f1' || chr(10) || 'interior elevation' || chr(10)
+               ELSE '' END || text AS text
+      FROM @documents""",
     "page_index": """
       SELECT source AS set_id, doc_id AS index_position, CASE WHEN doc_id % 8 < 5 THEN 'A' || (100 + doc_id % 90) ELSE 'CV-' || (doc_id % 50) END AS sheet_number,
              CASE WHEN doc_id % 8 > 4 OR doc_id % 11 = 0 THEN 'Cover  sheet ' || (doc_id % 3) ELSE 'FLOOR PLAN' END AS sheet_name
