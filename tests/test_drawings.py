@@ -22,7 +22,7 @@ COLUMN = ["CS", "ADA1", "AD1.0", "A1.01", "M1.1", "E1.1", "P3.1"]
     ("SHEET INDEX\nADA STANDARDS & GENERAL NOTES\nCS\nG1.01\nADA\nAD1.01", [("CS", ""), ("G1.01", ""), ("ADA", ""), ("AD1.01", "")]),
     ("\n".join(COLUMN + ["N.T.S.", "VICINITY MAP", "SHEET INDEX", "COVER SHEET", "FIRE PROTECTION PLAN", "FP1.1"]), [(n, "") for n in COLUMN + ["FP1.1"]]),
     ("A9\nA8\nx\nSHEET INDEX\nG1\nG2\nG1", [("G1", ""), ("G2", "")]),
-    ("Drawing List\nSHEET LIST: A101 Floor Plan\nA102 - 12 Main Street\nA103 12345", [("A101", "SHEET LIST:  FLOOR PLAN"), ("A102", ""), ("A103", "")]),
+    ("Drawing List\nSHEET LIST: A101 Floor Plan\nA102 - 1200 Main Street\nA103 12345", [("A101", "SHEET LIST:  FLOOR PLAN"), ("A102", ""), ("A103", "")]),
     ("\n".join(["SHEET INDEX", "CS"] + [f"DETAILS {i}" for i in range(70)] + ["PP01", "FP1.01"]), [("CS", ""), ("PP01", ""), ("FP1.01", "")]),
     ("SHEET\nINDEX\nA1 ROOF PLAN", [("A1", "ROOF PLAN")]), ("NO HEADING\nA1", []), ("", [])])
 def test_index_entries(spark, text, found):
