@@ -94,3 +94,62 @@ IN_FRAGMENT = lambda x: rf"CASE WHEN regexp_full_match({FRAGMENT(x)}, '(?i){DETA
   FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, d, view ORDER BY scale = '', i, k) = 1""")
 def _(t):
     return O.missing_scales(t.view_pages)
+
+
+NORM = lambda c: rf"upper(regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{N}}.]', '', 'g'))"
+PRE = lambda c: f"regexp_extract({c}, '^([A-Z]+)', 1)"
+DRAWN = lambda c: f"""((visual_present AND visual_confidence >= 70) OR ({PRE(c)} IN ('C', 'S', 'SD') AND dark_pixels >= 1800 AND ink_pixels >= 2200)
+    OR ({PRE(c)} IN ('AD', 'AS', 'D', 'E', 'ED', 'EL', 'EP', 'ES', 'FP', 'FA', 'FS', 'I', 'ID', 'IR', 'M', 'MD', 'MG', 'MP', 'MS', 'P', 'PD', 'MEP', 'MEPD') AND dark_pixels >= 850 AND ink_pixels >= 1200))"""
+LABELLED = lambda c: rf"""coalesce(NOT ({c} IN ('CS', 'COVER') AND regexp_matches(label_text, '(?i)\bCIVIL\b')) AND ((lab <> '' AND lab = {c}) OR (lab = 'SI' AND {c} = 'S1'
+    AND regexp_matches(label_text || chr(10) || title_block_text || chr(10) || text, '(?i)\bGENERAL\s+NOTES\b') AND regexp_matches(label_text || chr(10) || title_block_text || chr(10) || text, '(?i)\bSTRUCTURAL\b'))), false)"""
+
+
+@query("s6_sheet_identity", rf"""WITH i AS MATERIALIZED (SELECT *, {NORM('sheet_number')} AS num FROM @identity_index WHERE {NORM('sheet_number')} <> ''),
+  p AS (SELECT *, {NORM('sheet_number')} AS own, {NORM('label_number')} AS lab, sheet_source IN ('sheet_index_position') AS inf,
+      cover_type = 'secondary' AND NOT regexp_full_match(upper(sheet_number), 'B[- ]?\d+(\.\d+)?|C[- ]?0(\.0+)?') AS sec FROM @identity_pages),
+  q AS MATERIALIZED (SELECT *, regexp_replace(upper(title_block_text || ' ' || CASE WHEN inf THEN '' ELSE sheet_name END), '\s+', ' ', 'g') AS ctx,
+      page_number - (SELECT count(*) FROM p o WHERE o.set_id = p.set_id AND o.sec AND o.page_number < p.page_number) AS pos FROM p),
+  c AS (SELECT *, CASE WHEN is_cover OR cover_type <> '' THEN NULL WHEN NOT regexp_matches(ctx, '\b(DEMOLITION|DEMO)\b') THEN CASE WHEN regexp_matches(ctx, '\b(ACCESSIBILITY|ADA)\b') THEN 'ADA' END
+      WHEN regexp_matches(ctx, '\bELECTRICAL\b') THEN 'ED' WHEN regexp_matches(ctx, '\bPLUMBING\b') THEN 'PD' WHEN regexp_matches(ctx, '\bMECHANICAL\b') THEN 'MD' WHEN regexp_matches(ctx, '\bARCHITECTURAL\b') THEN 'AD'
+      WHEN regexp_matches(ctx, '\b(ACCESSIBILITY|ADA)\b') THEN 'ADA' END AS clue, (SELECT bool_and(o.pos IN (SELECT index_position FROM i WHERE i.set_id = o.set_id)) FROM q o WHERE o.set_id = q.set_id) AS aligned FROM q),
+  t AS (SELECT c.set_id, c.page_number, i.num, i.sheet_number AS shown, i.sheet_name AS nm, i.confidence AS cf, i.index_position AS ip FROM c JOIN i ON i.set_id = c.set_id AND {PRE('i.num')} = c.clue
+      AND abs(i.index_position - c.page_number) <= 3 QUALIFY row_number() OVER (PARTITION BY c.set_id, c.page_number ORDER BY abs(i.index_position - c.page_number), i.index_position) = 1),
+  j AS (SELECT c.*, t.num AS tn, t.shown AS ts, t.nm AS tm, t.cf AS tc, t.ip AS ti, l.num AS ln, l.sheet_number AS ls, l.sheet_name AS lm, l.confidence AS lc, l.index_position AS li,
+      CASE WHEN t.num IS NULL AND regexp_matches(ctx, '\b(ACCESSIBILITY|ADA)\b') AND {PRE('a.num')} = 'AD' THEN NULL ELSE a.num END AS an, a.sheet_number AS as_, a.sheet_name AS am, a.confidence AS ac, a.index_position AS ai,
+      EXISTS (SELECT 1 FROM i x WHERE x.set_id = c.set_id) AS indexed
+    FROM c LEFT JOIN t USING (set_id, page_number) LEFT JOIN i a ON a.set_id = c.set_id AND a.index_position = c.pos LEFT JOIN i l ON l.set_id = c.set_id AND l.num = c.lab),
+  k AS (SELECT *, CASE WHEN ln IS NOT NULL AND {LABELLED('ln')} AND {DRAWN('ln')} THEN 'l' WHEN tn IS NOT NULL THEN 't' WHEN an IS NULL OR (ln IS NULL AND lab <> '' AND label_confidence >= 90 AND NOT {LABELLED('an')}
+      AND {PRE('lab')} <> '' AND {PRE('an')} <> '' AND {PRE('lab')} <> {PRE('an')}) THEN NULL ELSE 'a' END AS pick FROM j),
+  w AS (SELECT *, CASE pick WHEN 'l' THEN ln WHEN 't' THEN tn WHEN 'a' THEN an END AS wn, CASE pick WHEN 'l' THEN ls WHEN 't' THEN ts WHEN 'a' THEN as_ END AS ws, CASE pick WHEN 'l' THEN lm WHEN 't' THEN tm WHEN 'a' THEN am END AS wm,
+      CASE pick WHEN 'l' THEN lc WHEN 't' THEN tc WHEN 'a' THEN ac END AS wc, CASE pick WHEN 'l' THEN li WHEN 't' THEN ti WHEN 'a' THEN ai END AS wi, CASE WHEN inf THEN '' ELSE own END AS cur FROM k),
+  s AS (SELECT *, CASE WHEN NOT indexed THEN NULL
+      WHEN sec THEN CASE WHEN wn IS NOT NULL AND regexp_matches(upper(wm), '\bCOVER\s+SHEET\b') AND NOT upper(ws) LIKE 'CS-%' AND NOT regexp_full_match(upper(ws), 'C[- ]?0(\.0+)?') THEN 'cover' ELSE 'ignored' END
+      WHEN wn IS NULL THEN 'none' WHEN NOT (needs_review OR cur = '' OR confidence < 60 OR (aligned AND cur <> wn)) THEN 'kept'
+      WHEN cur <> '' THEN CASE WHEN tn IS NOT NULL THEN 'clue' ELSE 'position' END
+      WHEN {LABELLED('wn')} THEN CASE WHEN {DRAWN('wn')} THEN 'label_visual' ELSE 'label_only' END
+      WHEN (tn IS NOT NULL AND {DRAWN('wn')}) OR (wn = 'ADA' AND visual_present AND visual_confidence >= 70 AND page_number > 1 AND NOT is_cover AND cover_type = '') THEN 'clue_visual'
+      WHEN aligned AND {DRAWN('wn')} AND pos = wi THEN 'position_visual' ELSE 'position_only' END AS step FROM w),
+  f AS (SELECT *, CASE WHEN step IS NULL OR step IN ('ignored', 'kept') OR (step = 'none' AND NOT inf) THEN sheet_number WHEN step = 'none' THEN '' ELSE ws END AS fin,
+      step IS NOT NULL AND step NOT IN ('ignored', 'kept', 'none') AS takes FROM s)
+  SELECT set_id, page_number, fin AS sheet_number, CASE WHEN takes AND wm <> '' THEN wm WHEN step = 'none' AND inf THEN '' ELSE sheet_name END AS sheet_name,
+    CASE WHEN takes THEN greatest(confidence, wc) WHEN step = 'none' AND inf THEN 0 ELSE confidence END::DOUBLE AS confidence, CASE WHEN takes THEN false WHEN step = 'none' AND inf THEN true ELSE needs_review END AS needs_review,
+    CASE step WHEN 'cover' THEN 'sheet_index_position' WHEN 'position' THEN 'sheet_index_position' WHEN 'position_only' THEN 'sheet_index_position' WHEN 'label_visual' THEN 'page_label_visual_match'
+      WHEN 'label_only' THEN 'page_label_index_match' WHEN 'clue' THEN 'title_clue_visual_match' WHEN 'clue_visual' THEN 'title_clue_visual_match' WHEN 'position_visual' THEN 'sheet_index_visual_match' ELSE sheet_source END AS sheet_source,
+    CASE WHEN step IN ('label_only', 'position_only') THEN fin END AS inferred_number, coalesce(step = 'ignored', false) AS ignored,
+    CASE WHEN step IN ('label_only', 'position_only') THEN true WHEN step = 'none' THEN {NORM('fin')} = '' WHEN step IS NOT NULL THEN false END AS missing,
+    CASE step WHEN 'cover' THEN 'Secondary cover matched a cover entry at the same sheet-index position.'
+      WHEN 'ignored' THEN 'Secondary cover page is excluded from sheet-index sheet-number checks.' WHEN 'label_visual' THEN 'PDF page label matched the sheet index and visual sheet-number glyphs were detected in the title block.'
+      WHEN 'label_only' THEN 'Sheet number was inferred from the PDF page label/index, but no physical title-block number was confirmed.'
+     
+      WHEN 'clue_visual' THEN 'Sheet number was matched from strong title text clues and nearby sheet-index entry with visual title-block glyphs.' WHEN 'position_visual' THEN 'Sheet number matched the same sheet-index position and visual sheet-number glyphs were detected in the title block.'
+      WHEN 'position_only' THEN 'Sheet number was inferred from sheet-index position only.' WHEN 'clue' THEN 'Detected title-block context was reconciled to a nearby sheet-index entry using strong title text clues.'
+     
+      WHEN 'position' THEN 'Detected title-block number was reconciled to the sheet index position.' WHEN 'kept' THEN 'Physical title-block sheet number was detected with sufficient confidence.' WHEN 'none' THEN 'No matching sheet-index position was available for this page.' END AS reason,
+    CASE WHEN step = 'kept' THEN ws WHEN step NOT IN ('none', 'ignored') AND an IS NOT NULL THEN as_ END AS position_number, CASE WHEN step <> 'ignored' THEN ls END AS label_entry,
+    CASE WHEN step = 'ignored' THEN visual_present WHEN step IS NOT NULL THEN {DRAWN(NORM('fin'))} END AS drawn, CASE WHEN step IS NOT NULL THEN step <> 'ignored' AND {LABELLED(NORM('fin'))} END AS label_matches
+  FROM f""")
+def _(t):
+    from recordqc.operators.identity import reconcile
+    got = reconcile(t.identity_pages, t.identity_index)
+    return got.select(*[c for c in got.columns if c != "decision"], C("decision.missing").alias("missing"), "decision.reason", "decision.evidence.position_number", "decision.evidence.label_entry",
+                      "decision.evidence.drawn", "decision.evidence.label_matches")

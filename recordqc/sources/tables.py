@@ -26,6 +26,9 @@ _FILE_COLS = """
          1704067200000 + ((doc_id * 7919) % 100000) * 1000 AS modified_ms
   FROM @documents"""
 
+_SHEET = """CASE {n} % 12 WHEN 0 THEN CASE {n} WHEN 0 THEN 'CS' WHEN 12 THEN 'C0' ELSE 'CS-CIVIL' END WHEN 1 THEN CASE {n} WHEN 1 THEN 'ADA' ELSE 'ADA' || {n} END WHEN 2 THEN 'AD1.' || {n} WHEN 3 THEN 'A' || (100 + {n})
+      WHEN 4 THEN 'S' || ({n} - 3) WHEN 5 THEN 'ED' || {n} WHEN 6 THEN 'PD' || {n} WHEN 7 THEN 'MD' || {n} WHEN 8 THEN 'E-' || {n} WHEN 9 THEN 'C-' || {n} || '.0' WHEN 10 THEN 'M' || {n} || '.1' ELSE 'FP' || {n} END"""
+
 VIEWS: dict[str, str] = {
     # clones of two parents and of one folder give identical-folder groups
     "files": f"""
@@ -126,6 +129,21 @@ VIEWS: dict[str, str] = {
                WHEN 10 THEN 'FLOOR PLAN' || chr(10) || '1/4" = 1''-0" 7' || chr(10) || 'f1' || chr(10) || 'interior elevation' || chr(10)
                ELSE '' END || text AS text
       FROM @documents""",
+    # sets of 30 pages whose marks agree, disagree or are absent in many ways; every third set has a short index, every seventh none
+    "identity_index": f"""
+      SELECT 'S' || CAST(floor(doc_id / 30) AS BIGINT) AS set_id, doc_id % 30 + 1 AS index_position, {_SHEET.format(n="(doc_id % 30)")} AS sheet_number,
+             CASE WHEN doc_id % 12 = 0 OR doc_id % 30 = 17 THEN 'COVER SHEET' WHEN doc_id % 30 = 20 THEN '' ELSE 'PLAN ' || (doc_id % 30) END AS sheet_name, CAST(60 + doc_id % 3 * 10 AS BIGINT) AS confidence
+      FROM @documents WHERE CAST(floor(doc_id / 30) AS BIGINT) % 7 <> 6 AND NOT (CAST(floor(doc_id / 30) AS BIGINT) % 3 = 0 AND doc_id % 30 > 22)""",
+    "identity_pages": f"""
+      SELECT 'S' || CAST(floor(doc_id / 30) AS BIGINT) AS set_id, doc_id % 30 + 1 AS page_number,
+             CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN {_SHEET.format(n="(doc_id % 30)")} WHEN 2 THEN lower({_SHEET.format(n="(doc_id % 30)")}) WHEN 3 THEN {_SHEET.format(n="((doc_id + 1) % 30)")} WHEN 4 THEN 'B-1' WHEN 5 THEN '' ELSE 'X9' END AS sheet_number,
+             CASE WHEN doc_id % 13 = 0 THEN 'ADA' ELSE 'OLD NAME' END AS sheet_name, CAST(doc_id % 4 * 30 AS DOUBLE) AS confidence, doc_id % 11 = 0 AS needs_review,
+             CASE doc_id % 17 WHEN 0 THEN 'sheet_index_position' WHEN 1 THEN 'manual' ELSE '' END AS sheet_source, CASE WHEN doc_id % 30 = 0 THEN 'primary' WHEN doc_id % 19 = 9 THEN 'secondary' ELSE '' END AS cover_type,
+             doc_id % 30 = 0 AS is_cover, CASE doc_id % 5 WHEN 0 THEN {_SHEET.format(n="(doc_id % 30)")} WHEN 1 THEN {_SHEET.format(n="((doc_id + 1) % 30)")} WHEN 2 THEN 'SI' ELSE '' END AS label_number,
+             CASE doc_id % 3 WHEN 0 THEN 'CS CIVIL' ELSE 'Structural general notes' END AS label_text, CAST(CASE doc_id % 2 WHEN 0 THEN 97 ELSE 50 END AS DOUBLE) AS label_confidence,
+             doc_id % 9 = 0 AS visual_present, CAST(60 + doc_id % 5 * 10 AS DOUBLE) AS visual_confidence, doc_id * 37 % 4000 AS dark_pixels, doc_id * 53 % 6000 AS ink_pixels,
+             CASE doc_id % 8 WHEN 0 THEN 'ELECTRICAL  DEMOLITION PLAN' WHEN 1 THEN 'demo plan plumbing' WHEN 2 THEN 'Accessibility notes' WHEN 3 THEN 'MECHANICAL DEMOLITION' WHEN 4 THEN 'ARCHITECTURAL DEMO' ELSE 'PLAN' END AS title_block_text, text
+      FROM @documents""",
     "page_index": """
       SELECT source AS set_id, doc_id AS index_position, CASE WHEN doc_id % 8 < 5 THEN 'A' || (100 + doc_id % 90) ELSE 'CV-' || (doc_id % 50) END AS sheet_number,
              CASE WHEN doc_id % 8 > 4 OR doc_id % 11 = 0 THEN 'Cover  sheet ' || (doc_id % 3) ELSE 'FLOOR PLAN' END AS sheet_name

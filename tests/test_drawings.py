@@ -67,3 +67,64 @@ def test_missing_scales_by_page(spark):
     assert views(spark, "02\nSITE PLAN", mark=True) == [("02", "SITE PLAN", "Visual scale marker", "Pass")]
     assert views(spark, "1 FLOOR PLAN", cover=True) == views(spark, "1 FLOOR PLAN", title="COVER SHEET") == []
     assert views(spark, "DOOR HEAD DETAIL AS SCHEDULED\n1 WALL SECTION", title="DOOR DETAILS") == []
+
+
+FIELDS = {"page_number": 1, "sheet_number": "", "sheet_name": "", "title_block_text": "", "text": "", "confidence": 0.0, "needs_review": True, "sheet_source": "", "cover_type": "", "is_cover": False,
+          "label_number": "", "label_text": "", "label_confidence": 0.0, "visual_present": False, "visual_confidence": 0.0, "dark_pixels": 0, "ink_pixels": 0}
+KINDS = {int: "bigint", str: "string", float: "double", bool: "boolean"}
+LABEL = {"label_confidence": 97.0}
+
+
+def decide(spark, index, *pages, firms=()):
+    from recordqc.operators.identity import reconcile
+    schema = "set_id string, " + ", ".join(f"{k} {KINDS[type(v)]}" for k, v in FIELDS.items())
+    p = spark.createDataFrame([("s", *{**FIELDS, **x}.values()) for x in pages], schema)
+    i = spark.createDataFrame([("s", n, num, name, 80) for n, num, name in index], "set_id string, index_position bigint, sheet_number string, sheet_name string, confidence bigint")
+    return reconcile(p, i, firms).orderBy("page_number").collect()
+
+
+@pytest.mark.parametrize("index,page,number,source,missing", [
+    ([(17, "C-7.0", "DETAILS")], {"page_number": 17}, "C-7.0", "sheet_index_position", True),
+    ([(17, "C-7.0", "DETAILS")], {"page_number": 17, "label_number": "C-7.0", **LABEL}, "C-7.0", "page_label_index_match", True),
+    ([(17, "S1.1", "DETAILS")], {"page_number": 17, "label_number": "S-1.1", **LABEL, "visual_present": True, "visual_confidence": 82.0}, "S1.1", "page_label_visual_match", False),
+    ([(10, "C1.0", "NOTES")], {"page_number": 10, "label_number": "C-1.0", **LABEL, "dark_pixels": 4278, "ink_pixels": 14626}, "C1.0", "page_label_visual_match", False),
+    ([(25, "S1", "NOTES")], {"page_number": 25, "label_number": "S1", **LABEL, "dark_pixels": 2043, "ink_pixels": 2251}, "S1", "page_label_visual_match", False),
+    ([(34, "M4.1", "M"), (35, "E1.1", "E")], {"page_number": 34, "label_number": "E1.1", **LABEL, "dark_pixels": 1810, "ink_pixels": 2859}, "E1.1", "page_label_visual_match", False),
+    ([(4, "ADA3", "A")], {"page_number": 4, "label_number": "ADA3", **LABEL, "dark_pixels": 1908, "ink_pixels": 4837}, "ADA3", "page_label_index_match", True),
+    ([(3, "AD1.0", "D")], {"page_number": 3, "title_block_text": "ADA STANDARDS"}, "", "", True),
+    ([(3, "AD1.0", "D"), (5, "ADA2", "A")], {"page_number": 3, "title_block_text": "ADA STANDARDS", "visual_present": True, "visual_confidence": 90.0}, "ADA2", "title_clue_visual_match", False),
+    ([(3, "A1", "D"), (7, "ED1", "X")], {"page_number": 3, "title_block_text": "Electrical demo"}, "A1", "sheet_index_position", True),
+    ([(3, "A1", "D"), (6, "ED1", "X")], {"page_number": 3, "title_block_text": "Electrical demo", "sheet_number": "A1", "confidence": 90.0, "needs_review": False}, "ED1", "title_clue_visual_match", False),
+    ([(2, "A2", "PLAN")], {"page_number": 2, "sheet_number": "A2", "confidence": 90.0, "needs_review": False, "sheet_source": "manual"}, "A2", "manual", False),
+    ([(2, "A2", "PLAN")], {"page_number": 2, "sheet_number": "A9", "confidence": 90.0, "needs_review": False}, "A2", "sheet_index_position", False),
+    ([(3, "E3", "PLAN")], {"page_number": 3, "label_number": "M1", **LABEL}, "", "", True),
+    ([(3, "E3", "PLAN")], {"page_number": 3, "dark_pixels": 850, "ink_pixels": 1200}, "E3", "sheet_index_visual_match", False),
+    ([(2, "S1", "N")], {"page_number": 2, "label_number": "SI", **LABEL, "text": "general notes, structural"}, "S1", "page_label_index_match", True),
+    ([(9, "A1", "N")], {"page_number": 2, "sheet_number": "A7", "sheet_source": "sheet_index_position", "confidence": 80.0, "needs_review": False}, "", "sheet_index_position", True)])
+def test_identity(spark, index, page, number, source, missing):
+    got, = decide(spark, index, page)
+    assert got.sheet_number == number and got.sheet_source == source and got.decision.missing == missing
+
+
+def test_identity_of_covers_and_positions(spark):
+    index = [(1, "CS", "COVER SHEET"), (2, "A1", "PLAN"), (3, "A2", "PLAN")]
+    got = decide(spark, index, {"page_number": 1, "sheet_number": "CS", "cover_type": "primary", "confidence": 90.0, "needs_review": False}, {"page_number": 2, "cover_type": "secondary"},
+                 {"page_number": 3, "sheet_number": "A1", "confidence": 90.0, "needs_review": False}, {"page_number": 4})
+    assert [(r.sheet_number, r.ignored, r.decision.source) for r in got] == [("CS", False, "title_block"), ("", True, "ignored_secondary_cover"), ("A1", False, "title_block"), ("A2", False, "sheet_index_position")]
+    named, = decide(spark, [(2, "G2", "CIVIL COVER SHEET")], {"page_number": 2, "cover_type": "secondary"})
+    assert (named.sheet_number, named.ignored, named.decision.source) == ("G2", False, "sheet_index_position")
+    bare, = decide(spark, [(2, "C-0", "COVER SHEET")], {"page_number": 2, "cover_type": "secondary"})
+    assert bare.ignored
+    firm, = decide(spark, [(2, "S1", "N")], {"page_number": 2, "label_number": "SI", "text": "GENERAL NOTES by Some Engineers"}, firms=(r"SOME\s+ENGINEERS",))
+    assert firm.decision.evidence.label_matches
+
+
+def test_identity_without_index(spark):
+    from recordqc.operators.identity import reconcile
+    page, = decide(spark, [(1, "", "")], {"sheet_number": "A1"})
+    assert (page.sheet_number, page.decision, page.ignored) == ("A1", None, False)
+    nulls = spark.createDataFrame([("s", 1, *[None] * 15, None)], "set_id string, page_number bigint, " + ", ".join(f"{k} {KINDS[type(v)]}" for k, v in FIELDS.items() if k != "page_number"))
+    index = spark.createDataFrame([("s", 1, "A1", None, None)], "set_id string, index_position bigint, sheet_number string, sheet_name string, confidence bigint")
+    row, = reconcile(nulls, index).collect()
+    assert (row.sheet_number, row.sheet_name, row.sheet_source, row.decision.missing) == ("A1", "", "sheet_index_position", True)
+    assert reconcile(nulls.limit(0), index).count() == 0
