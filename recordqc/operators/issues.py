@@ -235,12 +235,36 @@ def unique_headers(headers: DataFrame) -> DataFrame:
 
 
 def split_blocks(rows: DataFrame) -> DataFrame:
-    """Block number per row: a new block begins where the project number changes."""
-    key = ["workbook", "sheet"]
+    """Block number per row: a new block begins where the project number changes. Rows above the first number are block 0."""
     number = F.nullif(C("number"), F.lit(""))
-    before = running(rows, key, ["row"], project=("last", number), prev=("last_before", number))
-    starts = before.withColumn("new", F.when(C("project").isNotNull() & (C("prev").isNull() | (C("prev") != C("project"))), 1).otherwise(0))
-    return running(starts, key, ["row"], block=("sum", "new")).drop("new", "prev")
+    return running(rows, ["workbook", "sheet"], ["row"], project=("last", number), block=("changes", number))
+
+
+def project_blocks(rows: DataFrame) -> DataFrame:
+    """Every row with its project block; ``rows(workbook, sheet, row, number, mapped_number, mapped_name, is_total, has_data)``.
+
+    ``number`` is a valid project number. A sheet in which no row has one is read by the texts mapped to project number or name instead (``strict`` is false there). A row above the first number
+    is an orphan: block 0, no project. Where a block ends with a total row and a row of data without an identity behind it, that last row was written above its own
+    project's number: it is ``carried`` into the next block.
+
+    The block number comes from one ordered pass in which ranges carry their last number over. What is carried is decided on one row a block: its size, its last row and what stands before that.
+    Blocks of one row only pass on a carried row if they got one. Null flags count as false; ``row`` is unique in its sheet; other columns are kept.
+    """
+    sheet, blank = ["workbook", "sheet"], lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    false = lambda c: F.coalesce(c, F.lit(False))
+    strict = rows.groupBy(*sheet).agg(F.bool_or(blank("number").isNotNull()).alias("strict"))
+    text = F.coalesce(blank("mapped_number"), blank("mapped_name"))
+    r = join_back(rows, strict, sheet).withColumn("__id", F.coalesce(blank("number"), F.when(~C("strict"), text)))
+    r = running(r, sheet, ["row"], project=("last", "__id"), block=("changes", "__id"), __above=("lag", false(C("is_total"))))
+    last = F.max(F.struct(C("row").alias("row"), false(C("__above")).alias("above"), text.isNotNull().alias("named"), false(C("has_data")).alias("data"))).alias("last")
+    b = r.where("block > 0").groupBy(*sheet, "block").agg(F.count(F.lit(1)).alias("size"), F.max("project").alias("own"), last)
+    loose = C("last.above") & ~C("last.named") & C("last.data")
+    b = running(b.withColumn("loose", loose), sheet, ["block"], large=("max", F.when(C("size") > 1, C("block"))), fixed=("max", F.when(~C("loose"), C("block"))))
+    moved = b.where(C("loose") & (C("large") > F.coalesce("fixed", F.lit(0)))).select(*sheet, "block", C("last.row").alias("row"))
+    to = b.select(*sheet, (C("block") - 1).alias("block"), C("own").alias("__to"))
+    got = r.join(moved.join(to, [*sheet, "block"]), [*sheet, "block", "row"], "left")
+    carried = C("__to").isNotNull()
+    return got.withColumns({"project": F.coalesce("__to", "project"), "block": C("block") + carried.cast("int"), "carried": carried, "orphan": C("block") == 0}).drop("__to", "__id", "__above")
 
 
 def block_totals(blocks: DataFrame) -> DataFrame:

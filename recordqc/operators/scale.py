@@ -54,7 +54,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, **exprs: tuple[
 
     kinds: ``row_number``; ``sum`` and ``max`` (inclusive); ``sum_before`` and
     ``max_before`` (strictly earlier rows); ``last`` (last non-null so far,
-    inclusive); ``last_before``; ``lag`` (value on the row before).
+    inclusive); ``last_before``; ``lag`` (value on the row before); ``changes`` (how often a non-null value
+    so far differed from the non-null one before it, the first included).
     ``order`` must be a total order for a deterministic result; a name with a
     leading ``-`` sorts descending.
     """
@@ -71,7 +72,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, **exprs: tuple[
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     here, ends = tagged, tagged.withColumn("__pos", F.row_number().over(local))
-    summary, carried = [], []
+    summary, carried, changes = [], [], []
     earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     for name, (kind, _col) in exprs.items():
         x, s, c = F.col(f"__in_{name}"), f"__s_{name}", f"__c_{name}"
@@ -91,6 +92,15 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, **exprs: tuple[
             here = here.withColumn(name, F.last(x, ignorenulls=True).over(upto if kind == "last" else before))
             summary.append(F.max_by(x, F.when(x.isNotNull(), F.col("__pos"))).alias(s))
             carried.append(F.last(s, ignorenulls=True).over(earlier).alias(c))
+        elif kind == "changes":
+            # a range counts its first value as a change; whether it is one, the last value of earlier ranges tells
+            known = F.last(x, ignorenulls=True).over(before)
+            here = here.withColumn(name, x.isNotNull() & ~x.eqNullSafe(known)).withColumn(name, F.sum(F.col(name).cast("bigint")).over(upto))
+            ends = ends.withColumn(c, x.isNotNull() & ~x.eqNullSafe(known))
+            summary += [F.sum(F.col(c).cast("bigint")).alias(s), F.min_by(x, F.when(x.isNotNull(), F.col("__pos"))).alias(f"{s}_first"),
+                        F.max_by(x, F.when(x.isNotNull(), F.col("__pos"))).alias(f"{s}_last")]
+            changes.append(name)
+            carried += [F.sum(s).over(earlier).alias(c), F.col(f"{s}_same").alias(f"{c}_same")]
         elif kind == "lag":
             here = here.withColumn(name, F.struct(F.lag(x).over(local).alias("v"),
                                                   (F.row_number().over(local) == 1).alias("first")))
@@ -98,7 +108,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, **exprs: tuple[
             carried.append(F.last(s).over(earlier).alias(c))
         else:
             raise ValueError(kind)
-    carry = (ends.groupBy(RANGE, *keys).agg(*summary)
+    states = ends.groupBy(RANGE, *keys).agg(*summary)
+    for s in (f"__s_{name}" for name in changes):
+        states = states.withColumn(f"{s}_same", F.col(f"{s}_first").eqNullSafe(F.last(f"{s}_last", ignorenulls=True).over(earlier)) & F.col(f"{s}_first").isNotNull()) \
+                       .withColumn(s, F.col(s) - F.col(f"{s}_same").cast("bigint"))
+    carry = (states
              .select(RANGE, *keys, *carried, F.count(F.lit(1)).over(earlier).alias("__seen"))
              .where("__seen > 0").drop("__seen"))
     out = _null_safe(here, F.broadcast(carry), [RANGE, *keys], "left")
@@ -106,6 +120,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, **exprs: tuple[
         c = F.col(f"__c_{name}")
         if kind in ("row_number",):
             out = out.withColumn(name, F.col(name) + F.coalesce(c, F.lit(0)))
+        elif kind == "changes":
+            again = F.when((F.col(name) > 0) & F.col(f"__c_{name}_same"), 1).otherwise(0)
+            out = out.withColumn(name, F.col(name) + F.coalesce(c, F.lit(0)) - again).drop(f"__c_{name}_same")
         elif kind in ("sum", "sum_before"):
             out = out.withColumn(name, F.when(F.col(name).isNull() & c.isNull(), F.lit(None))
                                  .otherwise(F.coalesce(F.col(name), F.lit(0)) + F.coalesce(c, F.lit(0))))

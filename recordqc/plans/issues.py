@@ -242,3 +242,27 @@ def _(t):
   sum(value) FILTER (label <> 'Total tons') AS listed, first(value ORDER BY row) FILTER (label = 'Total tons') AS stated FROM ({BLK}) GROUP BY 1, 2, 3""")
 def _(t):
     return I.block_totals(I.split_blocks(_cells(t))).withColumn("block", C("block").cast("bigint"))
+
+
+# as CELLS; every fifth sheet has no valid number and is read by its names, some numbers stand in unmapped cells, rows with a quantity have data
+LOOSE = """SELECT 'W' || CAST(floor(project_id / 200) AS BIGINT) AS workbook, 'Mech' AS sheet, project_id * 100000000000 + seq AS row,
+  CASE WHEN seq % 3 = 0 AND CAST(floor(project_id / 200) AS BIGINT) % 5 <> 3 THEN CAST(project_id AS VARCHAR(20)) END AS number,
+  CASE WHEN seq % 3 = 0 AND project_id % 4 <> 0 THEN CAST(project_id AS VARCHAR(20)) ELSE '' END AS mapped_number, CASE WHEN seq % 11 = 0 AND project_id % 4 <> 0 THEN 'Name ' || project_id END AS mapped_name,
+  seq % 2 = 0 AS is_total, tonnage IS NOT NULL AS has_data FROM @units"""
+
+
+@query("i13_project_blocks", f"""WITH RECURSIVE x AS (SELECT *, coalesce(number, CASE WHEN NOT bool_or(number IS NOT NULL) OVER (PARTITION BY workbook, sheet) THEN coalesce(nullif(mapped_number, ''), mapped_name) END) AS id FROM ({LOOSE})),
+  y AS (SELECT *, last_value(id IGNORE NULLS) OVER w AS project, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY workbook, sheet ORDER BY row)),
+  z AS (SELECT *, coalesce(id IS NOT NULL AND id IS DISTINCT FROM lag(project) OVER w, false) AS begins, coalesce(lag(is_total, 2) OVER w AND coalesce(lag(mapped_number) OVER w, '') = '' AND lag(mapped_name) OVER w IS NULL AND lag(has_data) OVER w, false) AS loose,
+      lag(project) OVER w IS NOT NULL AS any_block FROM y WINDOW w AS (PARTITION BY workbook, sheet ORDER BY row)),
+  s AS (SELECT workbook, sheet, n, project, begins, false AS takes FROM z WHERE n = 1 UNION ALL
+        SELECT z.workbook, z.sheet, z.n, z.project, z.begins, z.begins AND z.any_block AND z.loose AND (NOT s.begins OR s.takes) AND (s.project IS NOT NULL) FROM s JOIN z ON z.workbook = s.workbook AND z.sheet = s.sheet AND z.n = s.n + 1),
+  t AS (SELECT z.workbook, z.sheet, z.row, z.project, sum(z.begins::INT) OVER w AS block, coalesce(lead(s.takes) OVER w, false) AS carried, lead(z.project) OVER w AS later FROM z JOIN s USING (workbook, sheet, n) WINDOW w AS (PARTITION BY z.workbook, z.sheet ORDER BY z.row))
+  SELECT workbook, sheet, row, CASE WHEN carried THEN later ELSE project END AS project, CAST(block + carried::INT AS BIGINT) AS block, carried, block = 0 AS orphan FROM t""")
+def _(t):
+    f, p, s = F.floor(C("project_id") / 200), C("project_id"), C("seq")
+    own = (s % 3 == 0)
+    rows = t.units.select(F.concat(F.lit("W"), f.cast("string")).alias("workbook"), F.lit("Mech").alias("sheet"), (p * 100000000000 + s).alias("row"), F.when(own & (f % 5 != 3), p.cast("string")).alias("number"),
+                          F.when(own & (p % 4 != 0), p.cast("string")).otherwise("").alias("mapped_number"), F.when((s % 11 == 0) & (p % 4 != 0), F.concat(F.lit("Name "), p.cast("string"))).alias("mapped_name"),
+                          (s % 2 == 0).alias("is_total"), C("tonnage").isNotNull().alias("has_data"))
+    return I.project_blocks(rows).select("workbook", "sheet", "row", "project", "block", "carried", "orphan")
