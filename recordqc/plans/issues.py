@@ -266,3 +266,28 @@ def _(t):
                           F.when(own & (p % 4 != 0), p.cast("string")).otherwise("").alias("mapped_number"), F.when((s % 11 == 0) & (p % 4 != 0), F.concat(F.lit("Name "), p.cast("string"))).alias("mapped_name"),
                           (s % 2 == 0).alias("is_total"), C("tonnage").isNotNull().alias("has_data"))
     return I.project_blocks(rows).select("workbook", "sheet", "row", "project", "block", "carried", "orphan")
+
+
+# every third user has a number that it shares with its neighbours, some messages have no words
+NUMBERED = """SELECT seq, project_id, CASE WHEN project_id % 3 <> 1 THEN 'N-' || CAST(floor(project_id / 4) AS BIGINT) ELSE '' END AS project_number, discipline, category,
+  CASE WHEN seq % 17 = 0 THEN '?' || (seq % 5) WHEN seq % 5 = 1 THEN 'panel ' || severity || ' missing at level ' || chr(CAST(97 + seq % 13 AS INT)) || 'xx' ELSE message END AS message FROM @issue_log"""
+ALIKE = lambda x, y: f"""{x}.discipline = {y}.discipline AND ({x}.project_id = {y}.project_id OR ({x}.project_number <> '' AND {x}.project_number = {y}.project_number))
+    AND (({x}.category = {y}.category AND lower({x}.message) = lower({y}.message)) OR (len({x}.tk) > 0 AND len(list_intersect({x}.tk, {y}.tk)) / greatest(len({x}.tk), len({y}.tk)) >= 0.65))"""
+
+
+@query("i5_import_issues", f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, {TOKS} AS tk FROM ({NUMBERED})), a AS (SELECT * FROM m WHERE seq % 4 = 0 AND seq % 3 = 0), b AS (SELECT * FROM m WHERE NOT (seq % 4 = 0 AND seq % 3 = 0)),
+  ext AS MATERIALIZED (SELECT b.seq, min(a.seq) AS old FROM b JOIN a ON {ALIKE('a', 'b')} GROUP BY b.seq),
+  free AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM b ANTI JOIN ext USING (seq)),
+  e AS MATERIALIZED (SELECT x.n, any_value(x.seq) AS seq, coalesce(list(y.seq ORDER BY y.seq) FILTER (y.seq IS NOT NULL), []) AS earlier FROM free x LEFT JOIN free y ON y.seq < x.seq AND {ALIKE('x', 'y')} GROUP BY x.n),
+  s AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT e.n, CASE WHEN len(list_intersect(kept, earlier)) = 0 THEN list_append(kept, seq) ELSE kept END FROM s JOIN e ON e.n = s.n + 1),
+  k AS (SELECT kept FROM s ORDER BY n DESC LIMIT 1), d AS (SELECT seq, list_min(list_intersect(earlier, kept)) AS new FROM e, k)
+  SELECT b.seq, CASE WHEN old IS NOT NULL OR new IS NOT NULL THEN 'skip' ELSE 'import' END AS action, CASE WHEN old IS NOT NULL THEN 'stored' WHEN new IS NOT NULL THEN 'imported' END AS duplicate_side,
+    coalesce(old, new) AS duplicate_seq FROM b LEFT JOIN ext USING (seq) LEFT JOIN d USING (seq)""")
+def _(t):
+    from recordqc.operators.imports import import_issues
+    p, s = C("project_id"), C("seq")
+    odd = F.concat(F.lit("panel "), "severity", F.lit(" missing at level "), F.chr(97 + s % 13), F.lit("xx"))
+    m = t.issue_log.select("seq", "project_id", F.when(p % 3 != 1, F.concat(F.lit("N-"), F.floor(p / 4).cast("string"))).otherwise("").alias("project_number"), "discipline", "category",
+                           F.when(s % 17 == 0, F.concat(F.lit("?"), (s % 5).cast("string"))).when(s % 5 == 1, odd).otherwise(C("message")).alias("message"))
+    stored = (s % 4 == 0) & (s % 3 == 0)
+    return import_issues(m.where(stored), m.where(~stored))

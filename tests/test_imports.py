@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from recordqc.operators import issues as I
 from recordqc.operators.scale import running
@@ -68,3 +69,58 @@ def test_project_blocks_odd(spark):
     row, = I.project_blocks(one).collect()
     assert (row.project, row.block, row.carried, row.orphan) == (None, 0, False, True)
     assert I.project_blocks(one.limit(0)).count() == 0
+
+
+ISSUE = "seq bigint, project_id string, project_number string, discipline string, category string, message string"
+TALK = "panel schedule missing value check again unit roof duct total load of a".split()
+
+
+def tokens(message):
+    import re
+    return {t for t in re.sub("[^a-z0-9 ]", " ", (message or "").lower()).split() if len(t) > 2}
+
+
+def alike(a, b):
+    place = (a[1] and a[1] == b[1]) or (a[2] and b[2] and a[2].lower() == b[2].lower())
+    if not place or (a[3] or "") != (b[3] or ""):
+        return False
+    if (a[4] or "") == (b[4] or "") and (a[5] or "").lower() == (b[5] or "").lower():
+        return True
+    x, y = tokens(a[5]), tokens(b[5])
+    return bool(x and y) and len(x & y) / max(len(x), len(y)) >= 0.65
+
+
+def one_by_one(existing, incoming):
+    stored, out = [("stored", r) for r in existing], {}
+    for r in incoming:
+        hit = next(((side, s[0]) for side, s in stored if alike(s, r)), None)
+        out[r[0]] = ("skip", *hit) if hit else ("import", None, None)
+        if not hit:
+            stored.append(("imported", r))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_import_equals_the_sequential_rule(spark, seed):
+    from recordqc.operators.imports import import_issues
+    rng = random.Random(seed)
+
+    def issue(i):
+        words = [rng.choice(TALK) for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 8]))]
+        return (i, rng.choice(["1", "1", "1", "2", None]), rng.choice(["N-1", "n-1", "N-2", "", None]), rng.choice(["M", "M", "E", None]), rng.choice(["c", "d"]), rng.choice([" ", ", "]).join(words) or rng.choice(["", "?", None, "of a"]))
+    existing, incoming = [issue(i) for i in range(40)], [issue(i) for i in range(260)]
+    got = import_issues(spark.createDataFrame(existing, ISSUE), spark.createDataFrame(incoming, ISSUE)).collect()
+    assert {r.seq: (r.action, r.duplicate_side, r.duplicate_seq) for r in got} == one_by_one(existing, incoming)
+
+
+def test_import_actions_and_projects(spark):
+    from recordqc.operators.imports import attach_projects, import_issues
+    rows = spark.createDataFrame([(1, None, "N-1", "M", "c", "panel missing value"), (2, None, None, "M", "c", "panel missing value")], ISSUE).withColumn("project_name", F.lit("Tower"))
+    projects = spark.createDataFrame([(1, "7", "N-1", "Other"), (2, "8", "N-9", "Tower")], "seq bigint, project_id string, project_number string, project_name string")
+    attached = attach_projects(rows, projects)
+    assert sorted((r.seq, r.project_id, r.project_number) for r in attached.collect()) == [(1, "7", "N-1"), (2, "8", "N-9")]
+    twice = spark.createDataFrame([(1, "7", "", "M", "c", "panel missing value"), (2, "7", None, "M", "d", "Panel: missing value")], ISSUE)
+    none = twice.limit(0)
+    assert [r.action for r in import_issues(none, twice, "keep").collect()] == ["import", "import"]
+    assert sorted((r.seq, r.action, r.duplicate_side, r.duplicate_seq) for r in import_issues(none, twice, "merge").collect()) == [(1, "import", None, None), (2, "merge", "imported", 1)]
+    assert import_issues(twice, none).count() == 0
