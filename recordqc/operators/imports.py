@@ -11,6 +11,7 @@ from recordqc.session import written
 
 C = F.col
 SHARE = 0.65
+NODE = ("project_id", "project_number", "discipline", "tokens", "alone")
 
 
 def attach_projects(incoming: DataFrame, projects: DataFrame) -> DataFrame:
@@ -58,6 +59,30 @@ def issue_links(nodes: DataFrame, share: float = SHARE) -> DataFrame:
     return pairs.unionByName(same).distinct()
 
 
+def _with_nodes(incoming: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``seq`` of each incoming issue with the columns of its node."""
+    field = lambda c: F.coalesce(C(c).cast("string"), F.lit(""))
+    tokens = F.array_sort(_note_tokens(F.lower(field("message"))))
+    rows = incoming.select("seq", field("project_id").alias("project_id"), F.lower(field("project_number")).alias("project_number"), field("discipline").alias("discipline"), field("category").alias("category"),
+                           F.lower(field("message")).alias("message")).withColumn("tokens", tokens)
+    rows = rows.withColumn("alone", F.when(F.size("tokens") == 0, F.struct("category", "message")))
+    cond = F.lit(True)
+    f = nodes.select(*[C(c).alias(f"f_{c}") for c in NODE], *[c for c in nodes.columns if c not in NODE])
+    for c in ("project_id", "project_number", "discipline", "tokens"):
+        cond = cond & (C(c) == C(f"f_{c}"))
+    return rows.join(f, cond & C("alone").eqNullSafe(C("f_alone")))
+
+
+def stored_duplicates(existing: DataFrame, incoming: DataFrame, share: float = SHARE) -> DataFrame:
+    """Incoming issues that repeat a stored one of their project (by id or by number) and discipline, with the first such one."""
+    nodes = written(_nodes(existing, incoming), "issue-nodes")
+    near = issue_links(nodes, share).where("earlier.side = 0").groupBy("node").agg(F.min("earlier").alias("of"))
+    placed = (C("project_id") != "") | (C("project_number") != "")
+    own = F.when(placed & (C("node.side") == 0), C("node"))
+    first = nodes.join(near, "node", "left").withColumn("of", F.least("of", own)).where("of is not null")
+    return _with_nodes(incoming, first).select(C("seq").alias("incoming_seq"), C("of.seq").alias("existing_seq"))
+
+
 def import_issues(existing: DataFrame, incoming: DataFrame, action: str = "skip", share: float = SHARE) -> DataFrame:
     """What becomes of each incoming issue: ``import``, or ``action`` (skip, merge) with the issue it repeats.
 
@@ -83,16 +108,7 @@ def import_issues(existing: DataFrame, incoming: DataFrame, action: str = "skip"
         state = written(later.select("node", decided.alias("kept")), "issue-state")
     named = links.join(state.where("kept").select(C("node").alias("earlier")), "earlier").groupBy("node").agg(F.min("earlier").alias("of"))
     fate = nodes.join(state, "node", "left").join(named, "node", "left")
-    field = lambda c: F.coalesce(C(c).cast("string"), F.lit(""))
-    tokens = F.array_sort(_note_tokens(F.lower(field("message"))))
-    rows = incoming.select("seq", field("project_id").alias("project_id"), F.lower(field("project_number")).alias("project_number"), field("discipline").alias("discipline"), field("category").alias("category"),
-                           F.lower(field("message")).alias("message")).withColumn("tokens", tokens)
-    rows = rows.withColumn("alone", F.when(F.size("tokens") == 0, F.struct("category", "message")))
-    cond = F.lit(True)
-    f = fate.select(*[C(c).alias(f"f_{c}") for c in ("project_id", "project_number", "discipline", "tokens", "alone")], "node", "kept", "of")
-    for c in ("project_id", "project_number", "discipline", "tokens"):
-        cond = cond & (C(c) == C(f"f_{c}"))
-    j = rows.join(f, cond & C("alone").eqNullSafe(C("f_alone")))
+    j = _with_nodes(incoming, fate)
     first = (C("node.side") == 1) & (C("node.seq") == C("seq"))
     imported = C("kept").isNull() | (C("kept") & first)
     of = F.when(~imported, F.when(C("kept"), F.least("node", F.coalesce("of", "node"))).otherwise(C("of")))

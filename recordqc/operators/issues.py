@@ -65,33 +65,6 @@ def _note_tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9 ]", " "), r"\s+"), lambda t: F.length(t) > 2))
 
 
-def duplicate_issues(existing: DataFrame, incoming: DataFrame, share: float = 0.65) -> DataFrame:
-    """Incoming issues that repeat an existing one of the same project and discipline.
-
-    Texts are reduced to distinct token sets first, and two sets meet only over
-    a token that any partner must share: the rarest tokens, as many as the
-    threshold leaves room to miss, plus one.
-    """
-    group = ["project_id", "discipline"]
-    texts = existing.select("message").union(incoming.select("message")).groupBy("message").agg(F.count(F.lit(1)).alias("n"))
-    long = written(texts.select("message", "n", F.explode(_note_tokens(C("message"))).alias("t")), "tokens")
-    common = long.groupBy("t").agg(F.sum("n").alias("f"))
-    rare = long.join(common, "t").groupBy("message").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("tokens"))
-    tok = lambda df: df.join(rare, "message", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
-    e, i = tok(existing), tok(incoming)
-    keys = lambda df, name: df.select(*group, "category", F.lower("message").alias("text"), "tokens", C("seq").alias(name))
-    same = keys(i, "incoming_seq").join(keys(e, "existing_seq").groupBy(*group, "category", "text").agg(F.min("existing_seq").alias("existing_seq")),
-                                        [*group, "category", "text"]).select("incoming_seq", "existing_seq")
-    sets = lambda df, name: df.where(F.size("tokens") > 0).groupBy(*group, "tokens").agg(F.min("seq").alias(name))
-    prefix = lambda: F.explode(F.slice(C("tokens"), F.lit(1), F.size("tokens") - F.ceil(F.size("tokens") * share).cast("int") + 1))
-    es = sets(e, "existing_seq").withColumn("t", prefix()).withColumnRenamed("tokens", "et")
-    inc = i.where(F.size("tokens") > 0).select(*group, "tokens").distinct().withColumn("t", prefix())
-    pairs = inc.join(es, [*group, "t"]).where(F.size(F.array_intersect("tokens", "et")) / F.greatest(F.size("tokens"), F.size("et")) >= share)
-    best = pairs.groupBy(*group, "tokens").agg(F.min("existing_seq").alias("existing_seq"))
-    like = i.join(best, [*group, "tokens"]).select(C("seq").alias("incoming_seq"), "existing_seq")
-    return same.unionByName(like).groupBy("incoming_seq").agg(F.min("existing_seq").alias("existing_seq"))
-
-
 def quality_status(projects: DataFrame, issues: DataFrame) -> DataFrame:
     per = issues.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("related"), F.count_if(C("status") != "Resolved").alias("open"),

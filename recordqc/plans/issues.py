@@ -63,14 +63,6 @@ def _(t):
 TOKS = "list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(message), '[^a-z0-9 ]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2)))"
 
 
-@query("i4_duplicate_issues", f"""WITH a AS (SELECT *, {TOKS} AS tk FROM @issue_log WHERE seq % 2 = 0), b AS (SELECT *, {TOKS} AS tk FROM @issue_log WHERE seq % 2 = 1)
-  SELECT b.seq AS incoming_seq, min(a.seq) AS existing_seq FROM b JOIN a ON a.project_id = b.project_id AND a.discipline = b.discipline AND ((a.category = b.category AND lower(a.message) = lower(b.message))
-     OR len(list_intersect(a.tk, b.tk)) / greatest(len(a.tk), len(b.tk)) >= 0.65) GROUP BY 1""")
-def _(t):
-    log = t.issue_log
-    return I.duplicate_issues(log.where("seq % 2 = 0"), log.where("seq % 2 = 1"))
-
-
 @query("i6_quality_status", """SELECT p.project_id, CASE WHEN excluded THEN 'Excluded' WHEN blocking > 0 THEN 'Blocked' WHEN warning > 0 THEN 'Warning' WHEN related > 0 AND open_issues = 0 THEN 'Resolved' ELSE 'Complete' END AS quality
   FROM @projects p LEFT JOIN (SELECT project_id, count(*) AS related, count(*) FILTER (status <> 'Resolved') AS open_issues, count(*) FILTER (status <> 'Resolved' AND severity = 'Blocking') AS blocking,
     count(*) FILTER (status <> 'Resolved' AND severity = 'Warning') AS warning FROM @issue_log GROUP BY 1) i ON p.project_id = i.project_id""")
@@ -275,6 +267,21 @@ ALIKE = lambda x, y: f"""{x}.discipline = {y}.discipline AND ({x}.project_id = {
     AND (({x}.category = {y}.category AND lower({x}.message) = lower({y}.message)) OR (len({x}.tk) > 0 AND len(list_intersect({x}.tk, {y}.tk)) / greatest(len({x}.tk), len({y}.tk)) >= 0.65))"""
 
 
+def _numbered(t):
+    p, s = C("project_id"), C("seq")
+    odd = F.concat(F.lit("panel "), "severity", F.lit(" missing at level "), F.chr(97 + s % 13), F.lit("xx"))
+    return t.issue_log.select("seq", "project_id", F.when(p % 3 != 1, F.concat(F.lit("N-"), F.floor(p / 4).cast("string"))).otherwise("").alias("project_number"), "discipline", "category",
+                              F.when(s % 17 == 0, F.concat(F.lit("?"), (s % 5).cast("string"))).when(s % 5 == 1, odd).otherwise(C("message")).alias("message"))
+
+
+@query("i4_duplicate_issues", f"""WITH m AS MATERIALIZED (SELECT *, {TOKS} AS tk FROM ({NUMBERED})), a AS (SELECT * FROM m WHERE seq % 2 = 0), b AS (SELECT * FROM m WHERE seq % 2 = 1)
+  SELECT b.seq AS incoming_seq, min(a.seq) AS existing_seq FROM b JOIN a ON {ALIKE('a', 'b')} GROUP BY 1""")
+def _(t):
+    from recordqc.operators.imports import stored_duplicates
+    m = _numbered(t)
+    return stored_duplicates(m.where("seq % 2 = 0"), m.where("seq % 2 = 1"))
+
+
 @query("i5_import_issues", f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, {TOKS} AS tk FROM ({NUMBERED})), a AS (SELECT * FROM m WHERE seq % 4 = 0 AND seq % 3 = 0), b AS (SELECT * FROM m WHERE NOT (seq % 4 = 0 AND seq % 3 = 0)),
   ext AS MATERIALIZED (SELECT b.seq, min(a.seq) AS old FROM b JOIN a ON {ALIKE('a', 'b')} GROUP BY b.seq),
   free AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM b ANTI JOIN ext USING (seq)),
@@ -285,9 +292,6 @@ ALIKE = lambda x, y: f"""{x}.discipline = {y}.discipline AND ({x}.project_id = {
     coalesce(old, new) AS duplicate_seq FROM b LEFT JOIN ext USING (seq) LEFT JOIN d USING (seq)""")
 def _(t):
     from recordqc.operators.imports import import_issues
-    p, s = C("project_id"), C("seq")
-    odd = F.concat(F.lit("panel "), "severity", F.lit(" missing at level "), F.chr(97 + s % 13), F.lit("xx"))
-    m = t.issue_log.select("seq", "project_id", F.when(p % 3 != 1, F.concat(F.lit("N-"), F.floor(p / 4).cast("string"))).otherwise("").alias("project_number"), "discipline", "category",
-                           F.when(s % 17 == 0, F.concat(F.lit("?"), (s % 5).cast("string"))).when(s % 5 == 1, odd).otherwise(C("message")).alias("message"))
+    m, s = _numbered(t), C("seq")
     stored = (s % 4 == 0) & (s % 3 == 0)
     return import_issues(m.where(stored), m.where(~stored))
