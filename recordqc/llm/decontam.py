@@ -33,6 +33,8 @@ from recordqc.llm.common import map_batches, stored, texts_of
 #: Bytes outside words become spaces, A-Z become a-z; bytes of characters beyond ASCII stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _BUILT: dict = {}
+#: An index of 100,000 words takes about 80 MB of a Python worker; a shard has at most twice as many words.
+SHARD_WORDS = 100_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -124,7 +126,7 @@ def pieces_of(benchmark: DataFrame, window: int, piece_words: int) -> DataFrame:
     return cut.select("item", F.explode("pieces").alias("piece"))
 
 
-def shards_of(benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+def shards_of(benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
     """Number of shards, and their pieces: a shard is fetched when it is asked for and has at most twice ``shard_words`` words."""
     piece_words = max(2 * window, min(10_000, shard_words // 10))
     pieces = stored(pieces_of(benchmark, window, piece_words).distinct(), "benchmark-pieces")
@@ -138,7 +140,7 @@ def shards_of(benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_0
     return n, ([(r.item, r.piece) for r in dealt.where(F.col("__shard") == i).select("item", "piece").collect()] for i in range(n))
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = 1_000_000, keep_text: bool = True) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, shard_words: int = SHARD_WORDS, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_words, n_hit, hit_spans`` (flat start, end pairs in words) ``, hit_items`` (sorted as strings) ``, n_items``."""
     made_names = ["n_words", "n_hit", "hit_spans", "hit_items", "n_items"]
     docs = docs.drop(*made_names)
@@ -199,7 +201,7 @@ def cut_words(text: str, spans: list[int]) -> str:
     return b"\n".join(p for p in parts if p).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, shard_words: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``docs`` without hit spans; documents of which ``coverage`` of the words are hit go.
 
     Joined remains could spell an item anew, so cut documents are marked again until none is hit; every round

@@ -162,7 +162,7 @@ def train(rows: DataFrame, pieces: Pieces, sample: int, types: int):
         import pyarrow as pa
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), texts_of(b)):
-                words = [w for w in (x.decode() for x in words_of(text)) if len(w) <= MAX_FIT]
+                words = [w[i:i + MAX_FIT] for w in (x.decode() for x in words_of(text)) for i in range(0, len(w), MAX_FIT)]
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words)], names=["lang", "word"])
 

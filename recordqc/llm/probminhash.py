@@ -270,7 +270,10 @@ def classes(docs: DataFrame, similarity: float = 0.8, bands: int = 40, rows: int
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest ``doc_id``; texts without words all stay."""
+    """``docs`` with one row of each class, that of the smallest ``doc_id``; texts without words all stay.
+
+    Of rows with one id and text the first by their other columns (as JSON) stays.
+    """
     key = F.md5(F.col("text").cast("binary"))
     found = classes(docs.select("doc_id", "text"), **how).where("not __own")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("w")).select("w.doc_id", "w.node")
@@ -278,5 +281,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     wordless = tagged.where(~F.coalesce(F.regexp_like("text", F.lit(r"[^ \t\n\x0B\f\r]")), F.lit(False)))
     match = (F.col("d.__node") == F.col("b.node")) & F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
     kept = tagged.alias("d").join(best.alias("b"), match, "left_semi")
-    once = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__node", "doc_id").orderBy(F.lit(0)))).where("__k = 1")
+    rest = [F.to_json(F.struct(*[c for c in docs.columns if c not in ("text", "doc_id")]))] if set(docs.columns) - {"text", "doc_id"} else [F.lit(0)]
+    once = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__node", "doc_id").orderBy(*rest))).where("__k = 1")
     return once.select(*docs.columns).union(wordless.select(*docs.columns))

@@ -109,6 +109,37 @@ def ratios(counts: np.ndarray, prior: float = 200.0) -> np.ndarray:
     return np.log(random) - np.log(plain)
 
 
+def random_parts(run: str, table: np.ndarray, least: int, per_char: float) -> list[tuple[int, int]]:
+    """Stretches of a run that look random: all of it, or else those of largest score above ``per_char`` a character.
+
+    A stretch has ``least`` characters or more and reaches to the next mark on either side; what is left and right of it is judged again.
+    """
+    found, open_ = [], [(0, len(run))]
+    while open_:
+        at, end = open_.pop()
+        if end - at < least:
+            continue
+        codes = _CODE[np.frombuffer(run[at:end].encode(), np.uint8)]
+        scores = table[codes[:-1], codes[1:]]
+        if scores.sum() >= per_char * (end - at):
+            found.append((at, end))
+            continue
+        total = np.concatenate(([0.0], np.cumsum(scores - per_char)))  # total[j] - total[i]: pairs of the characters i to j
+        low = np.minimum.accumulate(total[:len(total) - least + 1])
+        gain = total[least - 1:] - low
+        j = int(np.argmax(gain))
+        if gain[j] < per_char:
+            continue
+        begin, stop = at + int(np.argmin(total[:j + 1])), at + j + least
+        while begin > at and run[begin - 1].isalnum():
+            begin -= 1
+        while stop < end and run[stop].isalnum():
+            stop += 1
+        found.append((begin, stop))
+        open_ += [(at, begin), (stop, end)]
+    return sorted(found)
+
+
 def scan(docs: DataFrame, least: int = 20, per_char: float = 1.5, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``n_assign, n_access, n_hex, n_markov, base_list, span_list`` (kind:start:end strings, end exclusive)."""
     run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % least)
@@ -126,10 +157,7 @@ def scan(docs: DataFrame, least: int = 20, per_char: float = 1.5, keep_text: boo
             for m in run.finditer(text):
                 at = m.start()
                 for s, e in [*(t for t in taken if t[0] < m.end() and t[1] > m.start()), (m.end(), m.end())]:
-                    if s - at >= least:
-                        codes = _CODE[np.frombuffer(text[at:s].encode(), np.uint8)]
-                        if table[codes[:-1], codes[1:]].sum() >= per_char * (s - at):
-                            more.append((at, 3, s))
+                    more += [(at + b, 3, at + e2) for b, e2 in random_parts(text[at:s], table, least, per_char)]
                     at = max(at, e)
             kinds = [k for _, k, _ in spans]
             for k in range(3):
