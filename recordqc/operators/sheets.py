@@ -364,7 +364,7 @@ def discipline_counts(pages: DataFrame) -> DataFrame:
 
 
 def similar_references(queries: DataFrame, refs: DataFrame, k: int = 3, block_rows: int = 20000) -> DataFrame:
-    """Exact top-k cosine per query over blocks of both sides.
+    """Exact top-k cosine per query over blocks of both sides; rows with the query's own ``vec_id`` are no references.
 
     Every (query block, reference block) cell multiplies two bounded matrices
     and returns its own top k, so no pair of vectors becomes a row.
@@ -386,8 +386,9 @@ def similar_references(queries: DataFrame, refs: DataFrame, k: int = 3, block_ro
                 part = left.iloc[at:at + 1024]
                 sims = unit(part["embedding"]) @ b.T
                 for row, vec in zip(sims, part["vec_id"]):
+                    row[ids == vec] = -2.0  # below every cosine
                     best = np.lexsort((ids, -np.round(row, 9)))[:k]
-                    out += [(int(vec), int(ids[j]), float(row[j])) for j in best]
+                    out += [(int(vec), int(ids[j]), float(row[j])) for j in best if ids[j] != vec]
         return pd.DataFrame(out, columns=["vec_id", "ref_id", "cosine"])
     cells = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInPandas(cell, "vec_id bigint, ref_id bigint, cosine double")
     return top_k(cells.withColumn("c", F.round("cosine", 9)), ["vec_id"], ["-c", "ref_id"], k, "rank").select("vec_id", "rank", "ref_id", C("cosine"))

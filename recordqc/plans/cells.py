@@ -69,10 +69,10 @@ _AL = "(VALUES " + ", ".join(f"('{f}', '{a}')" for f, names in X.FIELD_ALIASES.i
 
 @query("i11_suggest_mapping", f"""WITH h AS (SELECT name, field, alias, k FROM (SELECT DISTINCT name, {_HK} AS k FROM @headers) d JOIN {_AL}
     ON k = alias OR (length(k) >= 5 AND length(alias) >= 5 AND (contains(k, alias) OR contains(alias, k)))),
-  m AS (SELECT workbook, sheet, field, name, k, pos, row_number() OVER (PARTITION BY workbook, sheet, field ORDER BY CASE WHEN k = alias THEN 0 ELSE 1 END, pos, name) AS rn FROM @headers JOIN h USING (name)),
-  b AS (SELECT * FROM m WHERE rn = 1),
+  m AS (SELECT workbook, sheet, field, min(struct_pack(r := CASE WHEN k = alias THEN 0 ELSE 1 END, pos := pos, name := name, k := k)) AS x FROM @headers JOIN h USING (name) GROUP BY workbook, sheet, field),
+  b AS MATERIALIZED (SELECT workbook, sheet, field, x.name AS name, x.k AS k, x.pos AS pos FROM m),
   l AS (SELECT workbook, sheet, CASE WHEN regexp_matches(min(k), w) THEN u ELSE t END AS field FROM b JOIN (VALUES ('projectTonnage', 'tonnage', 'project|total|combined|grand'), ('projectDuctFeet', 'ductFeet', 'project|total')) p(t, u, w)
     ON field = t OR field = u GROUP BY workbook, sheet, t, u, w HAVING count(*) = 2 AND count(DISTINCT pos) = 1)
-  SELECT workbook, sheet, field, name AS header, pos FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.workbook = b.workbook AND l.sheet = b.sheet AND l.field = b.field)""")
+  SELECT workbook, sheet, field, name AS header, pos FROM b ANTI JOIN l USING (workbook, sheet, field)""")
 def _(t):
     return K.suggest_mapping(t.headers, ["workbook", "sheet"])
