@@ -13,12 +13,13 @@ C = F.col
 
 
 def detect_issues(facts: DataFrame) -> DataFrame:
-    """One row per rule a project breaks."""
+    """One row per rule a project breaks. Panels are asked for where the electrical service is known (``service_info``, if there is such a column)."""
     issue = lambda cond, d, cat, msg, sev: F.when(cond, F.struct(F.lit(d).alias("discipline"), F.lit(cat).alias("category"),
                                                                  F.lit(msg).alias("message"), F.lit(sev).alias("severity")))
     tons, units, pan = C("chosen").isNotNull(), C("unit_rows") > 0, C("panel_rows") > 0
     useful = tons | units | pan | F.coalesce(C("duct_feet") > 0, F.lit(False))
     mech = tons | units
+    served = X.meaningful(C("service_info")) if "service_info" in facts.columns else F.lit(False)
     inc = "Equipment values incomplete"
     rules = F.array(
         issue(C("review_required"), "Mechanical", "Conflicting values", "Recorded project total and listed equipment sum require staff review.", "Warning"),
@@ -29,6 +30,7 @@ def detect_issues(facts: DataFrame) -> DataFrame:
         issue(C("canonical") == "Unknown", "General", "Consultant not identified", "MEP consultant is not identified.", "Warning"),
         issue(mech & ~C("has_manufacturer"), "Mechanical", inc, "Primary equipment manufacturer is not recorded.", "Note"),
         issue(mech & ~C("has_model"), "Mechanical", inc, "Primary equipment model is not recorded.", "Note"),
+        issue(served & (C("panel_rows") == 0) & C("panel_count").isNull(), "Electrical", inc, "Electrical panel information is not recorded.", "Warning"),
         issue(C("excluded"), "General", "Project intentionally excluded from analysis",
               "Project is excluded from estimator and consultant statistics.", "Blocking"))
     return facts.select("project_id", "project_number", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("i")).select("project_id", "project_number", "i.*")

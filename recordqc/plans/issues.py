@@ -20,6 +20,7 @@ DET = f"""det AS (SELECT project_id, project_number, 'Mechanical' AS discipline,
   UNION ALL SELECT project_id, project_number, 'General', 'Consultant not identified', 'MEP consultant is not identified.', 'Warning' FROM facts WHERE canonical = 'Unknown'
   UNION ALL SELECT project_id, project_number, 'Mechanical', {INC}, 'Primary equipment manufacturer is not recorded.', 'Note' FROM facts WHERE {_U} AND NOT has_manufacturer
   UNION ALL SELECT project_id, project_number, 'Mechanical', {INC}, 'Primary equipment model is not recorded.', 'Note' FROM facts WHERE {_U} AND NOT has_model
+  UNION ALL SELECT project_id, project_number, 'Electrical', {INC}, 'Electrical panel information is not recorded.', 'Warning' FROM facts WHERE trim(coalesce(service_info, '')) NOT IN ('', 'Unknown') AND panel_rows = 0 AND panel_count IS NULL
   UNION ALL SELECT project_id, project_number, 'General', 'Project intentionally excluded from analysis', 'Project is excluded from estimator and consultant statistics.', 'Blocking' FROM facts WHERE excluded)"""
 
 

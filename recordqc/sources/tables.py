@@ -156,7 +156,8 @@ VIEWS: dict[str, str] = {
                WHEN 5 THEN 'Hvac Partners LLC' WHEN 6 THEN 'Unknown' WHEN 7 THEN '' ELSE 'North Group' END AS consultant,
              CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(o_totalprice / 10) AS DOUBLE) END AS square_feet,
              o_orderstatus = 'P' AND o_orderkey % 5 = 0 AS excluded, o_orderkey % 13 = 0 AS review_required,
-             CASE WHEN o_orderkey % 4 = 0 THEN 'tonnage by others' WHEN o_orderkey % 4 = 1 THEN 'custom unit' ELSE '' END AS note
+             CASE WHEN o_orderkey % 4 = 0 THEN 'tonnage by others' WHEN o_orderkey % 4 = 1 THEN 'custom unit' ELSE '' END AS note,
+             CASE o_custkey % 6 WHEN 0 THEN '480V 3-phase' WHEN 1 THEN 'Unknown' WHEN 2 THEN '208V' WHEN 3 THEN NULL ELSE '' END AS service_info
       FROM @orders JOIN @customer ON o_custkey = c_custkey""",
     "units": """
       SELECT l_orderkey AS project_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 10000 + l_suppkey AS seq,
