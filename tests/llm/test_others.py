@@ -100,12 +100,12 @@ def test_pipeline_decisions_hold(spark):
 def test_queries_run_on_small_tables(spark):
     import __spark_entry__ as entry
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert len(names) == 10
+    assert len(names) == 13
     for n in ("op1_language_id", "op3_quality_rules", "op6_secret_scan", "op7_chat_format", "op10_shard", "op2_mix_sources"):
         assert entry.queries()[n](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["op5_substring_dedup", "op8_decontaminate", "op9_warc"])
+@pytest.mark.parametrize("name", ["op5_substring_dedup", "op8_decontaminate", "op9_warc", "op11_source_divergence", "op12_phrases", "op13_suffix_dedup"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__ as entry
     import check
