@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("catalog", "backups", "precedents", "issues", "sheets", "streams", "cells", "drawings")
+_AREAS = ("catalog", "backups", "precedents", "issues", "sheets", "streams", "cells", "drawings", "spelling")
 
 
 def _load():

@@ -118,3 +118,44 @@ def test_snapshot_over_batches_equals_one_batch(spark, tmp_path):
     got = T.run_snapshot(T.catalog_arrivals(stream), ["path"], ["modified_us", "seq"], "parity")
     want = T.newest(T.catalog_arrivals(rows.withColumn("ts", F.col("ts").cast("timestamp"))), ["path"], ["modified_us", "seq"])
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in got.columns) for r in want.collect())
+
+
+def test_one_edit_neighbours_equal_brute_force(spark):
+    import random
+
+    from recordqc.operators import spelling as SP
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(400)})
+    left, right = words[::2], words[1::2] + words[:20]
+
+    def edits(w):
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        made = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+        made |= {a + c + b for a, b in cuts for c in "abc"} | {a + c + b[1:] for a, b in cuts if b for c in "abc"}
+        return made - {w}
+
+    want = {(w, k) for w in left for k in set(right) & edits(w)}
+    frame = lambda ws: spark.createDataFrame([(w, 1) for w in sorted(set(ws))], "word string, n bigint")
+    got = SP.within_one_edit(frame(left).select("word"), frame(right)).collect()
+    assert len(got) == len({(r.word, r.near) for r in got}) and {(r.word, r.near) for r in got} == want and want
+
+
+def test_spelling_against_a_dictionary(spark):
+    from recordqc.operators import spelling as SP
+    ddl = "set_id string, page_number bigint, doc_id bigint, sheet_number string, sheet_title string, title_block_text string, text string"
+    text = ("the corridr wall and the corridr wall near doors, x-rated wall-door walls; accomodate a CORRI slab zzzzzz, corrdior " + "the wall and " * 8
+            + "fire wals at the stiar. " + "and the " * 20)
+    pages = spark.createDataFrame([("s", 1, 1, "A1", None, None, text), ("s", 1, 2, " ", None, "Zumthor", "zumthr and the wall"), ("s", 2, 3, None, None, "Zumthor", None),
+                                   ("t", 1, 4, "B1", None, None, "zumthr"), ("t", 2, 5, "B2", None, "wal", ""), (None, 1, 6, "C", None, None, "corridr"), ("e", 1, 7, "C", None, None, None), ("p", 1, 8, "C", None, None, "call 555-123-4567 for corridr")], ddl)
+    words = spark.createDataFrame([("the", 90), ("and", 80), ("wall", 20), ("corridor", 5), ("corridon", 5), ("door", 7), ("near", 3), ("slab", 3), ("fire", 3), ("stair", 3),
+                                   ("stir", 9), ("call", 3), ("for", 9), ("walt", 1), (None, 3)], "word string, n int")
+    rows = SP.spelling(pages, words, ["Acme"]).collect()
+    got = sorted((r.set_id, r.sheet, r.word, r.suggestion, r.source, r.start) for r in rows)
+    assert got == sorted([
+        ("s", "A1", "corridr", "corridor", "dictionary", 4), ("s", "A1", "corridr", "corridor", "dictionary", text.index("corridr wall near")),
+        ("s", "A1", "accomodate", "accommodate", "known_correction", text.index("accomodate")), ("s", "A1", "corrdior", "corridor", "dictionary", text.index("corrdior")),
+        ("s", "A1", "wals", "wall", "dictionary", text.index("wals")), ("s", "A1", "stiar", "stir", "dictionary", text.index("stiar")),
+        ("s", "Page 1", "zumthr", "zumthor", "dictionary", 0)])
+    one = next(r for r in rows if r.word == "wals")
+    assert one.context.startswith("...") and one.context.endswith("...") and "fire wals at the stiar." in one.context
+    assert SP.spelling(pages.where("false"), words).count() == 0 and SP.spelling(pages, words.where("false"), ["zumthr"]).where("source = 'dictionary'").count() == 0
