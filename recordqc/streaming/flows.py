@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,31 +20,64 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parq
             .withColumn("ts", C("ts").cast("timestamp")))
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _paths(spark: SparkSession, name: str, root: str | None) -> tuple[str, str]:
+    root = root.rstrip("/") if root else f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return f"{root}/out", f"{root}/checkpoint"
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode query over what has arrived and read its sink."""
-    spark = stream.sparkSession
-    out, ckpt = _paths(spark, name)
+def _append(stream: DataFrame, out: str, ckpt: str) -> None:
     q = (stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def run_append(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Run an append-mode query over what has arrived and read its sink; a caller's ``root`` folder resumes where the last call ended."""
+    out, ckpt = _paths(stream.sparkSession, name, root)
+    _append(stream, out, ckpt)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+#: Later than any arrival: moves the watermark past all of them; its own window stays open and is never emitted.
+END = "9999-01-01 00:00:00"
+
+
+def run_closed(events: DataFrame, flow: Callable[[DataFrame], DataFrame], name: str, root: str | None = None) -> DataFrame:
+    """``flow(events)`` in append mode to the end of a finite input: windows and sessions that the last arrivals leave open are emitted too.
+
+    A second source beside the events is empty at first. After everything has arrived it is given one row at ``END``, and the same query
+    goes on from its checkpoint, so no arrival of an earlier batch can be late because of it. What arrives after that is late.
+    """
+    spark = events.sparkSession
+    out, ckpt = _paths(spark, name, root)
+    closing = out[:-len("out")] + "closing"
+    spark.createDataFrame([], events.schema).write.mode("ignore").parquet(closing)
+    stream = flow(events.unionByName(spark.readStream.schema(events.schema).parquet(closing)))
+    _append(stream, out, ckpt)
+    last = [F.to_timestamp(F.lit(END)).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*last).write.mode("append").parquet(closing)
+    _append(stream, out, ckpt)
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_snapshot(stream: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def _version(spark: SparkSession, out: str) -> int:
+    """The last complete version of a snapshot."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/v*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return max(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+
+def run_snapshot(stream: DataFrame, keys: list[str], order: list[str], name: str, root: str | None = None) -> DataFrame:
     """Merge arrivals into a versioned snapshot that holds the newest row per key.
 
     Each batch writes version ``batch + 1`` from the version before, so a batch
-    that runs again writes the same version again.
+    that runs again writes the same version again. With a caller's ``root`` folder
+    the next call goes on from the last version.
     """
     spark = stream.sparkSession
-    out, ckpt = _paths(spark, name)
+    out, ckpt = _paths(spark, name, root)
     cols = stream.columns
-    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/v0")
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{out}/v0")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         old = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/v{batch_id}")
@@ -51,8 +85,7 @@ def run_snapshot(stream: DataFrame, keys: list[str], order: list[str], name: str
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max([p["batchId"] for p in q.recentProgress], default=-1)
-    return spark.read.schema(stream.schema).parquet(f"{out}/v{last + 1}")
+    return spark.read.schema(stream.schema).parquet(f"{out}/v{_version(spark, out)}")
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -159,3 +159,26 @@ def test_spelling_against_a_dictionary(spark):
     one = next(r for r in rows if r.word == "wals")
     assert one.context.startswith("...") and one.context.endswith("...") and "fire wals at the stiar." in one.context
     assert SP.spelling(pages.where("false"), words).count() == 0 and SP.spelling(pages, words.where("false"), ["zumthr"]).where("source = 'dictionary'").count() == 0
+
+
+def test_streams_resume_and_close(spark, tmp_path):
+    at = lambda h, m=0: f"2024-01-01 {h:02d}:{m:02d}:00"
+    put = lambda rows: spark.createDataFrame([(i, t, u, "view", v, "{}") for i, t, u, v in rows], "event_id bigint, ts string, user_id bigint, event_type string, value double, props string") \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = lambda: T.event_stream(spark, str(tmp_path / "in"), "*.parquet")
+    snapshot = lambda: {tuple(r) for r in T.run_snapshot(T.catalog_arrivals(events()), ["path"], ["modified_us", "seq"], "x", str(tmp_path / "snap")).select("path", "size", "seq").collect()}
+    put([(1, at(1), 1, 1.0), (2, at(1, 30), 2, 2.0)])
+    assert snapshot() == {("Main/u1/view", 100, 1), ("Main/u2/view", 200, 2)}
+    assert snapshot() == {("Main/u1/view", 100, 1), ("Main/u2/view", 200, 2)}  # nothing new
+    first = T.run_append(T.scan_progress(events()), "x", str(tmp_path / "open"))
+    assert first.count() == 0  # the hour is not over
+    put([(3, at(2), 1, 3.0), (4, at(0), 2, 9.0), (5, at(5), 3, 4.0)])
+    assert snapshot() == {("Main/u1/view", 300, 3), ("Main/u2/view", 200, 2), ("Main/u3/view", 400, 5)}
+    resumed = T.run_append(T.scan_progress(events()), "x", str(tmp_path / "open"))
+    hours = lambda df: sorted((int(r.window_start) // 3600 % 24, r.files) for r in df.collect())
+    base = hours(T.run_closed(events(), T.scan_progress, "x"))
+    assert [n for _, n in base] == [1, 2, 1, 1] and base[-1][0] - base[0][0] == 5  # the last hour is there
+    assert set(hours(resumed)) < set(base)
+    sessions = T.run_closed(events(), T.session_expiry, "x").collect()
+    assert sorted((r.user_id, r.actions) for r in sessions) == [(1, 2), (2, 2), (3, 1)]
+    assert T.run_closed(events().where("false"), T.scan_progress, "x").count() == 0
