@@ -2,10 +2,13 @@
 
 Each text gives a vector of transformed statistics. Per language and source, a
 minimum covariance determinant estimate of its centre and scatter is reached
-by concentration steps: from medians and quartiles, the ``core`` share of rows
-with the smallest Mahalanobis distances gives the next mean and covariance. A
-last step takes all rows inside the 97.5 % ellipse. Rows far outside of it are
-rejected.
+by concentration steps: the ``core`` share of rows with the smallest Mahalanobis
+distances gives the next mean and covariance. Three starts go side by side, all
+at the medians: quartile ranges alone, and these with the correlations of
+hyperbolic tangents or of spatial signs, neither of which a far row can bend.
+Steps end when no determinant falls any more; of a group's starts the one of
+least determinant stays (ties: the first). A last step takes all rows inside the
+97.5 % ellipse. Rows far outside of it are rejected.
 
 Means and covariances are sums that combine before the shuffle, so a hot source
 is no hot task. Vectors and distances lie on integer grids: sums are exact, and
@@ -111,12 +114,8 @@ def _consistency(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-def _factored(moments: DataFrame, factor: float) -> DataFrame:
-    """``g, m0.., l00, l10, ..`` (Cholesky factor of scatter times ``factor`` plus floors) from sums over a group."""
-    n = F.col("n").cast("double")
-    df = moments.select("g", *[(F.col(f"s{i}").cast("double") / n / GRID).alias(f"m{i}") for i in range(P)],
-                        *[(F.lit(factor) * (F.col(f"s{i}{j}").cast("double") / n - F.col(f"s{i}").cast("double") / n * (F.col(f"s{j}").cast("double") / n))
-                           / (GRID * GRID) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+def _cholesky(df: DataFrame, by: list[str]) -> DataFrame:
+    """``by, m0.., l00, l10, ..`` and ``logdet`` from ``c00, c10, ..``; no pivot lies below its floor."""
     for j in range(P):
         rest = F.col(f"c{j}{j}")
         for k in range(j):
@@ -127,12 +126,25 @@ def _factored(moments: DataFrame, factor: float) -> DataFrame:
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return df.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    logdet = sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0)) * 2
+    return df.select(*by, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], logdet.alias("logdet"))
+
+
+def _factored(moments: DataFrame, factor: float, by: list[str]) -> DataFrame:
+    """Mean and Cholesky factor of scatter times ``factor`` plus floors, from sums over a group."""
+    n = F.col("n").cast("double")
+    df = moments.select(*by, *[(F.col(f"s{i}").cast("double") / n / GRID).alias(f"m{i}") for i in range(P)],
+                        *[(F.lit(factor) * (F.col(f"s{i}{j}").cast("double") / n - F.col(f"s{i}").cast("double") / n * (F.col(f"s{j}").cast("double") / n))
+                           / (GRID * GRID) + F.lit(FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+    return _cholesky(df, by)
 
 
 def _distance(df: DataFrame, shape: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance ``distance`` (null without an estimate) and its grid value ``__d``."""
-    df = df.join(shape, "g", "left")
+    """Squared Mahalanobis distance ``distance`` (null without an estimate) and its grid value ``__d``, for each start of ``shape``.
+
+    ``shape`` has at most three rows for each language and source of ``least`` rows or more, a few hundred bytes each.
+    """
+    df = df.join(F.broadcast(shape), "g", "left")
     total = F.lit(0.0)
     for i in range(P):
         z = F.col(f"x{i}") / F.lit(float(GRID)) - F.col(f"m{i}")
@@ -141,24 +153,56 @@ def _distance(df: DataFrame, shape: DataFrame) -> DataFrame:
         df = df.withColumn(f"z{i}", z / F.col(f"l{i}{i}"))
         total = total + F.col(f"z{i}") * F.col(f"z{i}")
     df = df.withColumn("distance", total).withColumn("__d", F.floor(F.log1p("distance") * DGRID))
-    return df.drop(*[f"z{i}" for i in range(P)], *[c for c in shape.columns if c != "g"])
+    return df.drop(*[f"z{i}" for i in range(P)], *[c for c in shape.columns if c not in ("g", "start")])
 
 
-def _moments(df: DataFrame) -> DataFrame:
+def _moments(df: DataFrame, by: list[str]) -> DataFrame:
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + \
            [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)]
-    return df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def _diagonal(df: DataFrame) -> DataFrame:
-    """The start: medians and quartile ranges, no correlation."""
-    quarts = df.groupBy("g").agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)])
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates a group: 0 without correlation, 1 with that of tangents, 2 with that of spatial signs."""
+    quarts = rows.groupBy("g").agg(*[F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}") for i in range(P)])
     root = lambda i: F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * GRID), F.lit(2.0)) + FLOOR[i] ** 2)
-    return quarts.select("g", *[(F.col(f"q{i}")[1] / GRID).alias(f"m{i}") for i in range(P)],
-                         *[(root(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)])
+    middle = stored(quarts.select("g", *[(F.col(f"q{i}")[1] / GRID).alias(f"m{i}") for i in range(P)], *[root(i).alias(f"d{i}") for i in range(P)]), "mcd-middle")
+    z = [(F.col(f"x{i}") / F.lit(float(GRID)) - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(P)]
+    norm = F.sqrt(sum((x * x for x in z), F.lit(0.0)))
+    grid = lambda x: F.round(x * GRID).cast("long")
+    kinds = F.array(*[F.struct(F.lit(k).alias("start"), *[grid(v).alias(f"x{i}") for i, v in enumerate(vs)])
+                      for k, vs in ((1, [F.tanh(x) for x in z]), (2, [F.when(norm > 0, x / norm).otherwise(F.lit(0.0)) for x in z]))])
+    bent = _moments(rows.join(F.broadcast(middle), "g").select("g", F.explode(kinds).alias("k")).select("g", "k.*"), ["g", "start"])
+    spread = lambda i, j: F.col(f"s{i}{j}").cast("double") / F.col("n") - F.col(f"s{i}").cast("double") / F.col("n") * (F.col(f"s{j}").cast("double") / F.col("n"))
+    # a statistic without spread has no correlation; shrunk by a hundredth, so that the factor exists
+    corr = lambda i, j: F.when((spread(i, i) > 0) & (spread(j, j) > 0), F.lit(0.99) * spread(i, j) / F.sqrt(spread(i, i) * spread(j, j))).otherwise(F.lit(0.0))
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    tied = bent.select("g", "start", *[corr(i, j).alias(f"r{i}{j}") for i, j in pairs if i != j])
+    plain = middle.select("g", F.lit(0).alias("start"), *[F.lit(0.0).alias(f"r{i}{j}") for i, j in pairs if i != j])
+    both = plain.unionByName(tied).join(F.broadcast(middle), "g")
+    scatter = [(F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.col(f"r{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i, j in pairs]
+    return _cholesky(both.select("g", "start", *[f"m{i}" for i in range(P)], *scatter), ["g", "start"])
+
+
+def estimate(rows: DataFrame, core: float = 0.75, steps: int = 12) -> DataFrame:
+    """For each group ``g`` of stored ``rows`` (``g, x0..``) its least determinant: ``m0.., l00.., logdet, start``.
+
+    At most ``steps`` steps; they end as soon as no group's determinant falls by more than a millionth.
+    """
+    by = ["g", "start"]
+    shape = stored(_starts(rows), "mcd-start")
+    for step in range(steps):
+        near = _distance(rows, shape)
+        limit = stored(near.groupBy(*by).agg(F.percentile("__d", core).alias("__limit")), f"mcd-limit{step}")
+        inside = near.join(F.broadcast(limit), by).where(F.col("__d") <= F.col("__limit"))
+        before, shape = shape, stored(_factored(_moments(inside, by), _consistency(core), by), f"mcd-step{step}")
+        falls = shape.join(before.select(*by, F.col("logdet").alias("__old")), by).where(F.col("logdet") < F.col("__old") - 1e-6)
+        if step and falls.isEmpty():  # the first step leaves the starts, whose determinants are of another kind
+            break
+    return shape.groupBy("g").agg(F.min_by(F.struct(*[c for c in shape.columns if c != "g"]), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
 
 
-def judge(measured: DataFrame, core: float = 0.75, steps: int = 3, tail: float = 1e-5, least: int = 50) -> DataFrame:
+def judge(measured: DataFrame, core: float = 0.75, steps: int = 12, tail: float = 1e-5, least: int = 50) -> DataFrame:
     """``measured`` (a stored table of ``measure``) with ``distance`` and ``kept``.
 
     Rejected are squared distances beyond the chi-square quantile that a share of ``tail`` of normal rows exceeds.
@@ -168,16 +212,11 @@ def judge(measured: DataFrame, core: float = 0.75, steps: int = 3, tail: float =
     counts = stored(good.groupBy("__g").agg(F.count(F.lit(1)).alias("__n")), "mcd-groups")
     own = F.when(F.col("__n") >= least, F.col("__g")).otherwise(F.lit(POOL))
     pooled = counts.select("__g", own.alias("g"))
-    sizes = pooled.join(counts, "__g").groupBy("g").agg(F.sum("__n").alias("__n")).where(F.col("__n") >= least).select("g")
+    sizes = stored(pooled.join(counts, "__g").groupBy("g").agg(F.sum("__n").alias("__n")).where(F.col("__n") >= least).select("g"), "mcd-sizes")
     rows = stored(good.join(pooled, "__g").join(sizes, "g", "left_semi").select("g", *made), "mcd-rows")
-    shape = stored(_diagonal(rows), "mcd-start")
-    for step in range(steps):
-        near = _distance(rows, shape)
-        limit = near.groupBy("g").agg(F.percentile("__d", core).alias("__limit"))
-        inside = near.join(limit, "g").where(F.col("__d") <= F.col("__limit"))
-        shape = stored(_factored(_moments(inside), _consistency(core)), f"mcd-step{step}")
-    inside = _distance(rows, shape).where(F.col("distance") <= chi2_quantile(0.975, P))
-    shape = stored(_factored(_moments(inside), _consistency(0.975)), "mcd-final")
+    best = stored(estimate(rows, core, steps), "mcd-best")
+    inside = _distance(rows, best).where(F.col("distance") <= chi2_quantile(0.975, P)).drop("start")
+    shape = stored(_factored(_moments(inside, ["g"]), _consistency(0.975), ["g"]), "mcd-final")
 
     tagged = measured.withColumn("__g", key_of(F.col("lang"), F.col("source"))) \
         .join(pooled, "__g", "left").withColumn("g", F.coalesce("g", F.lit(POOL))).select(*measured.columns, "g", *_vector())
