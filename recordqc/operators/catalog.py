@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from recordqc.functions import files as X
-from recordqc.operators.scale import first_per, join_back, multiset_digest, ranked, top_k, with_totals
+from recordqc.operators.scale import first_per, join_back, multiset_digest, ranked, running, top_k, with_totals
+from recordqc.session import written
 
 C = F.col
 
@@ -83,7 +84,6 @@ def missing_sequences(sheets: DataFrame) -> DataFrame:
     Gaps are found between neighbours, so the work and the emitted rows follow
     the gaps and not the span of a prefix.
     """
-    from recordqc.operators.scale import running
     rx = r"^([A-Z]+)(\d+)$"
     up = F.upper(C("sheet_number"))
     got = sheets.where(up.rlike(rx)).select(F.regexp_extract(up, rx, 1).alias("prefix"), F.regexp_extract(up, rx, 2).alias("txt"))
@@ -326,52 +326,85 @@ def record_status(r: DataFrame) -> DataFrame:
                         .otherwise("Needs Processing"))
 
 
+_STEM = r"^(.*/[^/]+?|[^/]+?)(\.[^./]*)?$"
+
+
+def _numbered(path: Column, suffix: str, k: Column) -> Column:
+    return F.concat(F.regexp_extract(path, _STEM, 1), F.lit(suffix), k.cast("string"), F.regexp_extract(path, _STEM, 2))
+
+
 def resolve_collisions(plan: DataFrame, suffix: str = "_duplicate-") -> DataFrame:
-    """First free ``<base><suffix>k`` for repeated output paths, in ``seq`` order.
+    """First free ``<base><suffix>k`` (k from 2) for repeated output paths, in ``seq`` order; ``seq`` must be unique.
 
-    Repeats are numbered with a range-partitioned count. Only name families in
-    which a file already carries the suffix depend on order beyond that; they
-    are streamed in order through one pass per family.
+    Repeats are numbered with a range-partitioned count. Names that already carry the suffix reserve a number of the
+    name they extend, from their first row on; ``_around_reserved`` numbers the families in which that happens.
     """
-    low = F.lower("base_path")
-    rx = f"{suffix}[0-9]+(?=(\\.[^./]*)?$)"
+    low, mark = F.lower("base_path"), f"\\Q{suffix.lower()}\\E"
+    rx = f"{mark}[0-9]+(?=(\\.[^./]*)?$)"
     # strip every trailing generated suffix, so that all names that can meet share one family
-    family = F.regexp_replace(low, f"({suffix}[0-9]+)+(?=(\\.[^./]*)?$)", "")
-    p = plan.withColumn("low", low).withColumn("family", family)
+    family = F.regexp_replace(low, f"(?:{mark}[0-9]+)+(?=(\\.[^./]*)?$)", "")
+    p = ranked(plan.select("seq", "base_path", low.alias("low"), family.alias("family")), ["low"], ["seq"], "k")
     tangled = p.where(C("low").rlike(rx)).select("family").distinct()
-    plain = ranked(p.join(tangled, "family", "left_anti"), ["low"], ["seq"], "k")
     path = C("base_path")
-    stem, ext = F.regexp_extract(path, r"^(.*/[^/]+?|[^/]+?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*/[^/]+?|[^/]+?)(\.[^./]*)?$", 2)
-    plain = plain.withColumn("new_path", F.when(C("k") == 1, path).otherwise(
-        F.concat(stem, F.lit(suffix), C("k").cast("string"), ext))).select("seq", "base_path", "new_path")
-    # the window makes "one family in one task, in order" a requirement of the plan; a bare repartition is
-    # only a request that adaptive execution may drop when it turns the join above into a broadcast
-    knotted = p.join(tangled, "family", "left_semi").select("family", "seq", "base_path") \
-        .withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("seq")))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family, used, nxt = None, set(), {}
-        for pdf in batches:
-            out = []
-            for fam, seq, base, place in zip(pdf["family"], pdf["seq"], pdf["base_path"], pdf["place"]):
-                if fam != family or place == 1:
-                    family, used, nxt = fam, set(), {}
-                pick, key = base, base.lower()
-                if key in used:
-                    head, _, name = base.rpartition("/")
-                    dot = name.rfind(".")
-                    b, e = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-                    k = nxt.get(key, 2)
-                    while True:
-                        pick = (head + "/" if head else "") + f"{b}{suffix}{k}{e}"
-                        k += 1
-                        if pick.lower() not in used:
-                            break
-                    nxt[key] = k
-                used.add(pick.lower())
-                out.append((seq, base, pick))
-            yield pd.DataFrame(out, columns=["seq", "base_path", "new_path"])
-    return plain.unionByName(knotted.mapInPandas(assign, "seq bigint, base_path string, new_path string"))
+    plain = p.join(tangled, "family", "left_anti") \
+        .select("seq", "base_path", F.when(C("k") == 1, path).otherwise(_numbered(path, suffix, C("k"))).alias("new_path"))
+    return plain.unionByName(_around_reserved(p.join(tangled, "family", "left_semi").drop("family"), suffix))
+
+
+def _around_reserved(p: DataFrame, suffix: str) -> DataFrame:
+    """``seq, base_path, new_path`` of families with reserved numbers, from rows ``seq, base_path, low, k`` (``k``-th row of its name).
+
+    Level by level, from names without the suffix to those that carry it most often: a name is only ever taken from it
+    by the name it extends. On a level the repeats of a name take the numbers from 2 in order. A number is skipped if its
+    reserving row comes before the repeat that would reach it; otherwise the repeat takes it, and all rows of the reserving
+    name are repeats on the next level. Whether a number is skipped depends on how many before it were (``fold``): the
+    distinct reserved numbers of a name, not its rows, are read in order for that, by one task in constant memory. Rows
+    are counted over ranges, so a name with most rows is spread over tasks.
+    """
+    stem, mark, count = F.regexp_extract("low", _STEM, 1), f"\\Q{suffix.lower()}\\E", "[2-9]|[1-9][0-9]{1,8}"
+    own = f"^(.*[^/]){mark}({count})$"
+    up = F.concat(F.regexp_extract(stem, own, 1), F.regexp_extract("low", _STEM, 2))
+    p = p.withColumn("parent", F.when(stem.rlike(own), up)).withColumn("number", F.when(stem.rlike(own), F.regexp_extract(stem, own, 2).cast("bigint")))
+    tail = F.regexp_extract(stem, f"^.*?[^/]((?:{mark}(?:{count}))+)$", 1)
+    names = written(p.withColumn("level", F.size(F.split(tail, mark)) - 1), "collisions")
+    deepest = names.agg(F.max("level")).first()[0]  # one number; a level a suffix in a name
+    taken = names.where("false").select("low")
+    out = []
+    for level in range((deepest or 0) + 1):
+        here = names.where(C("level") == level).join(taken.withColumn("lost", F.lit(1)), "low", "left") \
+            .withColumn("j", C("k") - 1 + F.coalesce("lost", F.lit(0))).select("seq", "base_path", "low", "j")
+        here = written(here, "collisions-level")
+        out.append(here.where("j = 0").select("seq", "base_path", C("base_path").alias("new_path")))
+        # the first row of a reserving name, among the repeats of the name it extends
+        held = names.where((C("level") == level + 1) & (C("k") == 1)).select(C("parent").alias("low"), "seq", "number", C("low").alias("child"))
+        repeats = here.where("j > 0")
+        events = repeats.select("low", "seq", F.lit(None).cast("bigint").alias("number"), F.lit(None).cast("string").alias("child"), F.lit(1).alias("one")) \
+            .unionByName(held.withColumn("one", F.lit(0)))
+        held = running(events, ["low"], ["seq"], earlier=("sum_before", "one")).where("number is not null") \
+            .select("low", "number", "child", F.coalesce("earlier", F.lit(0)).alias("earlier"))
+        held = held.repartition("low").sortWithinPartitions("low", "number")
+        held = written(held.mapInPandas(_fold, "low string, child string, reached bigint, skipped boolean"), "collisions-held")
+        taken = held.where("not skipped").select(C("child").alias("low"))
+        marks = repeats.select("low", C("j").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("skip"), "seq", "base_path").unionByName(
+            held.where("skipped").select("low", C("reached").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("skip"),
+                                         F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("base_path")))
+        numbers = running(marks, ["low"], ["at", "kind"], skips=("sum", "skip")).where("kind = 1")
+        out.append(numbers.select("seq", "base_path", _numbered(C("base_path"), suffix, C("at") + 1 + C("skips")).alias("new_path")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For reserved numbers in order: the repeat that reaches each, and whether that finds it used."""
+    low, skips = None, 0
+    for pdf in batches:
+        reached, skipped = [], []
+        for name, number, earlier in zip(pdf["low"], pdf["number"], pdf["earlier"]):
+            if name != low:
+                low, skips = name, 0
+            reached.append(number - 1 - skips)
+            skipped.append(earlier < reached[-1])
+            skips += skipped[-1]
+        yield pd.DataFrame({"low": pdf["low"], "child": pdf["child"], "reached": reached, "skipped": skipped})
 
 
 def folder_counts(files: DataFrame) -> DataFrame:

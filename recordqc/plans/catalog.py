@@ -354,6 +354,19 @@ def _(t):
     return K.resolve_collisions(f)
 
 
+def reserved_names(files):
+    """Output paths of which every seventh carries a generated suffix already."""
+    name = X.file_name(C("path"))
+    taken = F.regexp_replace(name, r"^(.+?)(\.[^.]*)?$", F.concat(F.lit("$1_duplicate-"), (C("seq") % 5 + 2).cast("string"), F.lit("$2")))
+    name = F.when(C("seq") % 7 == 0, taken).otherwise(name)
+    return files.select("seq", F.concat(F.lit("Out/"), (C("seq") % 1000 % 5).cast("string"), F.lit("/"), name).alias("base_path"))
+
+
+@query("f19_reserved_names")
+def _(t):
+    return K.resolve_collisions(reserved_names(t.files))
+
+
 @query("f26_folder_counts", """SELECT array_to_string(p[1:i], '/') AS folder, count(*) AS files, CAST(i - 1 AS INT) AS depth FROM (
   SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(path, '/') AS p FROM @files_all)) GROUP BY folder, i""")
 def _(t):

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from recordqc.functions import files as X
 from recordqc.operators import backups as B
 from recordqc.operators import catalog as K
@@ -49,16 +50,25 @@ def greedy(paths):
     return out
 
 
-def test_collisions_follow_the_sequential_rule(spark):
-    rnd = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_collisions_follow_the_sequential_rule(spark, seed):
+    rnd = random.Random(seed)
     names = ["o/a.pdf", "o/A.pdf", "o/a_duplicate-2.pdf", "o/a_duplicate-3.pdf", "o/b", "o/b_duplicate-2", "o/c.d.pdf", "p/a.pdf", "o/a_duplicate-2_duplicate-2.pdf"]
-    paths = [rnd.choice(names) for _ in range(120)]
+    names += ["o/a_Duplicate-5.pdf", "o/a_duplicate-9.pdf", "o/a_duplicate-02.pdf", "o/_duplicate-2.pdf", "o/.b", "o/.b_duplicate-2", "o/z_duplicate-4.pdf", "o/a.b_duplicate-2"]
+    names += [f"o/a_duplicate-{k}.pdf" for k in range(12, 60, 3)] + ["o/a_duplicate-12_duplicate-3.pdf", "o/a_duplicate-2_duplicate-2_duplicate-2.pdf"]
+    paths = [rnd.choice(names[:2] if rnd.random() < 0.5 else names) for _ in range(300)]
     df = spark.createDataFrame(list(enumerate(paths)), "seq bigint, base_path string")
     got = [r.new_path for r in K.resolve_collisions(df).orderBy("seq").collect()]
     assert got == greedy(paths)
     assert len({p.lower() for p in got}) == len(got)
 
 
+def test_reserved_names_query(spark):
+    got = entry.queries()["f19_reserved_names"](spark, "/root/testdata/sf0.001").orderBy("seq").collect()
+    assert [r.new_path for r in got] == greedy([r.base_path for r in got])
+    assert any("_duplicate-" in r.base_path for r in got) and any(r.new_path != r.base_path for r in got)
+
+
 def test_missing_sequences(spark):
     df = spark.createDataFrame([("A101",), ("A104",), ("B1",), ("S001",), ("S003",), ("X",)], "sheet_number string")
     assert sorted(r.sheet_number for r in K.missing_sequences(df).collect()) == ["A102", "A103", "S002"]
