@@ -6,8 +6,8 @@ by concentration steps: the ``core`` share of rows with the smallest Mahalanobis
 distances gives the next mean and covariance. Three starts go side by side, all
 at the medians: quartile ranges alone, and these with the correlations of
 hyperbolic tangents or of spatial signs, neither of which a far row can bend.
-Steps end when no determinant falls any more; of a group's starts the one of
-least determinant stays (ties: the first). A last step takes all rows inside the
+After two steps the start of least determinant goes on alone (ties: the first),
+until no determinant falls any more. A last step takes all rows inside the
 97.5 % ellipse. Rows far outside of it are rejected.
 
 Means and covariances are sums that combine before the shuffle, so a hot source
@@ -184,10 +184,16 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _cholesky(both.select("g", "start", *[f"m{i}" for i in range(P)], *scatter), ["g", "start"])
 
 
+def _least(shape: DataFrame) -> DataFrame:
+    """The row of least determinant for each group; ties: the first start."""
+    return shape.groupBy("g").agg(F.min_by(F.struct(*[c for c in shape.columns if c != "g"]), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+
+
 def estimate(rows: DataFrame, core: float = 0.75, steps: int = 12) -> DataFrame:
-    """For each group ``g`` of stored ``rows`` (``g, x0..``) its least determinant: ``m0.., l00.., logdet, start``.
+    """For each group ``g`` of stored ``rows`` (``g, x0..``) an estimate: ``m0.., l00.., logdet, start``.
 
-    At most ``steps`` steps; they end as soon as no group's determinant falls by more than a millionth.
+    All starts take two steps; the one of least determinant goes on alone, until no group's determinant falls by more
+    than a millionth or ``steps`` are done.
     """
     by = ["g", "start"]
     shape = stored(_starts(rows), "mcd-start")
@@ -195,11 +201,12 @@ def estimate(rows: DataFrame, core: float = 0.75, steps: int = 12) -> DataFrame:
         near = _distance(rows, shape)
         limit = stored(near.groupBy(*by).agg(F.percentile("__d", core).alias("__limit")), f"mcd-limit{step}")
         inside = near.join(F.broadcast(limit), by).where(F.col("__d") <= F.col("__limit"))
-        before, shape = shape, stored(_factored(_moments(inside, by), _consistency(core), by), f"mcd-step{step}")
+        before, shape = shape, _factored(_moments(inside, by), _consistency(core), by)
+        shape = stored(_least(shape) if step == 1 else shape, f"mcd-step{step}")
         falls = shape.join(before.select(*by, F.col("logdet").alias("__old")), by).where(F.col("logdet") < F.col("__old") - 1e-6)
-        if step and falls.isEmpty():  # the first step leaves the starts, whose determinants are of another kind
+        if step > 1 and falls.isEmpty():
             break
-    return shape.groupBy("g").agg(F.min_by(F.struct(*[c for c in shape.columns if c != "g"]), F.struct("logdet", "start")).alias("b")).select("g", "b.*")
+    return shape
 
 
 def judge(measured: DataFrame, core: float = 0.75, steps: int = 12, tail: float = 1e-5, least: int = 50) -> DataFrame:

@@ -33,32 +33,32 @@ def distances(x, mean, cov):
 
 
 def plain(x, core=0.75):
-    """``(logdet, distances)`` of every start after its steps."""
+    """The start that is least after two steps, and its estimate in the end."""
     q = np.percentile(x, [25, 50, 75], axis=0)
     d = np.sqrt(((q[2] - q[0]) / 1.349) ** 2 + np.diag(FLOOR2))
     z = (x - q[1]) / d
     bent = [np.tanh(z), z / np.linalg.norm(z, axis=1, keepdims=True)]
     corrs = [np.eye(P)] + [0.99 * np.corrcoef(np.rint(b * G).T) + 0.01 * np.eye(P) for b in bent]
-    found = []
-    for c in corrs:
-        mean, cov = q[1], c * np.outer(d, d)
-        for _ in range(30):
+    def steps(mean, cov, n):
+        for _ in range(n):
             dist = np.floor(np.log1p(distances(x, mean, cov)) * D)
             mean, cov = scatter(x[dist <= np.percentile(dist, core * 100)], quality._consistency(core))
-        found.append((np.linalg.slogdet(cov)[1], mean, cov))
-    return min(found, key=lambda f: f[0]), [f[0] for f in found]
+        return np.linalg.slogdet(cov)[1], mean, cov
+    found = [steps(q[1], c * np.outer(d, d), 2) for c in corrs]
+    best = min(range(3), key=lambda i: found[i][0])
+    return best, steps(*found[best][1:], 28)
 
 
-@pytest.mark.parametrize("seed,far", [(1, 0), (2, 10), (3, 20)])
+@pytest.mark.parametrize("seed,far", [(1, 0), (3, 20)])
 def test_least_determinant_of_three_starts(spark, tmp_path, seed, far):
     rows = table(seed, far)
     spark.createDataFrame(rows, "g string, " + ", ".join(f"x{i} long" for i in range(P))).repartition(5).write.parquet(f"{tmp_path}/r")
     got = {r["g"]: r for r in quality.estimate(spark.read.parquet(f"{tmp_path}/r"), steps=30).collect()}
     for g in "ab":
         x = np.array([r[1:] for r in rows if r[0] == g]) / G
-        (det, mean, cov), dets = plain(x)
+        best, (det, mean, cov) = plain(x)
         assert math.isclose(got[g]["logdet"], det, abs_tol=1e-6)
-        assert math.isclose(dets[got[g]["start"]], det, abs_tol=1e-6)
+        assert got[g]["start"] == best
         chol = np.linalg.cholesky(cov)
         assert np.allclose([got[g][f"m{i}"] for i in range(P)], mean, atol=1e-6)
         assert np.allclose([got[g][f"l{i}{j}"] for i in range(P) for j in range(i + 1)], [chol[i, j] for i in range(P) for j in range(i + 1)], atol=1e-6)
