@@ -182,3 +182,17 @@ def test_streams_resume_and_close(spark, tmp_path):
     sessions = T.run_closed(events(), T.session_expiry, "x").collect()
     assert sorted((r.user_id, r.actions) for r in sessions) == [(1, 2), (2, 2), (3, 1)]
     assert T.run_closed(events().where("false"), T.scan_progress, "x").count() == 0
+
+
+def test_spelling_broadcasts_nothing(spark):
+    """A dictionary of a few MB as a file is hundreds of MB of neighbourhoods, which the driver would collect."""
+    from recordqc.operators import spelling as SP
+    words = spark.createDataFrame([("foundation", 9), ("concrete", 5)], "word string, n long")
+    near = SP.within_one_edit(spark.createDataFrame([("foundatoin",), ("concrte",)], "word string"), words)
+    assert sorted((r.word, r.near) for r in near.collect()) == [("concrte", "concrete"), ("foundatoin", "foundation")]
+    pages = spark.createDataFrame([("s", 1, 1, "A1", "", "", "the foundatoin is of concrte here")],
+                                  "set_id string, page_number long, doc_id long, sheet_number string, sheet_title string, title_block_text string, text string")
+    out = SP.spelling(pages, words)
+    assert sorted(r.suggestion for r in out.collect()) == ["concrete", "foundation"]
+    for df in (near, out):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
