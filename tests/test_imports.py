@@ -124,3 +124,22 @@ def test_import_actions_and_projects(spark):
     assert [r.action for r in import_issues(none, twice, "keep").collect()] == ["import", "import"]
     assert sorted((r.seq, r.action, r.duplicate_side, r.duplicate_seq) for r in import_issues(none, twice, "merge").collect()) == [(1, "import", None, None), (2, "merge", "imported", 1)]
     assert import_issues(twice, none).count() == 0
+
+
+def test_pairs_of_one_key_repeat_no_text_work(spark):
+    """Every pair of records with one key is compared: what a value needs (trimming, lower case, blanks) is done below the join."""
+    from recordqc.operators import issues as I
+    ddl = "project_number string, project_name string, building_type string, consultant string, square_feet double"
+    saved = spark.createDataFrame([("1-1", " Hall", "Lab", "Unknown", 5.0), ("1-1", "HALL ", None, "x", None), ("2", "a", "b", "c", 1.0), (None, "n", "", None, None)], ddl)
+    new = spark.createDataFrame([(" 1 - 1", "hall", "lab2", "X", 6.0), ("3", "d", "e", "f", 2.0), ("", "N ", "z", "y", 3.0)], ddl)
+    clash = I.project_conflicts(saved, new)
+    assert sorted((r.pkey, r.field, r.saved, r.incoming) for r in clash.collect()) == [("number:1-1", "building_type", "Lab", "lab2"), ("number:1-1", "square_feet", "5.0", "6.0")]
+    want = {"merge": [("added", "d", "e", "f", 2.0), ("kept", "a", "b", "c", 1.0), ("merged", " Hall", "Lab", "X", 5.0), ("merged", "HALL ", "lab2", "x", 6.0), ("merged", "n", "z", "y", 3.0)],
+            "replace": [("added", "d", "e", "f", 2.0), ("kept", "a", "b", "c", 1.0), ("replaced", "N ", "z", "y", 3.0), ("replaced", "hall", "lab2", "X", 6.0), ("replaced", "hall", "lab2", "X", 6.0)],
+            "skip": [("added", "d", "e", "f", 2.0), ("kept", "a", "b", "c", 1.0), ("skipped", " Hall", "Lab", "Unknown", 5.0), ("skipped", "HALL ", None, "x", None), ("skipped", "n", "", None, None)]}
+    for mode, rows in want.items():
+        out = I.commit_import(saved, new, mode)
+        assert sorted(((r.outcome, r.project_name, r.building_type, r.consultant, r.square_feet) for r in out.collect()), key=str) == sorted(rows, key=str)
+        assert "trim(" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    plan = clash._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("lower(" in line for line in plan.splitlines() if "Join" in line)
