@@ -37,14 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from recordqc.llm.common import stored
+from recordqc.llm.common import small_batches, stored
 from recordqc.llm.rolling import BASES, Prefixes, found, table_of
 from recordqc.llm.shingles import mixed
 
 LENGTH, ANCHOR = 200, 64
 HOT = 2_000
 #: Bytes of text that are hashed at once; a longer text is cut into overlapping blocks. Places take PLACE bits.
-BLOCK, PLACE = 1 << 19, 24
+BLOCK, PLACE = 1 << 17, 24
+#: Texts of which a task remembers that it has seen them, and rows that are cut at once.
+SEEN, CUT = 10_000, 500
 #: Byte positions that are ranked at once.
 RANKED = 1 << 18
 ADDED = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
@@ -86,9 +88,10 @@ def _occurrence(digests: list[bytes], text: np.ndarray, place: np.ndarray) -> np
 
 
 def _parts(batches, length: int, size: int):
-    """(digests, blocks) of at most about ``size`` bytes; the texts of a batch once each."""
+    """(digests, blocks) of at most about ``size`` bytes; a text that came among the last ``SEEN`` or fewer is left out."""
+    seen = set()
     for batch in batches:
-        seen, digests, blocks, held = set(), [], [], 0
+        digests, blocks, held = [], [], 0
         for value in batch.column(0):
             text = value.as_buffer()
             if text is None or text.size < length:
@@ -97,6 +100,8 @@ def _parts(batches, length: int, size: int):
             digest = hashlib.md5(text).digest()
             if digest in seen:
                 continue
+            if len(seen) >= SEEN:
+                seen.clear()
             seen.add(digest)
             digests.append(digest)
             for p in range(0, len(text) - length + 1, size):
@@ -279,7 +284,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 def _cut(length):
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, CUT) for whole in batches for at in range(0, whole.num_rows, CUT)):
             column = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             size, removed, runs, spans, kept = [], [], [], [], []
             for text, copies, starts, ends in zip(column["__text"], column["__copies"].to_pylist(), column["__s"].to_pylist(), column["__e"].to_pylist()):
@@ -317,11 +322,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     """
     own = [c for c in docs.columns if c not in ADDED]
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    spans = repeated_spans(texts, length, anchor, hot, block).groupBy("d").agg(F.collect_set(F.struct("s", "e")).alias("x"))
     rows = docs.select(*own, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__text")).withColumn("__d", F.unhex(F.md5("__text")))
     copies = rows.groupBy("__d").agg(F.count(F.lit(1)).alias("__copies")).where("__copies > 1")
-    known = copies.join(spans.withColumnRenamed("d", "__d"), "__d", "full_outer").select("__d", "__copies", F.col("x.s").alias("__s"), F.col("x.e").alias("__e"))
-    joined = rows.join(stored(known, "spans"), "__d", "left").drop("__d")
+    with small_batches(docs.sparkSession):
+        spans = repeated_spans(texts, length, anchor, hot, block).groupBy("d").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+        known = stored(copies.join(spans.withColumnRenamed("d", "__d"), "__d", "full_outer").select("__d", "__copies", F.col("x.s").alias("__s"), F.col("x.e").alias("__e")), "spans")
+    joined = rows.join(known, "__d", "left").drop("__d")
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([docs.schema[c] for c in own] + [StructField(n, LongType()) for n in ADDED[:3]] + [StructField("spans", ArrayType(span)), StructField("kept", BinaryType())])
     return joined.mapInArrow(_cut(length), schema)
