@@ -85,8 +85,9 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def _vector() -> list[Column]:
+    """The statistics on their grid; null for a text without words, which has no rates (ANSI mode fails on a division by its zero)."""
     n, c = F.col("n_words"), F.col("word_chars")
-    raw = [F.log1p(n), F.log(c / n), F.sqrt(F.col("n_symbols") / c), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
+    raw = [F.log1p(n), F.log(F.try_divide(c, n)), F.sqrt(F.try_divide("n_symbols", c)), F.sqrt(F.try_divide("n_dup_lines", n)), F.sqrt(F.try_divide("n_repeat_words", n))]
     return [F.round(x * GRID).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 

@@ -58,6 +58,15 @@ def test_quality_odd(spark, make):
     assert all(not r.kept for r in out if r.n_words < 50)
 
 
+def test_quality_texts_without_words_beside_an_estimate(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(60, 600)) for _ in range(80)] + ["", None, " \n\t "]
+    quality.measure(corpus(spark, texts, sources=("a",))).write.parquet(f"{tmp_path}/m")
+    got = {r.doc_id: r for r in quality.judge(spark.read.parquet(f"{tmp_path}/m")).collect()}
+    assert all(got[i].kept and got[i].distance is not None for i in range(80))
+    assert all(not got[i].kept and got[i].distance is None for i in range(80, 83))
+
+
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.975, 5) - 12.8325) < 1e-3
 
