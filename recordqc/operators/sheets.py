@@ -367,8 +367,10 @@ def similar_references(queries: DataFrame, refs: DataFrame, k: int = 3, block_ro
     """Exact top-k cosine per query over blocks of both sides; rows with the query's own ``vec_id`` are no references.
 
     Every (query block, reference block) cell multiplies two bounded matrices
-    and returns its own top k, so no pair of vectors becomes a row.
+    and returns its own top k, so no pair of vectors becomes a row. Rows without
+    an id are left out; a missing vector has no cosine and comes behind all others.
     """
+    queries, refs = (df.where("vec_id is not null") for df in (queries, refs))
     nq, nr = (max(1, -(-df.count() // block_rows)) for df in (queries, refs))
 
     def side(df: DataFrame, mine: str, n: int, other: str, m: int) -> DataFrame:
@@ -377,20 +379,53 @@ def similar_references(queries: DataFrame, refs: DataFrame, k: int = 3, block_ro
     q = side(queries, "qb", nq, "rb", nr)
     r = side(refs, "rb", nr, "qb", nq).select(C("vec_id").alias("ref_id"), C("embedding").alias("ref_vec"), C("qb").alias("qb2"), C("rb").alias("rb2"))
 
+    def vectors(col):
+        size = next((len(v) for v in col if v is not None), 1)
+        none = np.array([v is None for v in col])
+        m = np.stack([np.zeros(size) if v is None else v for v in col]).astype("float64")
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30), none
+
+    def nearest(queries, blank, refs, bare, own, width: int = 64):
+        """(row of ``queries``, place in ``refs``, product) of what can be among the k best of a row by rounded product, then place.
+
+        Pairs with a missing vector (``blank``, ``bare``) count -2, below every cosine; ``own`` has the places from and to that are no references of a row. The k-th largest
+        maximum over strided groups of places bounds the k-th largest product from below, so only groups that reach it are looked through.
+        """
+        m, n = len(queries), len(refs)
+        groups = -(-n // width)
+        sims = np.full((m, groups * width), -np.inf)
+        np.matmul(queries, refs.T, out=sims[:, :n])
+        sims[:, :n][:, bare] = -2.0
+        sims[blank, :n] = -2.0
+        for row in np.nonzero(own[0] < own[1])[0]:
+            sims[row, own[0][row]:own[1][row]] = -np.inf
+        cube = sims.reshape(m, width, groups)
+        top = cube.max(axis=1)
+        least = np.partition(top, groups - k, axis=1)[:, groups - k] - 1e-8 if groups > k else np.full(m, -np.inf)
+        rows, at = np.nonzero(top >= least[:, None])
+        found = cube[rows, :, at]
+        pick, lane = np.nonzero((found >= least[rows, None]) & (found > -np.inf))
+        return rows[pick], lane * groups + at[pick], found[pick, lane]
+
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            unit = lambda col: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30))(np.stack(col.to_numpy()).astype("float64"))
-            b, ids = unit(right["ref_vec"]), right["ref_id"].to_numpy()
-            for at in range(0, len(left), 1024):
-                part = left.iloc[at:at + 1024]
-                sims = unit(part["embedding"]) @ b.T
-                for row, vec in zip(sims, part["vec_id"]):
-                    row[ids == vec] = -2.0  # below every cosine
-                    best = np.lexsort((ids, -np.round(row, 9)))[:k]
-                    out += [(int(vec), int(ids[j]), float(row[j])) for j in best if ids[j] != vec]
-        return pd.DataFrame(out, columns=["vec_id", "ref_id", "cosine"])
-    cells = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInPandas(cell, "vec_id bigint, ref_id bigint, cosine double")
+            right = right.sort_values("ref_id", kind="stable")
+            ids, mine = right["ref_id"].to_numpy(), left["vec_id"].to_numpy()
+            (a, no_a), (b, no_b) = vectors(left["embedding"]), vectors(right["ref_vec"])
+            if a.shape[1] != b.shape[1]:  # one side has no vector at all
+                a, b = np.zeros((len(a), 1)), np.zeros((len(b), 1))
+            for at in range(0, len(left), 128):
+                to = slice(at, at + 128)
+                own = np.searchsorted(ids, mine[to], "left"), np.searchsorted(ids, mine[to], "right")
+                rows, place, value = nearest(a[to], no_a[to], b, no_b, own)
+                order = np.lexsort((place, -np.round(value, 9), rows))
+                rows, place, value = rows[order], place[order], value[order]
+                best = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+                out.append(pd.DataFrame({"vec_id": mine[to][rows[best]], "ref_id": ids[place[best]], "cosine": np.where(value[best] < -1.5, np.nan, value[best])}))
+        return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "ref_id": [], "cosine": []}).astype({"vec_id": "int64", "ref_id": "int64"})
+    cells = q.groupBy("qb", "rb").cogroup(r.groupBy("qb2", "rb2")).applyInPandas(cell, "vec_id bigint, ref_id bigint, cosine double") \
+        .withColumn("cosine", F.when(~F.isnan("cosine"), C("cosine")))
     return top_k(cells.withColumn("c", F.round("cosine", 9)), ["vec_id"], ["-c", "ref_id"], k, "rank").select("vec_id", "rank", "ref_id", C("cosine"))
 
 

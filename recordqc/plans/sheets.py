@@ -308,10 +308,10 @@ def _(t):
 
 
 @query("s25_similar_references", """SELECT vec_id, rank, ref_id FROM (SELECT q.vec_id, r.vec_id AS ref_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9) DESC, r.vec_id) AS rank
-  FROM @embeddings q JOIN @embeddings r ON q.vec_id % 20 = 0 AND r.vec_id <> q.vec_id) WHERE rank <= 3""")
+  FROM @embeddings q JOIN @embeddings r ON r.vec_id <> q.vec_id) WHERE rank <= 3""")
 def _(t):
     e = t.embeddings
-    return S.similar_references(e.where("vec_id % 20 = 0"), e).drop("cosine")
+    return S.similar_references(e, e).drop("cosine")
 
 
 @query("s28_merge_overrides", """SELECT set_id, page_number, CASE WHEN doc_id % 7 = 3 THEN 'Z' || doc_id ELSE sheet_number END AS sheet_number, CASE WHEN doc_id % 14 = 3 THEN 'EDITED' ELSE sheet_title END AS sheet_title, seal_present FROM @sheet_pages""")

@@ -93,6 +93,28 @@ def test_similar_references_over_several_blocks(spark):
         assert [got[q, r] for r in (1, 2, 3)] == list(order)
 
 
+def test_similar_references_asks_for_every_vector(spark, tmp_path):
+    """Each vector against all others, with ties, a missing vector and an id that comes twice, beside the query's SQL."""
+    import check
+    import duckdb
+    import numpy as np
+
+    import __spark_entry__ as entry
+    rng = np.random.default_rng(6)
+    vecs = [[float(x) for x in v] for v in rng.normal(size=(150, 4)).astype("float32")]
+    vecs[7] = vecs[8] = vecs[90]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(3, vecs[20]), (150, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = check.rows(check.duck_rows(con, entry.oracle_sql()["s25_similar_references"]))
+    got = entry.queries()["s25_similar_references"](spark, str(tmp_path))
+    assert check.rows(check.spark_rows(got)) == want and len(want) == 3 * 151
+    for block in (40, 90):
+        assert check.rows(check.spark_rows(S.similar_references(df, df, block_rows=block).drop("cosine"))) == want
+
+
 def test_sync_is_idempotent(spark):
     ddl = "project_id bigint, discipline string, category string, message string, seq bigint, status string, auto boolean"
     old = spark.createDataFrame([(1, "M", "c", "gone", 1, "Unresolved", True), (1, "M", "c", "back", 2, "Resolved", True), (1, "M", "c", "hand", 3, "Unresolved", False)], ddl)
